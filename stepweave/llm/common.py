@@ -2,32 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stepweave.plans.lineage import new_dir, written
+
+__all__ = ["LOWER", "ascii_lower", "fresh", "load", "mounted", "new_dir", "text_or_empty", "written"]
+
 #: A-Z to a-z on UTF-8 bytes; every other byte stays.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 UPPER_AZ, LOWER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir; a temporary one only where none is set (local runs)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='stepweave-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_dir(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
 def mounted(path: str) -> str:
     """A shared path as the operating system names it; memory maps need a mounted folder."""
     if path.startswith("file:"):
@@ -37,14 +23,6 @@ def mounted(path: str) -> str:
     return path
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Cuts lineage: writes df as a table in the shared folder and reads it back."""
-    spark = df.sparkSession
-    path = new_dir(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that df does not have, whatever its extra columns are called."""
     taken = {c.lower() for c in df.columns}
