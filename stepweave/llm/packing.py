@@ -12,6 +12,8 @@ least. Pieces find their place by their rank among equals, counted per partition
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 
 import numpy as np
@@ -20,33 +22,42 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import load, text_or_empty, written
+from .common import LOWER, load, text_or_empty, written
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers at most; beyond, it starts anew.
 WORDS = 400_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, nth long"
+_TAIL = re.compile(rb"(?s)(.*?)((?<=[0-9a-z])[!-&(-/:-@\[-`{-~]+)?\Z")
 _workers: dict[str, "_WordIds"] = {}  # per Python worker: tokenizers with their words
 
 
 class _WordIds(dict):
     """Bytes of the little-endian ids of each white-space separated word.
 
-    The tokenizer folds white space and splits at it, so a text's ids are its words' ids in order.
+    The tokenizer folds white space and case and splits at white space, so a text's ids are its words' ids in order. It also
+    splits between a letter or digit and punctuation (apostrophes apart), so a word's punctuation at the end is
+    looked up alone, and each bare word is tokenized once whatever its case and what follows it.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.parts: dict[bytes, bytes] = {}
 
-    def ids(self, raw: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def __missing__(self, word: bytes) -> bytes:
-        self[word] = out = self.ids(word)
-        return out
+    def of(self, words: list[bytes]) -> bytes:
+        """The ids of words in a row; those not met before are tokenized together."""
+        if new := [w for w in set(words) if w not in self]:
+            split = [_TAIL.match(w.translate(LOWER)).groups() for w in new]
+            parts = list({p for pair in split for p in pair if p and p not in self.parts})
+            for p, e in zip(parts, self.tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False), strict=True):
+                self.parts[p] = np.array(e.ids, dtype="<u4").tobytes()
+            for w, (bare, tail) in zip(new, split, strict=True):
+                self[w] = self.parts[bare] + self.parts[tail] if tail else self.parts[bare]
+        return b"".join(map(self.__getitem__, words))
 
 
 def _tokenizer(path: str) -> _WordIds:
@@ -63,7 +74,7 @@ def token_bytes(words: _WordIds, raw: bytes, slice_bytes: int = 1 << 22):
         if end < len(raw):
             cut = min((p for p in (raw.find(b" ", end), raw.find(b"\n", end)) if p >= 0), default=len(raw))
             end = cut
-        yield b"".join(map(words.__getitem__, raw[pos:end].split()))
+        yield words.of(raw[pos:end].split())
         pos = end
 
 
