@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stepweave.plans.lineage import new_dir, written
 
-__all__ = ["LOWER", "ascii_lower", "fresh", "load", "mounted", "new_dir", "text_or_empty", "written"]
+__all__ = ["LOWER", "ascii_lower", "each", "fresh", "load", "mounted", "new_dir", "text_or_empty", "written"]
 
 #: A-Z to a-z on UTF-8 bytes; every other byte stays.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -43,5 +43,10 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER_AZ, LOWER_AZ)
 
 
+def each(column):
+    """The values of an Arrow column one at a time, so that a batch is not held twice."""
+    return (x.as_py() for x in column)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

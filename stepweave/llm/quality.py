@@ -4,7 +4,7 @@ Grades: 0 low quality, 1 toxic but written well, 2 good. P(grade <= k) = 1 / (1
 one weight vector for all grades. The model is fitted on the driver to a bounded sample of labelled
 documents (``SAMPLE``, the smallest hashes of their ids, whatever the size of the corpus); every document is scored.
 
-Features: each distinct word (punctuation off, A-Z lower-cased) in two slots of a hashed space, and of
+Features: each distinct word (punctuation off, A-Z lower-cased) and word beginning in two slots of a hashed space, and of
 the shapes of words (case, digits, the punctuation around them) each one's share of all words.
 """
 
@@ -20,25 +20,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, fresh, load, text_or_empty
+from .common import LOWER, each, fresh, load, text_or_empty
 
 #: Labelled documents that the model is fitted to at most; slots of words and of shapes; documents that a word must occur in.
-SAMPLE, WORD_BITS, SHAPE_BITS, LEAST_DOCUMENTS = 8000, 20, 12, 5
+SAMPLE, WORD_BITS, SHAPE_BITS, LEAST_DOCUMENTS = 6000, 20, 12, 5
+#: How strongly a slot must go with the grades to get a weight; chance alone passes this for one slot in three million.
+CHI_SQUARE = 30.0
 #: A document is kept if its probability of the best grade is at least this.
 KEEP = 0.5
-CACHE = 400_000
+CACHE = 150_000
+#: Bytes of a word's beginnings that are features too: inflected words share their stem.
+STARTS = (4, 5)
 _PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 _KIND = bytes(ord("A") if 65 <= b <= 90 else ord("0") if 48 <= b <= 57 else ord("a") if 97 <= b <= 122 or b >= 128 else b for b in range(256))
 _RUN = re.compile(rb"(.)\1+", re.DOTALL)
 
 
 class _Words(dict):
-    """word -> (hash of the bare word or 0, slot of its shape)."""
+    """word -> (hashes of the bare word and of its beginnings, or 0; slot of its shape)."""
 
-    def __missing__(self, word: bytes) -> tuple[int, int]:
+    def __missing__(self, word: bytes) -> tuple[int, int, int, int]:
         bare = word.strip(_PUNCTUATION).translate(LOWER)
         shape = _RUN.sub(rb"\1\1", word.translate(_KIND))[:12]
-        self[word] = out = (xxhash.xxh64_intdigest(bare) if bare else 0, xxhash.xxh32_intdigest(shape) & ((1 << SHAPE_BITS) - 1))
+        starts = (xxhash.xxh64_intdigest(bare[:n], n) if len(bare) >= n else 0 for n in STARTS)
+        self[word] = out = (xxhash.xxh64_intdigest(bare) if bare else 0, *starts, xxhash.xxh32_intdigest(shape) & ((1 << SHAPE_BITS) - 1))
         return out
 
 
@@ -57,11 +62,11 @@ def featurize(raw: bytes, known: _Words, slice_bytes: int = 4 << 20) -> tuple[np
     if not words:
         return np.empty(0, np.int32), np.empty(0, np.float32)
     pairs = np.array([known[w] for w in words], dtype=np.uint64)
-    hashes = np.unique(pairs[:, 0])
+    hashes = np.unique(pairs[:, :-1])
     hashes = hashes[hashes > 0]
     mask = np.uint64((1 << WORD_BITS) - 1)
     slots = np.unique(np.r_[hashes & mask, hashes >> np.uint64(WORD_BITS) & mask]).astype(np.int32)
-    share = np.bincount(pairs[:, 1].astype(np.int64), weights=np.fromiter(words.values(), np.float64, len(words)))
+    share = np.bincount(pairs[:, -1].astype(np.int64), weights=np.fromiter(words.values(), np.float64, len(words)))
     shapes = np.flatnonzero(share)
     values = share[shapes] / share.sum() * 5
     return np.r_[slots, shapes.astype(np.int32) + (1 << WORD_BITS)].astype(np.int32), np.r_[np.full(len(slots), 0.5), values].astype(np.float32)
@@ -70,8 +75,8 @@ def featurize(raw: bytes, known: _Words, slice_bytes: int = 4 << 20) -> tuple[np
 def _feature_batches(batches):
     known = _Words()
     for b in batches:
-        found = [featurize(raw, known) for raw in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s, _ in found], pa.binary()), pa.array([v.tobytes() for _, v in found], pa.binary())], ["grade", "slots", "vals"])
+        found = [featurize(raw, known) for raw in each(b.column(1))]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s, _ in found], pa.binary()), pa.array([v[s >= 1 << WORD_BITS].tobytes() for s, v in found], pa.binary())], ["grade", "slots", "vals"])
 
 
 class Model:
@@ -83,15 +88,24 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -40, 40)))
 
 
-def fit_ordinal(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int, dims: int, epochs: int = 20, batch: int = 128, rate: float = 0.05, decay: float = 1e-5, least: int = LEAST_DOCUMENTS) -> Model:
-    """Adam on the negative log likelihood. Slots in fewer than ``least`` documents get no weight. No rows: every score is 0, every grade as likely."""
+def fit_ordinal(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int, dims: int, steps: int = 2000, batch: int = 128, rate: float = 0.05, decay: float = 1e-5, least: int = LEAST_DOCUMENTS) -> Model:
+    """Adam on the negative log likelihood. Slots in fewer than ``least`` documents, or of a chi-square under CHI_SQUARE, get no weight. No rows: every score is 0, every grade as likely."""
     thresholds = np.log(np.arange(1, grades) / np.arange(grades - 1, 0, -1))
     weights = np.zeros(dims, np.float32)
     if not rows:
         return Model(weights, thresholds)
     slots = np.concatenate([r[1] for r in rows])
     seen = np.bincount(slots, minlength=dims)
-    kept = np.flatnonzero(seen >= min(least, max(1, len(rows) // 4)))
+    # chi-square of a slot's presence against the grades; under independence, of two degrees of freedom
+    sizes = np.bincount([r[0] for r in rows], minlength=grades)
+    chi = np.zeros(dims)
+    for k in range(grades):
+        if sizes[k]:
+            own = np.bincount(np.concatenate([r[1] for r in rows if r[0] == k]), minlength=dims)
+            expected = seen * (sizes[k] / len(rows))
+            chi += (own - expected) ** 2 / np.maximum(expected, 1e-9)
+    chi *= len(rows) / np.maximum(len(rows) - seen, 0.5)
+    kept = np.flatnonzero((seen >= min(least, max(1, len(rows) // 4))) & (chi >= CHI_SQUARE))
     place = np.full(dims, -1, np.int64)
     place[kept] = np.arange(len(kept))
     data = []
@@ -105,7 +119,7 @@ def fit_ordinal(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int, dim
     m, v2, tm, tv, step = np.zeros_like(w), np.zeros_like(w), np.zeros_like(theta), np.zeros_like(theta), 0
     rng = np.random.default_rng(7)
     f = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
-    for _ in range(epochs):
+    for _ in range(-(-steps // -(-len(data) // batch))):
         order = rng.permutation(len(data))
         for at in range(0, len(order), batch):
             own = [data[i] for i in order[at : at + batch]]
@@ -143,28 +157,28 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_col: st
     picked = graded(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("raw")).join(F.broadcast(picked), "doc_id").select("grade", "raw").mapInArrow(_feature_batches, "grade int, slots binary, vals binary").collect()
     rows = sorted(((r["grade"], bytes(r["slots"]), bytes(r["vals"])) for r in rows), key=lambda r: (r[0], xxhash.xxh64_intdigest(r[1]), r[1]))[: 2 * sample]
-    return fit_ordinal([(g, np.frombuffer(s, np.int32), np.frombuffer(v, np.float32)) for g, s, v in rows], 3, (1 << WORD_BITS) + (1 << SHAPE_BITS))
+    # only the shapes' values were sent; those of words are all alike
+    full = lambda s, v: np.r_[np.full(len(s) // 4 - len(v) // 4, 0.5, np.float32), np.frombuffer(v, np.float32)]
+    return fit_ordinal([(g, np.frombuffer(s, np.int32), full(s, v)) for g, s, v in rows], 3, (1 << WORD_BITS) + (1 << SHAPE_BITS))
 
 
 def score_rows(df: DataFrame, model: Model, text_col: str = "text") -> tuple[DataFrame, list[str]]:
-    """df with expected grade, and per grade above 0 the probability of at least that grade; the names of these columns."""
+    """df (its text a string column) with expected grade, and per grade above 0 the probability of at least that grade; the names of these columns."""
     grades = len(model.thresholds) + 1
     names = fresh(df, "expected_grade", *[f"at_least_{k}" for k in range(1, grades)])
-    raw = fresh(df, "raw")[0]
-    own = df.withColumn(raw, text_or_empty(text_col).cast("binary"))
-    kept = [c for c in own.columns if c != raw]
+    at, kept = df.columns.index(text_col), df.columns
 
     def run(batches):
         known = _Words()
         for b in batches:
-            found = [featurize(x, known) for x in b.column(len(kept)).to_pylist()]
+            found = [featurize(x or b"", known) for x in each(b.column(at).cast(pa.binary()))]
             scores = np.array([float(model.weights[s] @ v) for s, v in found], np.float64)
             tails = model.tails(scores)
             new = [pa.array(tails.sum(axis=1)), *[pa.array(np.ascontiguousarray(tails[:, k])) for k in range(grades - 1)]]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], *new], [*kept, *names])
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], [*kept, *names])
 
     schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
-    return own.mapInArrow(run, schema), names
+    return df.mapInArrow(run, schema), names
 
 
 def select(docs: DataFrame, model: Model, keep: float = KEEP, text_col: str = "text") -> DataFrame:
