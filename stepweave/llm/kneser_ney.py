@@ -27,12 +27,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, load, mounted, new_dir, text_or_empty, written
+from .common import LOWER, each, load, mounted, new_dir, text_or_empty, written
 
 #: Reserved hashes of the start and the end of a text.
 START, END = 1, 2
 #: Bytes of text per shard of pairs; words that a worker remembers; tokens that a task counts or scores at a time.
-SHARD_BYTES, WORDS, TOKENS = 16 << 20, 400_000, 4_000_000
+SHARD_BYTES, WORDS, TOKENS = 16 << 20, 200_000, 3_000_000
 WORD_FIELDS = ("key", "count", "preds", "follow", "once", "twice", "more")
 
 
@@ -140,7 +140,7 @@ def _pair_batches(bits: int):
             yield pa.RecordBatch.from_arrays([pa.array(shards[starts], pa.int32()), pa.array([_block([(first[a:b], 6, True), (second[a:b], 6, False), (counts[a:b], 4, False)]) for a, b in zip(starts, ends, strict=True)], pa.binary())], ["shard", "block"])
 
         for b in batches:
-            for raw in b.column(0).to_pylist():
+            for raw in each(b.column(0)):
                 h = word_hashes(raw, known)
                 held.append(h)
                 n += len(h)
@@ -304,7 +304,7 @@ def _score_batches(model: Model):
 
         head, held, n = ([], []), [], 0
         for b in batches:
-            for doc, out, raw in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            for doc, out, raw in zip(*(each(b.column(k)) for k in range(3)), strict=True):
                 h = word_hashes(raw, known)
                 head[0].append(doc)
                 head[1].append(out)

@@ -13,7 +13,6 @@ least. Pieces find their place by their rank among equals, counted per partition
 from __future__ import annotations
 
 import os
-import re
 import zlib
 
 import numpy as np
@@ -22,17 +21,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, load, text_or_empty, written
+from .common import LOWER, each, load, text_or_empty, written
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers at most; beyond, it starts anew.
-WORDS = 400_000
+WORDS = 150_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, nth long"
-_TAIL = re.compile(rb"(?s)(.*?)((?<=[0-9a-z])[!-&(-/:-@\[-`{-~]+)?\Z")
+_PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != ord("'"))
 _workers: dict[str, "_WordIds"] = {}  # per Python worker: tokenizers with their words
 
 
-class _WordIds(dict):
+def _parted(word: bytes) -> tuple[bytes, bytes]:
+    """A word and the punctuation at its end, where the tokenizer splits there for certain."""
+    bare = word.rstrip(_PUNCTUATION)
+    return (bare, word[len(bare) :]) if bare and (48 <= bare[-1] <= 57 or 97 <= bare[-1] <= 122) else (word, b"")
+
+
+class _WordIds:
     """Bytes of the little-endian ids of each white-space separated word.
 
     The tokenizer folds white space and case and splits at white space, so a text's ids are its words' ids in order. It also
@@ -46,24 +51,31 @@ class _WordIds(dict):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.words: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {}
 
     def of(self, words: list[bytes]) -> bytes:
         """The ids of words in a row; those not met before are tokenized together."""
-        if new := [w for w in set(words) if w not in self]:
-            split = [_TAIL.match(w.translate(LOWER)).groups() for w in new]
-            parts = list({p for pair in split for p in pair if p and p not in self.parts})
+        found = list(map(self.words.get, words))
+        if None in found:
+            split = {w: _parted(w.translate(LOWER)) for w, ids in zip(words, found, strict=True) if ids is None}
+            parts = list({p for pair in split.values() for p in pair if p and p not in self.parts})
             for p, e in zip(parts, self.tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False), strict=True):
                 self.parts[p] = np.array(e.ids, dtype="<u4").tobytes()
-            for w, (bare, tail) in zip(new, split, strict=True):
-                self[w] = self.parts[bare] + self.parts[tail] if tail else self.parts[bare]
-        return b"".join(map(self.__getitem__, words))
+            for w, (bare, tail) in split.items():
+                self.words[w] = self.parts[bare] + self.parts[tail] if tail else self.parts[bare]
+            found = list(map(self.words.get, words))
+        return b"".join(found)
 
 
 def _tokenizer(path: str) -> _WordIds:
-    if path not in _workers or len(_workers[path]) > WORDS:
+    if path not in _workers:
         _workers[path] = _WordIds(path)
-    return _workers[path]
+    own = _workers[path]
+    if len(own.words) > WORDS:
+        own.words.clear()
+        own.parts.clear()
+    return own
 
 
 def token_bytes(words: _WordIds, raw: bytes, slice_bytes: int = 1 << 22):
@@ -83,13 +95,11 @@ def _pieces(path: str, capacity: int, end_id: int):
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
-        part, seen, words = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), _tokenizer(path)
+        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for b in batches:
-            if len(words) > WORDS:
-                words = _tokenizer(path)
             out: list[tuple] = []
-            for doc, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                piece, left, size = 0, b"", capacity * 4
+            for doc, raw in zip(each(b.column(0)), each(b.column(1)), strict=True):
+                piece, left, size, words = 0, b"", capacity * 4, _tokenizer(path)
                 for ids in (*token_bytes(words, raw), end):
                     left += ids
                     while len(left) > size:

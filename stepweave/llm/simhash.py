@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, fresh, written
+from .common import LOWER, each, fresh, written
 from .components import components
 
 BITS = 31
@@ -65,7 +65,7 @@ def simhash(raw: bytes | None, shingle: int = 3, slice_bytes: int = SLICE) -> in
 
 def _fingerprint_batches(batches):
     for b in batches:
-        prints = np.fromiter(map(simhash, b.column(2).to_pylist()), np.uint64, b.num_rows).view(np.int64)
+        prints = np.fromiter(map(simhash, each(b.column(2))), np.uint64, b.num_rows).view(np.int64)
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prints)], ["doc_id", "text_hash", "fp"])
 
 

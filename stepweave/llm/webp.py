@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load, text_or_empty
+from .common import each, load, text_or_empty
 
 # Fixed values of the format (RFC 9649): the order of code length codes; the near pixels that the first 120 distance codes
 # name, each as 16 * rows up + 8 - columns left.
@@ -412,8 +412,8 @@ def payload_of(pixels: np.ndarray) -> bytes:
 
 def _store_batches(batches):
     for b in batches:
-        media = [store(raw + b"\0" * ((-len(raw)) % 64 or (64 if not raw else 0))) for raw in b.column(1).to_pylist()]
-        sizes = [len(raw) for raw in b.column(1).to_pylist()]
+        media = [store(raw + b"\0" * ((-len(raw)) % 64 or (64 if not raw else 0))) for raw in each(b.column(1))]
+        sizes = [len(raw.as_buffer()) for raw in b.column(1)]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
 
@@ -434,7 +434,7 @@ def features(payload: bytes) -> str:
 def _digest_batches(batches):
     for b in batches:
         out = []
-        for media in b.column(2).to_pylist():
+        for media in each(b.column(2)):
             payload = b"".join(map(payload_of, read_back(media)))
             out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), features(payload)))
         cols = list(zip(*out, strict=True)) or [[]] * 6
