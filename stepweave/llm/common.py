@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from stepweave.plans.lineage import new_dir, written
 
-__all__ = ["LOWER", "ascii_lower", "each", "fresh", "load", "mounted", "new_dir", "text_or_empty", "written"]
+__all__ = ["BATCH_BYTES", "LOWER", "arrow_map", "ascii_lower", "each", "fresh", "load", "mounted", "new_dir", "text_or_empty", "written"]
 
 #: A-Z to a-z on UTF-8 bytes; every other byte stays.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Bytes of an Arrow batch that carries texts: bounds a worker's and the JVM's buffers, whatever the texts' lengths (one longer row is a batch alone).
+BATCH_BYTES = 4 << 20
 UPPER_AZ, LOWER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -48,5 +50,11 @@ def each(column):
     return (x.as_py() for x in column)
 
 
+def arrow_map(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow in batches of about BATCH_BYTES; the bound is set for the session."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

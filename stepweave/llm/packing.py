@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, each, load, text_or_empty, written
+from .common import LOWER, arrow_map, each, load, text_or_empty, written
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers at most; beyond, it starts anew.
@@ -117,7 +117,7 @@ def _pieces(path: str, capacity: int, end_id: int):
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """PIECE rows of all documents; a null text is an empty one, which is the end id alone."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("raw")).mapInArrow(_pieces(tokenizer, capacity, end_id), PIECE)
+    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("raw")), _pieces(tokenizer, capacity, end_id), PIECE)
 
 
 Pattern = tuple[tuple[int, int], ...]  # (length, times), longest first

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, each, fresh, load, text_or_empty
+from .common import LOWER, arrow_map, each, fresh, load, text_or_empty
 
 #: Labelled documents that the model is fitted to at most; slots of words and of shapes; documents that a word must occur in.
 SAMPLE, WORD_BITS, SHAPE_BITS, LEAST_DOCUMENTS = 6000, 20, 12, 5
@@ -155,7 +155,8 @@ def graded(labels: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_col: str = "text") -> Model:
     """Fits to at most ``sample`` labelled documents; their labels reach the documents by a broadcast of at most that many rows."""
     picked = graded(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("raw")).join(F.broadcast(picked), "doc_id").select("grade", "raw").mapInArrow(_feature_batches, "grade int, slots binary, vals binary").collect()
+    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("raw")).join(F.broadcast(picked), "doc_id").select("grade", "raw")
+    rows = arrow_map(raw, _feature_batches, "grade int, slots binary, vals binary").collect()
     rows = sorted(((r["grade"], bytes(r["slots"]), bytes(r["vals"])) for r in rows), key=lambda r: (r[0], xxhash.xxh64_intdigest(r[1]), r[1]))[: 2 * sample]
     # only the shapes' values were sent; those of words are all alike
     full = lambda s, v: np.r_[np.full(len(s) // 4 - len(v) // 4, 0.5, np.float32), np.frombuffer(v, np.float32)]
@@ -178,7 +179,7 @@ def score_rows(df: DataFrame, model: Model, text_col: str = "text") -> tuple[Dat
             yield pa.RecordBatch.from_arrays([*b.columns, *new], [*kept, *names])
 
     schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
-    return df.mapInArrow(run, schema), names
+    return arrow_map(df, run, schema), names
 
 
 def select(docs: DataFrame, model: Model, keep: float = KEEP, text_col: str = "text") -> DataFrame:

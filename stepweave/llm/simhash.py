@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, each, fresh, written
+from .common import LOWER, arrow_map, each, fresh, written
 from .components import components
 
 BITS = 31
@@ -72,7 +72,8 @@ def _fingerprint_batches(batches):
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, fp) per row; a null text counts as empty."""
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.cast("binary").alias("raw")).mapInArrow(_fingerprint_batches, "doc_id long, text_hash long, fp long")
+    raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.cast("binary").alias("raw"))
+    return arrow_map(raw, _fingerprint_batches, "doc_id long, text_hash long, fp long")
 
 
 def anchors(prints: DataFrame) -> DataFrame:
