@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stepweave.llm import decontaminate, packing, quality, simhash
+from stepweave.llm import decontaminate, packing, quality, similar
 from stepweave.llm.common import load, written
 
 
@@ -18,8 +18,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component of SimHash near-duplicates."""
-    return simhash.deduplicate(docs)
+    """Keeps one document of each component of near-duplicates: five-word shingles, Jaccard similarity 0.8 or more, each pair of it found."""
+    return similar.deduplicate(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

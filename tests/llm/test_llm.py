@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stepweave.llm import chat, decontaminate, kneser_ney, packing, quality, sharding, simhash, url_filters, warc, webp
+import corpus_pipeline
+from stepweave.llm import chat, decontaminate, kneser_ney, packing, quality, sharding, simhash, similar, url_filters, warc, webp
 
 DOCS = "doc_id long, text string, key string, size long"  # two names that operators use themselves
 
@@ -84,6 +85,44 @@ def test_dedup(spark, docs, none):
     assert simhash.deduplicate(none).count() == 0 and simhash.near_duplicates(none).count() == 0
 
 
+def test_similar(spark, docs, none):
+    """Components of exact Jaccard similarity 0.8 against brute force, with copies that lose up to a fifth of their shingles."""
+    r = random.Random(11)
+    rows = [(k, [f"w{r.randrange(4000)}" for _ in range(r.choice((40, 150, 400)))]) for k in range(40)]
+    for k in range(60):
+        own = list(rows[k % 40][1])
+        for _ in range(r.randint(1, max(1, len(own) // 45))):
+            own[r.randrange(len(own))] = f"x{r.randrange(10**6)}"
+        rows.append((100 + k, own))
+    common = [f"c{k}" for k in range(30)]  # a passage of many documents
+    rows += [(200 + k, [*common, *(f"y{r.randrange(10**6)}" for _ in range(r.randint(0, 60)))]) for k in range(60)]
+    grams = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, w in rows}
+    parent = {k: k for k in grams}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in grams:
+        for b in grams:
+            if a < b and 10 * len(grams[a] & grams[b]) >= 8 * len(grams[a] | grams[b]):
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    want = {k for k in grams if root(k) == k}
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")
+    assert {x["doc_id"] for x in similar.deduplicate(df).collect()} == want
+    similar.COMMON, old = 1, similar.COMMON
+    try:
+        found = similar.similar(df, chunk=16).groupBy("root").agg(F.min("doc_id").alias("k")).collect()
+    finally:
+        similar.COMMON = old
+    assert {x["k"] for x in found} == want
+    assert {x["doc_id"] for x in corpus_pipeline.dedup_stage(spark, df, "").collect()} == want
+    kept = [x["doc_id"] for x in similar.deduplicate(docs).collect()]
+    assert len(kept) == len(set(kept)) and not set(range(100, 120)) & set(kept) and 300 in kept and 301 not in kept and None in kept
+    assert similar.deduplicate(none).count() == 0
+
+
 def test_decontaminate(spark, docs, none):
     r = random.Random(9)
     items = [(k, " ".join(f"q{r.randrange(90)}" for _ in range(n))) for k, n in enumerate((3, 5, 20, 40, 70, 70))] + [(90, None), (91, "")]
