@@ -28,7 +28,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the token sequences of what is left."""
+    """Packs the token sequences of what is left: pieces with their token ids and places; packing.sequences joins them."""
     return packing.pack(docs, packing.word_tokenizer())
 
 

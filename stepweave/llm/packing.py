@@ -13,7 +13,6 @@ least. Pieces find their place by their rank among equals, counted per partition
 from __future__ import annotations
 
 import os
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from .common import LOWER, arrow_map, each, load, text_or_empty, written
 CAPACITY = 2048
 #: Words whose ids a worker remembers at most; beyond, it starts anew.
 WORDS = 150_000
-PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, nth long"
+PIECE = "doc_id long, piece int, start long, length long, ids binary, part long, nth long"
 _PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != ord("'"))
 _workers: dict[str, "_WordIds"] = {}  # per Python worker: tokenizers with their words
 
@@ -103,20 +102,20 @@ def _pieces(path: str, capacity: int, end_id: int):
                 for ids in (*token_bytes(words, raw), end):
                     left += ids
                     while len(left) > size:
-                        out.append((doc, piece, piece * capacity, capacity, zlib.crc32(left[:size]), part, int(seen[capacity])))
+                        out.append((doc, piece, piece * capacity, capacity, left[:size], part, int(seen[capacity])))
                         seen[capacity] += 1
                         piece, left = piece + 1, left[size:]
                 n = len(left) // 4
-                out.append((doc, piece, piece * capacity, n, zlib.crc32(left), part, int(seen[n])))
+                out.append((doc, piece, piece * capacity, n, left, part, int(seen[n])))
                 seen[n] += 1
             cols = list(zip(*out, strict=True)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), *[pa.int64()] * 5), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids", "part", "nth"])
 
     return run
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """PIECE rows of all documents; a null text is an empty one, which is the end id alone."""
+    """PIECE rows of all documents, ids as little-endian 32-bit numbers; a null text is an empty one, which is the end id alone."""
     return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("raw")), _pieces(tokenizer, capacity, end_id), PIECE)
 
 
@@ -255,8 +254,9 @@ def _placed(table: np.ndarray, columns: list[str]):
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", nodes: int = 3000) -> DataFrame:
-    """Per piece of each document: (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
+    """Per piece of each document: (doc_id, piece, start, length, ids, sequence_id, offset, ids_crc32).
 
+    ids: the piece's token ids, little-endian 32-bit numbers; ``sequences`` joins them. ids_crc32 is derived from the placed ids.
     Only documents longer than ``capacity`` are cut. A null or empty text is one piece, the end id. Rows with
     equal or null ids are packed like any others; an empty table gives no rows.
     """
@@ -265,8 +265,34 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     counts = {r["length"]: r["n"] for r in per.groupBy("length").agg(F.sum("count").alias("n")).collect()}
     table = places(complete_bins(counts, capacity, nodes))
     before = per.select("part", "length", (F.sum("count").over(Window.partitionBy("length").orderBy("part")) - F.col("count")).alias("before"))
-    ranked = rows.join(before, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("nth") + F.col("before")).alias("rank"))
-    return ranked.mapInArrow(_placed(table, ranked.columns), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    ranked = rows.join(before, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids", (F.col("nth") + F.col("before")).alias("rank"))
+    placed = arrow_map(ranked, _placed(table, ranked.columns), "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long")
+    return placed.withColumn("ids_crc32", F.crc32("ids"))
+
+
+def _joined(batches):
+    at, held = None, []
+
+    def sequence():
+        ids = np.frombuffer(b"".join(held), "<u4").astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([len(ids)], pa.int32()), pa.array([ids], pa.list_(pa.int32()))], ["sequence_id", "length", "ids"])
+
+    for b in batches:
+        for own, ids in zip(each(b.column(0)), each(b.column(1)), strict=True):
+            if own != at and held:
+                yield sequence()
+                held = []
+            at = own
+            held.append(ids)
+    if held:
+        yield sequence()
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """What ``pack`` gave, assembled: (sequence_id, length, ids array<int>), one row per sequence, its pieces in order of their offsets."""
+    n = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = packed.select("sequence_id", "offset", "ids").repartition(n, "sequence_id").sortWithinPartitions("sequence_id", "offset").select("sequence_id", "ids")
+    return arrow_map(rows, _joined, "sequence_id long, length int, ids array<int>")
 
 
 def word_tokenizer() -> str:
@@ -277,4 +303,5 @@ def word_tokenizer() -> str:
 
 def op8_best_fit_packing(spark, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
-    return pack(load(spark, sf_dir, "documents"), word_tokenizer())
+    packed = pack(load(spark, sf_dir, "documents"), word_tokenizer())
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -312,6 +312,24 @@ def test_packing(spark, docs, none):
     assert packing.pack(none, packing.word_tokenizer()).count() == 0
 
 
+def test_packed_sequences(spark, docs):
+    """The sequences hold every document's own token ids, at the places that the pieces name."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.word_tokenizer())
+    packed = packing.pack(docs, packing.word_tokenizer(), 256)
+    rows = packed.collect()
+    whole = {r["sequence_id"]: r["ids"] for r in packing.sequences(packed).collect()}
+    assert whole.keys() == {r["sequence_id"] for r in rows} and sum(map(len, whole.values())) == sum(r["length"] for r in rows)
+    texts = Counter((r["doc_id"], r["text"] or "") for r in docs.collect())
+    want = Counter()
+    for doc, text in texts:
+        want[doc, tuple([*tok.encode(text, add_special_tokens=False).ids, 0])] += texts[doc, text]
+    assert all(zlib.crc32(np.array(whole[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]], "<u4").tobytes()) == r["ids_crc32"] for r in rows)
+    cuts = Counter((doc, at, ids[at : at + 256]) for doc, ids in want.elements() for at in range(0, len(ids), 256))
+    assert Counter((r["doc_id"], r["start"], tuple(whole[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]])) for r in rows) == cuts
+
+
 def test_bin_completion():
     def optimum(items, cap):
         items, best = sorted(items, reverse=True), [len(items)]
