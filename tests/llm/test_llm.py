@@ -376,6 +376,33 @@ def test_urls(spark):
     assert url_filters.judge_urls(pages.where("false")).count() == 0
 
 
+def test_host_family(spark):
+    """Siblings are reached over a parent without pages, and no farther than the registered domain."""
+    rows = [(1, "http://a.bad.net/es/x", ""), (2, "http://b.c.bad.net/p", ""), (3, "http://other.net/p", ""), (4, "http://x.bad.co.uk/es/", ""), (5, "http://y.good.co.uk/p", ""), (6, "http://10.0.0.1/p", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    hosts = pages.select(url_filters.host_of(F.col("url")).alias("host"))
+    got = {(r["src"], r["dst"]) for r in url_filters.host_edges(pages.withColumn("host", F.lit("")), hosts).collect()}
+    up = {("a.bad.net", "bad.net"), ("b.c.bad.net", "c.bad.net"), ("c.bad.net", "bad.net"), ("x.bad.co.uk", "bad.co.uk"), ("y.good.co.uk", "good.co.uk")}
+    assert got == up | {(b, a) for a, b in up}
+    verdicts = {r["page_id"]: r["verdict"] for r in url_filters.judge_urls(pages).collect()}
+    assert verdicts[2] == "block" and verdicts[3] == verdicts[5] == verdicts[6] == "allow"
+
+
+def test_spread_settles(spark):
+    """A chain longer than any fixed number of rounds is reached to its end, with the ranks of the solved equations."""
+    n, d = 12, 0.85
+    edges = spark.createDataFrame([(f"h{k}", f"h{k + 1}", 1.0) for k in range(n)] + [(f"h{k + 1}", f"h{k}", 2.0) for k in range(n)], "src string, dst string, w double")
+    seeds = [spark.createDataFrame([(h, 1.0)], "host string, s double") for h in ("h0", "h5")]
+    got = {r["host"]: (r["host_trust"], r["host_distrust"]) for r in url_filters.spread(edges, *seeds).collect()}
+    w = np.zeros((n + 1, n + 1))
+    for k in range(n):
+        w[k, k + 1], w[k + 1, k] = 1, 2
+    for column, (flow, seed) in enumerate(((w, 0), (w.T, 5))):
+        flow = flow / flow.sum(1, keepdims=True)
+        want = np.linalg.solve(np.eye(n + 1) - d * flow.T, (1 - d) * np.eye(n + 1)[seed])
+        assert np.allclose([got[f"h{k}"][column] for k in range(n + 1)], want, rtol=1e-4, atol=0)
+
+
 def test_webp_columns(spark, docs, none):
     got = webp.media_digests(webp.with_media(docs)).collect()
     import hashlib
