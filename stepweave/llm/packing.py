@@ -2,17 +2,26 @@
 
 Tasks tokenize whole texts and cut them into pieces; pieces of one length are alike, so the packing is
 solved on the counts of the lengths (at most ``capacity`` of them, whatever the corpus holds). Bin
-completion takes the longest length left and enumerates the undominated fillings around it, fullest
-first; a filling is used as often as the counts allow. Branch and bound over these choices prunes a
-branch whose lower bound (bins closed + bytes left / capacity, and the waste so far against the waste that
-the incumbent allows) can't beat the incumbent; the first incumbent is best-fit. The search ends at the
-lower bound or after ``nodes`` nodes: the incumbent is then a whole packing all the same, only not proven
-least. Pieces find their place by their rank among equals, counted per partition.
+completion takes a length left and enumerates the undominated fillings around it, fullest first: a filling
+is dominated if a length left out fits beside it, or in place of some of its pieces that sum to no more.
+Branch and bound over these choices prunes a branch whose lower bound can't beat the incumbent, and never
+lays a filling whose waste is over what the incumbent allows; the first incumbent is best-fit.
+
+Two searches follow each other until one reaches the lower bound: dives that use a filling as often as the
+counts allow, of ever greater width; then one bin at a time over every undominated filling, which proves
+its result where it ends. ``steps`` bounds both (None: no bound, so the result is proven least).
+Within it the result is a whole packing all the same; ``Packed.proven`` tells. Pieces find their place by
+their rank among equals, counted per partition.
 """
 
 from __future__ import annotations
 
 import os
+import re
+import zlib
+from collections.abc import Iterator
+from itertools import chain, islice
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,94 +29,136 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, arrow_map, each, load, text_or_empty, written
+from .common import arrow_map, each, load, text_or_empty, written
 
 CAPACITY = 2048
-#: Words whose ids a worker remembers at most; beyond, it starts anew.
+#: Words whose ids a worker remembers, twice: those met of late, and those before them.
 WORDS = 150_000
+#: Steps of the search for a packing: what a query spends on the driver, a second or two.
+STEPS = 2_000_000
 PIECE = "doc_id long, piece int, start long, length long, ids binary, part long, nth long"
-_PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != ord("'"))
+#: A word that the tokenizer surely cuts in three: punctuation, letters that its normalizer only lower-cases, punctuation. Apostrophes are left to the tokenizer.
+_PARTED = re.compile(r"([!-&(-/:-@\[-`{-~]*)([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 _workers: dict[str, "_WordIds"] = {}  # per Python worker: tokenizers with their words
 
 
-def _parted(word: bytes) -> tuple[bytes, bytes]:
-    """A word and the punctuation at its end, where the tokenizer splits there for certain."""
-    bare = word.rstrip(_PUNCTUATION)
-    return (bare, word[len(bare) :]) if bare and (48 <= bare[-1] <= 57 or 97 <= bare[-1] <= 122) else (word, b"")
-
-
 class _WordIds:
-    """Bytes of the little-endian ids of each white-space separated word.
+    """Bytes of the little-endian ids (16 bits each where the vocabulary allows, else 32) of each white-space separated word.
 
-    The tokenizer folds white space and case and splits at white space, so a text's ids are its words' ids in order. It also
-    splits between a letter or digit and punctuation (apostrophes apart), so a word's punctuation at the end is
-    looked up alone, and each bare word is tokenized once whatever its case and what follows it.
+    The tokenizer folds white space and case and splits at white space, so a text's ids are its words' ids in order. Words
+    not met of late are learned together: where the model marks the ends of words, their letters pass it in one text, without
+    the normalizer and the patterns that such letters do not need.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
+        size = self.tokenizer.get_vocab_size()
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
+        mark = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.plain = None
+        if mark:
+            self.plain = Tokenizer.from_file(path)
+            self.plain.normalizer = normalizers.Sequence([])
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.ends = np.zeros(size, bool)
+            self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(mark)]] = True
+
+    def _slow(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.kind)
+        cuts = ((np.flatnonzero(self.ends[ids]) + 1) * self.kind.itemsize).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+
+    def _learn(self, words: list[bytes]) -> None:
+        parted, rest = {}, []
+        for w in words:
+            m = _PARTED(w.decode().lower()) if self.plain else None
+            if m:
+                parted[w] = m.groups()
+            else:
+                rest.append(w)
+        if parted:
+            if len(self.marks) > 10_000:
+                self.marks = {"": b""}
+            marks = list({x for head, _, tail in parted.values() for x in (head, tail) if x not in self.marks})
+            self.marks.update(zip(marks, self._slow(marks), strict=True))
+            letters = list(dict.fromkeys(x for _, x, _ in parted.values()))
+            ids = dict(zip(letters, self._letters(letters), strict=True))
+            for w, (head, x, tail) in parted.items():
+                self.new[w] = self.marks[head] + ids[x] + self.marks[tail]
+        if rest:
+            self.new.update(zip(rest, self._slow([w.decode() for w in rest]), strict=True))
 
     def of(self, words: list[bytes]) -> bytes:
-        """The ids of words in a row; those not met before are tokenized together."""
-        found = list(map(self.words.get, words))
+        """The ids of words in a row."""
+        if len(self.new) > WORDS:
+            self.old, self.new = self.new, {}
+        found = list(map(self.new.get, words))
         if None in found:
-            split = {w: _parted(w.translate(LOWER)) for w, ids in zip(words, found, strict=True) if ids is None}
-            parts = list({p for pair in split.values() for p in pair if p and p not in self.parts})
-            for p, e in zip(parts, self.tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False), strict=True):
-                self.parts[p] = np.array(e.ids, dtype="<u4").tobytes()
-            for w, (bare, tail) in split.items():
-                self.words[w] = self.parts[bare] + self.parts[tail] if tail else self.parts[bare]
-            found = list(map(self.words.get, words))
+            missing = []
+            for w in {w for w, ids in zip(words, found, strict=True) if ids is None}:
+                ids = self.old.get(w)
+                if ids is None:
+                    missing.append(w)
+                else:
+                    self.new[w] = ids
+            self._learn(missing)
+            found = list(map(self.new.__getitem__, words))
         return b"".join(found)
 
 
 def _tokenizer(path: str) -> _WordIds:
     if path not in _workers:
         _workers[path] = _WordIds(path)
-    own = _workers[path]
-    if len(own.words) > WORDS:
-        own.words.clear()
-        own.parts.clear()
-    return own
+    return _workers[path]
 
 
-def token_bytes(words: _WordIds, raw: bytes, slice_bytes: int = 1 << 22):
+def token_bytes(words: _WordIds, raw: bytes, slice_bytes: int = 1 << 20) -> Iterator[bytes]:
     """The ids of a whole text in slices that end between words."""
     pos = 0
     while pos < len(raw):
         end = pos + slice_bytes
         if end < len(raw):
-            cut = min((p for p in (raw.find(b" ", end), raw.find(b"\n", end)) if p >= 0), default=len(raw))
-            end = cut
+            end = min((p for p in (raw.find(b" ", end), raw.find(b"\n", end)) if p >= 0), default=len(raw))
         yield words.of(raw[pos:end].split())
         pos = end
 
 
 def _pieces(path: str, capacity: int, end_id: int):
     """Per row of (doc_id, raw): its pieces. part and nth: the task, and how many pieces of this length it had before."""
-    end = np.array([end_id], dtype="<u4").tobytes()
+
+    def cut(words: _WordIds, raw: bytes) -> Iterator[bytes]:
+        width = words.kind.itemsize
+        size, left = capacity * width, bytearray()
+        for ids in chain(token_bytes(words, raw), (np.array([end_id], words.kind).tobytes(),)):
+            left += ids
+            at = 0
+            while len(left) - at > size:
+                yield bytes(left[at : at + size])
+                at += size
+            del left[:at]
+        yield bytes(left)
 
     def run(batches):
-        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        part, seen, words = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), _tokenizer(path)
+        width = words.kind.itemsize
         for b in batches:
             out: list[tuple] = []
             for doc, raw in zip(each(b.column(0)), each(b.column(1)), strict=True):
-                piece, left, size, words = 0, b"", capacity * 4, _tokenizer(path)
-                for ids in (*token_bytes(words, raw), end):
-                    left += ids
-                    while len(left) > size:
-                        out.append((doc, piece, piece * capacity, capacity, left[:size], part, int(seen[capacity])))
-                        seen[capacity] += 1
-                        piece, left = piece + 1, left[size:]
-                n = len(left) // 4
-                out.append((doc, piece, piece * capacity, n, left, part, int(seen[n])))
-                seen[n] += 1
+                for piece, ids in enumerate(cut(words, raw)):
+                    n = len(ids) // width
+                    out.append((doc, piece, piece * capacity, n, ids, part, int(seen[n])))
+                    seen[n] += 1
             cols = list(zip(*out, strict=True)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids", "part", "nth"])
 
@@ -115,7 +166,7 @@ def _pieces(path: str, capacity: int, end_id: int):
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """PIECE rows of all documents, ids as little-endian 32-bit numbers; a null text is an empty one, which is the end id alone."""
+    """PIECE rows of all documents, ids little-endian in 16 or 32 bits each; a null text is an empty one, which is the end id alone."""
     return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("raw")), _pieces(tokenizer, capacity, end_id), PIECE)
 
 
@@ -124,44 +175,90 @@ Pattern = tuple[tuple[int, int], ...]  # (length, times), longest first
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
     """Martello and Toth's L2: bins that the long pieces need, plus what of the rest can't fit beside them."""
-    best = -(-sum(k * n for k, n in counts.items()) // capacity)
-    for cut in sorted({k for k in counts if k <= capacity // 2} | {0}):
-        large = sum(n for k, n in counts.items() if k > capacity - cut)
-        middle = [(k, n) for k, n in counts.items() if capacity // 2 < k <= capacity - cut]
-        n_middle, room = sum(n for _, n in middle), sum((capacity - k) * n for k, n in middle)
-        rest = sum(k * n for k, n in counts.items() if cut <= k <= capacity // 2)
-        best = max(best, large + n_middle + max(0, -(-(rest - room) // capacity)))
-    return best
-
-
-def _fillings(lengths: list[int], counts: dict[int, int], room: int, limit: int, tries: int = 4000):
-    """Fillings of ``room`` from what is left, fullest first, at most ``limit``; none is dominated: nothing left fits beside it, and of equal sums that of fewer, longer pieces comes first."""
-    found: dict[Pattern, int] = {}
-    spent = 0
-
-    def walk(i: int, room: int, chosen: tuple) -> bool:
-        nonlocal spent
-        spent += 1
-        while i < len(lengths) and lengths[i] > room:
-            i += 1
-        if i == len(lengths):
-            found.setdefault(chosen, room)
-            return room == 0 and len(found) >= limit or spent > tries
-        k = lengths[i]
-        most = min(counts[k], room // k)
-        for times in range(most, -1, -1):
-            if times == 0 and room < lengths[-1]:
-                break
-            if walk(i + 1, room - times * k, (*chosen, (k, times)) if times else chosen):
-                return True
-            if times == most and most and lengths[-1] > room - (times - 1) * k and room - times * k == 0:
-                break
+    n, half = np.zeros(capacity + 2, np.int64), capacity // 2
+    n[list(counts)] = list(counts.values())
+    many, weight = np.cumsum(n), np.cumsum(n * np.arange(capacity + 2))
+    cut = np.arange(half + 1)  # pieces under cut are left out, those over capacity - cut stand alone
+    high = capacity - cut
+    large = many[capacity] - many[high]
+    middle, room = many[high] - many[half], (many[high] - many[half]) * capacity - (weight[high] - weight[half])
+    rest = weight[half] - np.where(cut > 0, weight[cut - 1], 0)
+    return int(max(-(-weight[capacity] // capacity), (large + middle + np.maximum(0, -(-(rest - room) // capacity))).max()))
+
+
+def _dominated(chosen: Pattern, left: dict[int, int], slack: int) -> bool:
+    """Whether a length left out could stand in place of some of the chosen pieces (or of none) that sum to no more than it."""
+    held = dict(chosen)
+    out = [x for x in left if left[x] > held.get(x, 0)]
+    if not out:
         return False
-
-    walk(0, room, ())
-    smallest = lambda chosen: next((k for k in reversed(lengths) if counts[k] > dict(chosen).get(k, 0)), None)
-    whole = [(waste, chosen) for chosen, waste in found.items() if (k := smallest(chosen)) is None or k > waste]
-    return [c for _, c in sorted(whole or [(w, c) for c, w in found.items()], key=lambda x: (x[0], len(x[1]), tuple((-k, n) for k, n in x[1])))[:limit]]
+    if min(out) <= slack:
+        return True
+    sums, at = 1, sorted(held)  # bit s: pieces shorter than x sum to s
+    k = 0
+    for x in sorted(out):
+        while k < len(at) and at[k] < x:
+            for _ in range(held[at[k]]):
+                sums |= sums << at[k]
+            k += 1
+        low = max(1, x - slack)
+        if sums >> low & ((1 << (x - low + 1)) - 1):
+            return True
+    return False
+
+
+class _Spent(Exception):
+    """The steps of a search are used up."""
+
+
+class _Steps:
+    def __init__(self, most: int | None):
+        self.left = most
+
+    def take(self, n: int = 1) -> None:
+        if self.left is not None:
+            self.left -= n
+            if self.left < 0:
+                raise _Spent
+
+
+def _fillings(left: dict[int, int], k: int, capacity: int, waste: int, steps: _Steps) -> Iterator[tuple[int, Pattern]]:
+    """(slack, filling) of the undominated fillings around a piece of length k that waste at most ``waste``: fullest first, then those of longer pieces. Made one at a time."""
+    own = dict(left)
+    own[k] -= 1
+    lengths = [x for x in sorted(left, reverse=True) if own[x] and x <= capacity - k]
+    steps.take(8 + 4 * len(lengths))
+    # bit s of reach[i]: pieces from lengths[i] on sum to s, so that no step leads nowhere
+    reach, room, mask = [1] * (len(lengths) + 1), capacity - k, (1 << (capacity - k + 1)) - 1
+    for i in range(len(lengths) - 1, -1, -1):
+        sums = reach[i + 1]
+        for _ in range(min(own[lengths[i]], room // lengths[i])):
+            more = (sums | sums << lengths[i]) & mask
+            if more == sums:
+                break
+            sums = more
+        reach[i] = sums
+
+    def walk(i: int, rest: int, chosen: Pattern):
+        if not rest:
+            yield chosen
+            return
+        for j in range(i, len(lengths)):
+            steps.take()
+            if not reach[j] >> rest & 1:
+                return
+            x = lengths[j]
+            for times in range(min(own[x], rest // x), 0, -1):
+                if reach[j + 1] >> (rest - times * x) & 1:
+                    yield from walk(j + 1, rest - times * x, (*chosen, (x, times)))
+
+    for slack in range(min(waste, room) + 1):
+        if reach[0] >> (room - slack) & 1:
+            for filling in walk(0, room - slack, ()):
+                if not _dominated(filling, own, slack):
+                    chosen = dict(filling)
+                    chosen[k] = chosen.get(k, 0) + 1
+                    yield slack, tuple(sorted(chosen.items(), reverse=True))
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
@@ -183,45 +280,87 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]
     return out
 
 
-def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 3000, width: int = 3) -> list[tuple[Pattern, int]]:
-    """(filling, times) that use up counts exactly, in as few bins as the search finds."""
+class Packed(NamedTuple):
+    bins: list[tuple[Pattern, int]]
+    bound: int
+    proven: bool
+
+
+def _laid(path) -> list[tuple[Pattern, int]]:
+    out = []
+    while path:
+        path, step = path
+        out.append(step)
+    return out[::-1]
+
+
+def _search(counts: dict[int, int], capacity: int, best: int, bound: int, width: int | None, steps: _Steps) -> tuple[list | None, bool]:
+    """Depth first: a packing of fewer than ``best`` bins or None, and whether all was searched.
+
+    With a width, so many fillings are tried around the longest length left, each used as often as the counts allow. Without
+    one, every undominated filling of one bin at a time, around the length that has fewest of them where no waste is allowed.
+    """
+    total, found, dead = sum(k * n for k, n in counts.items()), None, set()
+
+    def options(left: dict[int, int], bins: int, waste: int) -> Iterator[tuple[int, Pattern]]:
+        room = (best - 1) * capacity - total - waste
+        if room < 0 or bins + lower_bound(left, capacity) >= best:
+            return iter(())
+        if width is not None:
+            return islice(_fillings(left, max(left), capacity, room, steps), width)
+        state = (bins, frozenset(left.items()))
+        if state in dead:
+            return iter(())
+        dead.add(state)  # searched once for each incumbent; equal counts and bins have wasted alike
+        fewest = None
+        for k in sorted(left, reverse=True)[: 1 if room else 6]:
+            some = _fillings(left, k, capacity, room, steps)
+            first = list(islice(some, 4))
+            if fewest is None or len(first) < len(fewest[0]):
+                fewest = first, some
+            if len(first) < 2:
+                break
+        return chain(*fewest)
+
+    stack = [(counts, 0, 0, (), options(counts, 0, 0))]
+    try:
+        while stack and best > bound:
+            steps.take()
+            left, bins, waste, path, own = stack[-1]
+            slack, pattern = next(own, (None, None))
+            if pattern is None:
+                stack.pop()
+                continue
+            times = 1 if width is None else min(left[x] // n for x, n in pattern)
+            used = dict(pattern)
+            after = {x: m for x, n in left.items() if (m := n - used.get(x, 0) * times)}
+            bins, waste, path = bins + times, waste + times * slack, (path, (pattern, times))
+            if after:
+                stack.append((after, bins, waste, path, options(after, bins, waste)))
+            elif bins < best:
+                best, found = bins, path
+                dead.clear()
+    except _Spent:
+        return found and _laid(found), False
+    return found and _laid(found), True
+
+
+def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, steps: int | None = STEPS) -> Packed:
+    """(filling, times) that use up counts exactly, in as few bins as the search finds; steps None: in the least number there is."""
     counts = {k: n for k, n in counts.items() if n > 0}
     if any(not 0 < k <= capacity for k in counts):
         raise ValueError("lengths run from 1 to the capacity")
-    best = best_fit(counts, capacity)
-    bound, total = lower_bound(counts, capacity), sum(k * n for k, n in counts.items())
-    bins_of = lambda packing: sum(t for _, t in packing)
-    best_bins, spent = bins_of(best), 0
-    # depth first, the fullest filling first; an explicit stack, as the depth is the number of fillings used
-    stack = [(counts, 0, 0, ())]
-    while stack and best_bins > bound and spent < nodes:
-        left, bins, waste, path = stack.pop()
-        spent += 1
-        if not left:
-            if bins < best_bins:
-                best_bins, best, at = bins, [], path
-                while at:
-                    at, step = at
-                    best.append(step)
-                best.reverse()
-            continue
-        rest = sum(k * n for k, n in left.items())
-        if bins + -(-rest // capacity) >= best_bins or waste > (best_bins - 1) * capacity - total:
-            continue
-        order = sorted(left, reverse=True)
-        k = order[0]
-        own = dict(left)
-        own[k] -= 1
-        nexts = []
-        for filling in _fillings([x for x in order if own[x]], own, capacity - k, width):
-            chosen = dict(filling)
-            chosen[k] = chosen.get(k, 0) + 1
-            times = min(left[x] // n for x, n in chosen.items())
-            after = {x: m for x, n in left.items() if (m := n - chosen.get(x, 0) * times)}
-            pattern = tuple(sorted(chosen.items(), reverse=True))
-            nexts.append((after, bins + times, waste + times * (capacity - sum(x * n for x, n in pattern)), (path, (pattern, times))))
-        stack.extend(reversed(nexts))
-    return best
+    best, bound = best_fit(counts, capacity), lower_bound(counts, capacity)
+    bins, whole = sum(t for _, t in best), False
+    for width, share in ((1, 0.1), (3, 0.2), (16, 0.2), (None, 0.5)):
+        if bins <= bound:
+            break
+        most = None if steps is None and width is None else int(share * (steps or STEPS))
+        found, ended = _search(counts, capacity, bins, bound, width, _Steps(most))
+        whole = ended and width is None
+        if found:
+            best, bins = found, sum(t for _, t in found)
+    return Packed(best, bound, whole or bins <= bound)
 
 
 def places(packing: list[tuple[Pattern, int]]) -> np.ndarray:
@@ -247,27 +386,30 @@ def _placed(table: np.ndarray, columns: list[str]):
             row = table[np.searchsorted(keys, length * (1 << 48) + rank, side="right") - 1]
             nth = rank - row[:, 1]
             sequence, offset = row[:, 3] + nth // row[:, 2], row[:, 4] + nth % row[:, 2] * length
-            keep = [i for i, c in enumerate(columns) if c != "rank"]
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in keep], pa.array(sequence), pa.array(offset)], [*[columns[i] for i in keep], "sequence_id", "offset"])
+            ids, crcs = [], []
+            for raw, n in zip(each(b.column(columns.index("ids"))), length.tolist(), strict=True):
+                ids.append(raw if len(raw) == 4 * n else np.frombuffer(raw, "<u2").astype("<u4").tobytes())
+                crcs.append(zlib.crc32(ids[-1]))
+            keep = [c for c in columns if c not in ("rank", "ids")]
+            yield pa.RecordBatch.from_arrays([*[b.column(columns.index(c)) for c in keep], pa.array(ids, pa.binary()), pa.array(sequence), pa.array(offset), pa.array(crcs, pa.int64())], [*keep, "ids", "sequence_id", "offset", "ids_crc32"])
 
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", nodes: int = 3000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", steps: int | None = STEPS) -> DataFrame:
     """Per piece of each document: (doc_id, piece, start, length, ids, sequence_id, offset, ids_crc32).
 
-    ids: the piece's token ids, little-endian 32-bit numbers; ``sequences`` joins them. ids_crc32 is derived from the placed ids.
+    ids: the piece's token ids, little-endian 32-bit numbers; ``sequences`` joins them. ids_crc32 is derived from the placed ids. Extra columns are not looked at.
     Only documents longer than ``capacity`` are cut. A null or empty text is one piece, the end id. Rows with
     equal or null ids are packed like any others; an empty table gives no rows.
     """
     rows = written(pieces(docs, tokenizer, capacity, end_id, id_col, text_col), "pieces")
     per = rows.groupBy("part", "length").count()
     counts = {r["length"]: r["n"] for r in per.groupBy("length").agg(F.sum("count").alias("n")).collect()}
-    table = places(complete_bins(counts, capacity, nodes))
+    table = places(complete_bins(counts, capacity, steps).bins)
     before = per.select("part", "length", (F.sum("count").over(Window.partitionBy("length").orderBy("part")) - F.col("count")).alias("before"))
     ranked = rows.join(before, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids", (F.col("nth") + F.col("before")).alias("rank"))
-    placed = arrow_map(ranked, _placed(table, ranked.columns), "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long")
-    return placed.withColumn("ids_crc32", F.crc32("ids"))
+    return arrow_map(ranked, _placed(table, ranked.columns), "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long, ids_crc32 long")
 
 
 def _joined(batches):
