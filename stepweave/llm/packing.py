@@ -255,6 +255,7 @@ def _fillings(left: dict[int, int], k: int, capacity: int, waste: int, steps: _S
     for slack in range(min(waste, room) + 1):
         if reach[0] >> (room - slack) & 1:
             for filling in walk(0, room - slack, ()):
+                steps.take(2 * len(own))
                 if not _dominated(filling, own, slack):
                     chosen = dict(filling)
                     chosen[k] = chosen.get(k, 0) + 1
