@@ -37,8 +37,9 @@ WORDS = 150_000
 #: Steps of the search for a packing: what a query spends on the driver, a second or two.
 STEPS = 2_000_000
 PIECE = "doc_id long, piece int, start long, length long, ids binary, part long, nth long"
-#: A word that the tokenizer surely cuts in three: punctuation, letters that its normalizer only lower-cases, punctuation. Apostrophes are left to the tokenizer.
-_PARTED = re.compile(r"([!-&(-/:-@\[-`{-~]*)([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+#: Lines, each a word: those that the tokenizer surely cuts in three (punctuation, letters that its normalizer only lower-cases,
+#: punctuation) in these parts, others with none. Apostrophes are left to the tokenizer.
+_PARTED = re.compile(r"^(?:([!-&(-/:-@\[-`{-~]*)([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)$|.*$)", re.M).findall
 _workers: dict[str, "_WordIds"] = {}  # per Python worker: tokenizers with their words
 
 
@@ -80,27 +81,29 @@ class _WordIds:
         return [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
 
     def _learn(self, words: list[bytes]) -> None:
-        parted, rest = {}, []
-        for w in words:
-            m = _PARTED(w.decode().lower()) if self.plain else None
-            if m:
-                parted[w] = m.groups()
+        if not words:
+            return
+        if not self.plain:
+            self.new.update(zip(words, self._slow([w.decode() for w in words]), strict=True))
+            return
+        found = _PARTED(b"\n".join(words).decode().lower())
+        if len(self.marks) > 10_000:
+            self.marks = {"": b""}
+        marks = list({x for head, _, tail in found for x in (head, tail) if x not in self.marks})
+        if marks:
+            self.marks.update(zip(marks, self._slow(marks), strict=True))
+        letters = list(dict.fromkeys(x for _, x, _ in found if x))
+        ids, mark, rest = dict(zip(letters, self._letters(letters), strict=True)) if letters else {}, self.marks, []
+        for w, (head, x, tail) in zip(words, found, strict=True):
+            if x:
+                self.new[w] = mark[head] + ids[x] + mark[tail] if head or tail else ids[x]
             else:
                 rest.append(w)
-        if parted:
-            if len(self.marks) > 10_000:
-                self.marks = {"": b""}
-            marks = list({x for head, _, tail in parted.values() for x in (head, tail) if x not in self.marks})
-            self.marks.update(zip(marks, self._slow(marks), strict=True))
-            letters = list(dict.fromkeys(x for _, x, _ in parted.values()))
-            ids = dict(zip(letters, self._letters(letters), strict=True))
-            for w, (head, x, tail) in parted.items():
-                self.new[w] = self.marks[head] + ids[x] + self.marks[tail]
         if rest:
             self.new.update(zip(rest, self._slow([w.decode() for w in rest]), strict=True))
 
-    def of(self, words: list[bytes]) -> bytes:
-        """The ids of words in a row."""
+    def of(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word."""
         if len(self.new) > WORDS:
             self.old, self.new = self.new, {}
         found = list(map(self.new.get, words))
@@ -114,7 +117,7 @@ class _WordIds:
                     self.new[w] = ids
             self._learn(missing)
             found = list(map(self.new.__getitem__, words))
-        return b"".join(found)
+        return found
 
 
 def _tokenizer(path: str) -> _WordIds:
@@ -123,24 +126,49 @@ def _tokenizer(path: str) -> _WordIds:
     return _workers[path]
 
 
-def token_bytes(words: _WordIds, raw: bytes, slice_bytes: int = 1 << 20) -> Iterator[bytes]:
+def token_bytes(words: _WordIds, raw: bytes, slice_bytes: int = 1 << 19) -> Iterator[bytes]:
     """The ids of a whole text in slices that end between words."""
     pos = 0
     while pos < len(raw):
         end = pos + slice_bytes
         if end < len(raw):
             end = min((p for p in (raw.find(b" ", end), raw.find(b"\n", end)) if p >= 0), default=len(raw))
-        yield words.of(raw[pos:end].split())
+        yield b"".join(words.of(raw[pos:end].split()))
         pos = end
 
 
+def _documents(words: _WordIds, rows, slice_bytes: int = 1 << 19) -> Iterator[tuple[object, Iterator[bytes]]]:
+    """(id, text) -> (id, slices of its ids): short texts are looked up together, long ones by slices."""
+
+    def together() -> Iterator[tuple[object, Iterator[bytes]]]:
+        parts = [raw.split() for _, raw in held]
+        found, at = words.of(list(chain.from_iterable(parts))), 0
+        for (doc, _), own in zip(held, parts, strict=True):
+            yield doc, iter((b"".join(found[at : at + len(own)]),))
+            at += len(own)
+
+    held, size = [], 0
+    for doc, raw in rows:
+        if len(raw) > slice_bytes:
+            yield from together()
+            held, size = [], 0
+            yield doc, token_bytes(words, raw, slice_bytes)
+            continue
+        held.append((doc, raw))
+        size += len(raw)
+        if size > slice_bytes:
+            yield from together()
+            held, size = [], 0
+    yield from together()
+
+
 def _pieces(path: str, capacity: int, end_id: int):
     """Per row of (doc_id, raw): its pieces. part and nth: the task, and how many pieces of this length it had before."""
 
-    def cut(words: _WordIds, raw: bytes) -> Iterator[bytes]:
+    def cut(words: _WordIds, slices: Iterator[bytes]) -> Iterator[bytes]:
         width = words.kind.itemsize
         size, left = capacity * width, bytearray()
-        for ids in chain(token_bytes(words, raw), (np.array([end_id], words.kind).tobytes(),)):
+        for ids in chain(slices, (np.array([end_id], words.kind).tobytes(),)):
             left += ids
             at = 0
             while len(left) - at > size:
@@ -154,8 +182,8 @@ def _pieces(path: str, capacity: int, end_id: int):
         width = words.kind.itemsize
         for b in batches:
             out: list[tuple] = []
-            for doc, raw in zip(each(b.column(0)), each(b.column(1)), strict=True):
-                for piece, ids in enumerate(cut(words, raw)):
+            for doc, slices in _documents(words, zip(each(b.column(0)), each(b.column(1)), strict=True)):
+                for piece, ids in enumerate(cut(words, slices)):
                     n = len(ids) // width
                     out.append((doc, piece, piece * capacity, n, ids, part, int(seen[n])))
                     seen[n] += 1
@@ -409,7 +437,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     counts = {r["length"]: r["n"] for r in per.groupBy("length").agg(F.sum("count").alias("n")).collect()}
     table = places(complete_bins(counts, capacity, steps).bins)
     before = per.select("part", "length", (F.sum("count").over(Window.partitionBy("length").orderBy("part")) - F.col("count")).alias("before"))
-    ranked = rows.join(before, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids", (F.col("nth") + F.col("before")).alias("rank"))
+    ranked = rows.join(before.hint("shuffle_hash"), ["part", "length"])  # the counts are the small side: token ids need not be sorted
+    ranked = ranked.select("doc_id", "piece", "start", "length", "ids", (F.col("nth") + F.col("before")).alias("rank"))
     return arrow_map(ranked, _placed(table, ranked.columns), "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long, ids_crc32 long")
 
 
