@@ -1,8 +1,8 @@
 """Quality by ordinal regression: a cumulative logit over hashed text, with ordered thresholds.
 
 Grades: 0 low quality, 1 toxic but written well, 2 good. P(grade <= k) = 1 / (1 + exp(score - threshold_k)),
-one weight vector for all grades. The model is fitted on the driver to a bounded sample of labelled
-documents (``SAMPLE``, the smallest hashes of their ids, whatever the size of the corpus); every document is scored.
+one weight vector for all grades. One task fits the model to a bounded sample of labelled documents (``SAMPLE``, an even
+share of each grade, the smallest hashes of their ids, whatever the size of the corpus); every document is scored.
 
 Features: each distinct word (punctuation off, A-Z lower-cased) and word beginning in two slots of a hashed space, and of
 the shapes of words (case, digits, the punctuation around them) each one's share of all words.
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +21,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, arrow_map, each, fresh, load, text_or_empty
+from .common import LOWER, arrow_map, each, fresh, load, text_or_empty, written
 
 #: Labelled documents that the model is fitted to at most; slots of words and of shapes; documents that a word must occur in.
-SAMPLE, WORD_BITS, SHAPE_BITS, LEAST_DOCUMENTS = 6000, 20, 12, 5
-#: How strongly a slot must go with the grades to get a weight; chance alone passes this for one slot in three million.
-CHI_SQUARE = 30.0
+SAMPLE, WORD_BITS, SHAPE_BITS, LEAST_DOCUMENTS = 9000, 20, 12, 5
+DIMS = (1 << WORD_BITS) + (1 << SHAPE_BITS)
+#: Bytes of features that the model is fitted to at most: of the sample in order, documents up to that.
+SAMPLE_BYTES = 96 << 20
+#: How strongly a slot must go with the grades to get a weight: a chi-square of this share of the documents, and of this at least.
+EFFECT, CHI_SQUARE = 0.02, 20.0
 #: A document is kept if its probability of the best grade is at least this.
 KEEP = 0.5
+GRADES = 3
 CACHE = 150_000
 #: Bytes of a word's beginnings that are features too: inflected words share their stem.
 STARTS = (4, 5)
@@ -37,18 +42,31 @@ _RUN = re.compile(rb"(.)\1+", re.DOTALL)
 
 
 class _Words(dict):
-    """word -> (hashes of the bare word and of its beginnings, or 0; slot of its shape)."""
+    """word -> its row; per row the slots of the bare word and of its beginnings (-1: none), and of its shape."""
 
-    def __missing__(self, word: bytes) -> tuple[int, int, int, int]:
+    def __init__(self):
+        super().__init__()
+        self.slots = np.empty((0, 2 * (1 + len(STARTS))), np.int32)
+        self.shapes = np.empty(0, np.int32)
+        self.fresh: list[tuple[int, ...]] = []
+
+    def __missing__(self, word: bytes) -> int:
         bare = word.strip(_PUNCTUATION).translate(LOWER)
         shape = _RUN.sub(rb"\1\1", word.translate(_KIND))[:12]
-        starts = (xxhash.xxh64_intdigest(bare[:n], n) if len(bare) >= n else 0 for n in STARTS)
-        self[word] = out = (xxhash.xxh64_intdigest(bare) if bare else 0, *starts, xxhash.xxh32_intdigest(shape) & ((1 << SHAPE_BITS) - 1))
-        return out
+        hashes = (xxhash.xxh64_intdigest(bare) if bare else 0, *(xxhash.xxh64_intdigest(bare[:n], n) if len(bare) >= n else 0 for n in STARTS))
+        mask = (1 << WORD_BITS) - 1
+        self.fresh.append((*(x for h in hashes for x in ((h & mask, h >> WORD_BITS & mask) if h else (-1, -1))), xxhash.xxh32_intdigest(shape) & ((1 << SHAPE_BITS) - 1)))
+        self[word] = row = len(self.shapes) + len(self.fresh) - 1
+        return row
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.fresh:
+            more = np.array(self.fresh, np.int32)
+            self.slots, self.shapes, self.fresh = np.concatenate([self.slots, more[:, :-1]]), np.concatenate([self.shapes, more[:, -1]]), []
+        return self.slots, self.shapes
 
 
-def featurize(raw: bytes, known: _Words, slice_bytes: int = 4 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and values of a whole text. No words: none."""
+def _counted(raw: bytes, slice_bytes: int = 4 << 20) -> Counter:
     words: Counter = Counter()
     pos = 0
     while pos < len(raw):
@@ -57,43 +75,76 @@ def featurize(raw: bytes, known: _Words, slice_bytes: int = 4 << 20) -> tuple[np
             end += 1
         words.update(raw[pos:end].split())
         pos = end
+    return words
+
+
+def features(texts, known: _Words, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, slot, value) of whole texts (bytes), sorted by row and slot: 0.5 for each slot of a word, five times its share of all words for each shape. No words: none.
+
+    wanted: by slot, whether it matters; others are left out.
+    """
     if len(known) > CACHE:
+        known.__init__()
         known.clear()
-    if not words:
-        return np.empty(0, np.int32), np.empty(0, np.float32)
-    pairs = np.array([known[w] for w in words], dtype=np.uint64)
-    hashes = np.unique(pairs[:, :-1])
-    hashes = hashes[hashes > 0]
-    mask = np.uint64((1 << WORD_BITS) - 1)
-    slots = np.unique(np.r_[hashes & mask, hashes >> np.uint64(WORD_BITS) & mask]).astype(np.int32)
-    share = np.bincount(pairs[:, -1].astype(np.int64), weights=np.fromiter(words.values(), np.float64, len(words)))
-    shapes = np.flatnonzero(share)
-    values = share[shapes] / share.sum() * 5
-    return np.r_[slots, shapes.astype(np.int32) + (1 << WORD_BITS)].astype(np.int32), np.r_[np.full(len(slots), 0.5), values].astype(np.float32)
+    rows, words, times = [], [], []
+    for k, raw in enumerate(texts):
+        own = _counted(raw)
+        rows.append(np.full(len(own), k, np.int64))
+        words.append(np.fromiter(map(known.__getitem__, own), np.int64, len(own)))
+        times.append(np.fromiter(own.values(), np.float64, len(own)))
+    if not rows:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    row, word, n = map(np.concatenate, (rows, words, times))
+    slots, shapes = known.tables()
+    if wanted is not None:  # by word first: most have no slot that matters
+        matters = np.append(wanted, False)[slots]
+        some = np.flatnonzero(matters.any(axis=1)[word])
+        keys = (row[some, None] << 32 | slots[word[some]])[matters[word[some]]]
+    else:
+        keys = (row[:, None] << 32 | slots[word])[slots[word] >= 0]
+    keys = np.unique(keys)
+    by_shape, back = np.unique(row << 32 | (shapes[word] + (1 << WORD_BITS)), return_inverse=True)
+    share = np.bincount(back, weights=n) / np.bincount(row, weights=n, minlength=len(rows))[by_shape >> 32] * 5
+    if wanted is not None:
+        held = wanted[by_shape & 0xFFFFFFFF]
+        by_shape, share = by_shape[held], share[held]
+    keys, values = np.r_[keys, by_shape], np.r_[np.full(len(keys), 0.5), share]
+    order = np.argsort(keys, kind="stable")
+    return keys[order] >> 32, keys[order] & 0xFFFFFFFF, values[order]
 
 
 def _feature_batches(batches):
+    """(id, grade, raw) -> (id, grade, slots, vals); only the shapes' values are sent, those of words are all alike."""
     known = _Words()
     for b in batches:
-        found = [featurize(raw, known) for raw in each(b.column(1))]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s, _ in found], pa.binary()), pa.array([v[s >= 1 << WORD_BITS].tobytes() for s, v in found], pa.binary())], ["grade", "slots", "vals"])
+        row, slot, value = features(each(b.column(2)), known)
+        cuts = np.searchsorted(row, np.arange(b.num_rows + 1))
+        slots = [slot[a:z].astype(np.int32).tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+        vals = [value[a:z][slot[a:z] >= 1 << WORD_BITS].astype(np.float32).tobytes() for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(slots, pa.binary()), pa.array(vals, pa.binary())], ["id", "grade", "slots", "vals"])
 
 
 class Model:
-    def __init__(self, weights: np.ndarray, thresholds: np.ndarray):
-        self.weights, self.thresholds = weights, thresholds
+    """Weights of the slots that have one, and the thresholds."""
+
+    def __init__(self, slots: np.ndarray, values: np.ndarray, thresholds: np.ndarray):
+        self.slots, self.values, self.thresholds = slots, values, thresholds
+
+    def weights(self) -> np.ndarray:
+        out = np.zeros(DIMS)
+        out[self.slots] = self.values
+        return out
 
     def tails(self, scores: np.ndarray) -> np.ndarray:
         """P(grade > k) for each k."""
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -40, 40)))
 
 
-def fit_ordinal(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int, dims: int, steps: int = 2000, batch: int = 128, rate: float = 0.05, decay: float = 1e-5, least: int = LEAST_DOCUMENTS) -> Model:
-    """Adam on the negative log likelihood. Slots in fewer than ``least`` documents, or of a chi-square under CHI_SQUARE, get no weight. No rows: every score is 0, every grade as likely."""
-    thresholds = np.log(np.arange(1, grades) / np.arange(grades - 1, 0, -1))
-    weights = np.zeros(dims, np.float32)
+def fit_ordinal(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int, dims: int = 0, steps: int = 2000, batch: int = 128, rate: float = 0.05, decay: float = 1e-5, least: int = LEAST_DOCUMENTS) -> Model:
+    """Adam on the negative log likelihood. Slots in fewer than ``least`` documents, or that go too weakly with the grades, get no weight. No rows: every score is 0, every grade as likely."""
+    thresholds, dims = np.log(np.arange(1, grades) / np.arange(grades - 1, 0, -1)), dims or DIMS
     if not rows:
-        return Model(weights, thresholds)
+        return Model(np.empty(0, np.int64), np.empty(0), thresholds)
     slots = np.concatenate([r[1] for r in rows])
     seen = np.bincount(slots, minlength=dims)
     # chi-square of a slot's presence against the grades; under independence, of two degrees of freedom
@@ -105,7 +156,7 @@ def fit_ordinal(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int, dim
             expected = seen * (sizes[k] / len(rows))
             chi += (own - expected) ** 2 / np.maximum(expected, 1e-9)
     chi *= len(rows) / np.maximum(len(rows) - seen, 0.5)
-    kept = np.flatnonzero((seen >= min(least, max(1, len(rows) // 4))) & (chi >= CHI_SQUARE))
+    kept = np.flatnonzero((seen >= min(least, max(1, len(rows) // 4))) & (chi >= max(CHI_SQUARE, EFFECT * len(rows))))
     place = np.full(dims, -1, np.int64)
     place[kept] = np.arange(len(kept))
     data = []
@@ -142,8 +193,7 @@ def fit_ordinal(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int, dim
                 a += 0.1 * (gr - a)
                 b += 0.001 * (gr * gr - b)
                 x -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
-    weights[kept] = w
-    return Model(weights, np.cumsum(np.r_[theta[0], np.exp(theta[1:])]))
+    return Model(kept, w, np.cumsum(np.r_[theta[0], np.exp(theta[1:])]))
 
 
 def graded(labels: DataFrame) -> DataFrame:
@@ -152,15 +202,43 @@ def graded(labels: DataFrame) -> DataFrame:
     return own.select("doc_id", F.when(F.col("q") <= 0, 0).when(F.col("t") > 0, 1).otherwise(2).alias("grade"))
 
 
+def _fit_batches(limit: int):
+    """The features of the sample, in order, to one row: the model."""
+
+    def run(batches):
+        rows, size = [], 0
+        for b in batches:
+            for grade, slots, vals in zip(*(each(b.column(k)) for k in (1, 2, 3)), strict=True):
+                size += len(slots) + len(vals)
+                if size <= limit or not rows:
+                    own, shapes = np.frombuffer(slots, np.int32), np.frombuffer(vals, np.float32)
+                    rows.append((grade, own, np.r_[np.full(len(own) - len(shapes), 0.5, np.float32), shapes]))
+        model = fit_ordinal(rows, GRADES)
+        yield pa.RecordBatch.from_arrays([pa.array([x.astype(k).tobytes()], pa.binary()) for x, k in ((model.slots, np.int64), (model.values, np.float64), (model.thresholds, np.float64))], ["slots", "vals", "thresholds"])
+
+    return run
+
+
+def sampled(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(id, grade, at) of at most ``sample`` labelled ids, as many of each grade as there are up to an even share; at: their order, by hash within a grade."""
+    own = graded(labels).select(F.col("doc_id").alias("id"), "grade", F.xxhash64("doc_id").alias("h"))
+    parts = [own.where(F.col("grade") == g).orderBy("h", "id").limit(-(-sample // GRADES)) for g in range(GRADES)]
+    return reduce(DataFrame.unionByName, parts).select("id", "grade", F.col("h").alias("at"))
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_col: str = "text") -> Model:
-    """Fits to at most ``sample`` labelled documents; their labels reach the documents by a broadcast of at most that many rows."""
-    picked = graded(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("raw")).join(F.broadcast(picked), "doc_id").select("grade", "raw")
-    rows = arrow_map(raw, _feature_batches, "grade int, slots binary, vals binary").collect()
-    rows = sorted(((r["grade"], bytes(r["slots"]), bytes(r["vals"])) for r in rows), key=lambda r: (r[0], xxhash.xxh64_intdigest(r[1]), r[1]))[: 2 * sample]
-    # only the shapes' values were sent; those of words are all alike
-    full = lambda s, v: np.r_[np.full(len(s) // 4 - len(v) // 4, 0.5, np.float32), np.frombuffer(v, np.float32)]
-    return fit_ordinal([(g, np.frombuffer(s, np.int32), full(s, v)) for g, s, v in rows], 3, (1 << WORD_BITS) + (1 << SHAPE_BITS))
+    """Fits to at most ``sample`` labelled ids, evenly from the grades, one document of each id (of repeated ids the text of the least hash).
+
+    The ids reach the documents by a broadcast of at most ``sample`` rows; one task fits, within SAMPLE_BYTES of features
+    (of more, the first by hash are used); the driver gets the weights alone. Labels of ids that docs lacks change nothing.
+    """
+    raw = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty(text_col).alias("raw")).join(F.broadcast(sampled(labels, sample)), "id")
+    one = raw.groupBy("id", "grade", "at").agg(F.min_by("raw", F.xxhash64("raw")).cast("binary").alias("raw"))
+    rows = written(arrow_map(one.select("at", "grade", "raw"), _feature_batches, "id long, grade int, slots binary, vals binary"), "features")
+    fitted = arrow_map(rows.repartition(1).sortWithinPartitions("id", "grade", "slots"), _fit_batches(SAMPLE_BYTES), "slots binary, vals binary, thresholds binary").first()
+    if fitted is None:
+        return fit_ordinal([], GRADES)
+    return Model(np.frombuffer(fitted["slots"], np.int64), np.frombuffer(fitted["vals"], np.float64), np.frombuffer(fitted["thresholds"], np.float64))
 
 
 def score_rows(df: DataFrame, model: Model, text_col: str = "text") -> tuple[DataFrame, list[str]]:
@@ -170,10 +248,11 @@ def score_rows(df: DataFrame, model: Model, text_col: str = "text") -> tuple[Dat
     at, kept = df.columns.index(text_col), df.columns
 
     def run(batches):
-        known = _Words()
+        known, weights = _Words(), model.weights()
+        wanted = weights != 0
         for b in batches:
-            found = [featurize(x or b"", known) for x in each(b.column(at).cast(pa.binary()))]
-            scores = np.array([float(model.weights[s] @ v) for s, v in found], np.float64)
+            row, slot, value = features((x or b"" for x in each(b.column(at).cast(pa.binary()))), known, wanted)
+            scores = np.bincount(row, weights=weights[slot] * value, minlength=b.num_rows)
             tails = model.tails(scores)
             new = [pa.array(tails.sum(axis=1)), *[pa.array(np.ascontiguousarray(tails[:, k])) for k in range(grades - 1)]]
             yield pa.RecordBatch.from_arrays([*b.columns, *new], [*kept, *names])
