@@ -33,7 +33,7 @@ from .common import arrow_map, each, load, text_or_empty, written
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers, twice: those met of late, and those before them.
-WORDS = 150_000
+WORDS = 250_000
 #: Steps of the search for a packing: what a query spends on the driver, a second or two.
 STEPS = 2_000_000
 PIECE = "doc_id long, piece int, start long, length long, ids binary, part long, nth long"
@@ -126,7 +126,7 @@ def _tokenizer(path: str) -> _WordIds:
     return _workers[path]
 
 
-def token_bytes(words: _WordIds, raw: bytes, slice_bytes: int = 1 << 19) -> Iterator[bytes]:
+def token_bytes(words: _WordIds, raw: bytes, slice_bytes: int = 1 << 13) -> Iterator[bytes]:
     """The ids of a whole text in slices that end between words."""
     pos = 0
     while pos < len(raw):
@@ -137,7 +137,7 @@ def token_bytes(words: _WordIds, raw: bytes, slice_bytes: int = 1 << 19) -> Iter
         pos = end
 
 
-def _documents(words: _WordIds, rows, slice_bytes: int = 1 << 19) -> Iterator[tuple[object, Iterator[bytes]]]:
+def _documents(words: _WordIds, rows, slice_bytes: int = 1 << 13) -> Iterator[tuple[object, Iterator[bytes]]]:
     """(id, text) -> (id, slices of its ids): short texts are looked up together, long ones by slices."""
 
     def together() -> Iterator[tuple[object, Iterator[bytes]]]:
