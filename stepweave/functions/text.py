@@ -2,17 +2,39 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The words that matching leaves out of queries.
 KEYWORDS = ("given", "when", "then", "and", "but")
 STOP_WORDS = ("a", "an", "the", "i", "is", "am", "are", "to", "in", "on", "at", "of", "as", "by", "my", "me")
-ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _accented() -> tuple[str, str]:
+    """Lower-case letters that Unicode composes of a letter and marks, and these letters."""
+    parts = {chr(c): unicodedata.normalize("NFD", chr(c)) for c in range(0xC0, 0x2000)}
+    pairs = [(c, d[0]) for c, d in parts.items() if len(d) > 1 and c == c.lower() and d[0].isalpha() and all(map(unicodedata.combining, d[1:]))]
+    return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
+
+
+ACCENTED, PLAIN = _accented()
+_FOLD = str.maketrans(ACCENTED, PLAIN)
+
+
+def trim(c: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
+def fold(s: str) -> str:
+    """A string as search_tokens folds columns."""
+    return "".join(x for x in s.lower().translate(_FOLD) if not unicodedata.combining(x))
 
 
 def slugify(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    return F.regexp_replace(F.regexp_replace(F.lower(trim(c)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
 def query_words(c: Column) -> Column:
@@ -26,29 +48,35 @@ def _unkeyed(c: Column) -> Column:
 
 
 def action_name(c: Column) -> Column:
-    bare = F.regexp_replace(F.regexp_replace(_unkeyed(F.lower(F.trim(c))), '"[^"]*"', ""), r"\b[0-9]+\b", "")
-    return F.coalesce(F.nullif(F.trim(F.regexp_replace(bare, r"\s+", " ")), F.lit("")), F.lit("unnamed action"))
+    bare = F.regexp_replace(F.regexp_replace(_unkeyed(F.lower(trim(c))), '"[^"]*"', ""), r"\b[0-9]+\b", "")
+    return F.coalesce(F.nullif(F.trim(F.regexp_replace(bare, r"(?U)\s+", " ")), F.lit("")), F.lit("unnamed action"))
 
 
 def step_pattern(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(_unkeyed(F.trim(c)), '"[^"]*"', "{string}"), r"\b[0-9]+\b", "{int}")
+    return F.regexp_replace(F.regexp_replace(_unkeyed(trim(c)), '"[^"]*"', "{string}"), r"\b[0-9]+\b", "{int}")
 
 
 def search_tokens(c: Column) -> Column:
-    """Runs of letters and digits, in lower case and without accents."""
-    return F.regexp_extract_all(F.translate(F.lower(c), ACCENTED, PLAIN), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Runs of letters and digits, in lower case and without accents, composed or not."""
+    return F.regexp_extract_all(F.regexp_replace(F.translate(F.lower(c), ACCENTED, PLAIN), r"\p{Mn}", ""), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def router_name(path: Column) -> Column:
-    bare = F.regexp_replace(path, "^(?:(?:src|backend|server|app)/)?(?:(?:routes|routers|api)/)?", "")
-    bare = F.regexp_replace(bare, r"(\.(routes|router))?\.(ts|js|mjs|cjs)$", "")
-    bare = F.regexp_replace(bare, "/index$", "")
-    return F.coalesce(F.nullif(bare, F.lit("")), path)
+    """A router's name from its file: usual folders, extensions and a last /index are taken off; of nothing left, the path."""
+    name = F.regexp_replace(path, "^(?:src/|backend/|server/|app/)?(?:routes/|routers/|api/)?", "")
+    for end in (r"\.(?:routes|router)\.(?:ts|js|mjs|cjs)$", r"\.(?:ts|js|mjs|cjs)$", "/index$"):
+        name = F.regexp_replace(name, end, "")
+    return F.coalesce(F.nullif(name, F.lit("")), path)
+
+
+def contract_name(path: Column) -> Column:
+    """A contract's name from its file: usual folders, however many, then the extension, then a usual ending are taken off."""
+    name = F.regexp_replace(path, "^(?:src/|backend/|contracts/|routes/)+", "")
+    return F.regexp_replace(F.regexp_replace(name, r"\.(?:ts|js)$", ""), r"\.(?:contract|routes|router)$", "")
 
 
 def compose_path(parent: Column, local: Column, index: Column) -> Column:
-    """The full path of a page below its parent's."""
-    up = F.coalesce(F.nullif(parent, F.lit("")), F.lit("/"))
-    joined = F.concat(F.regexp_replace(parent, "/+$", ""), F.lit("/"), local)
+    """The full path of a page below its parent's: an absolute one stands alone, one slash at the parent's end is not doubled."""
+    joined = F.concat(F.regexp_replace(parent, "/$", ""), F.lit("/"), local)
     bare = local.isNull() | (local == "")
-    return F.when(index | bare, up).when(local.startswith("/"), local).when(parent.isNull() | (parent == ""), local).otherwise(joined)
+    return F.when(index | bare, F.coalesce(parent, F.lit("/"))).when(local.startswith("/"), local).when(parent.isNull() | (parent == ""), local).otherwise(joined)

@@ -1,6 +1,8 @@
 """Full-text search with BM25 over name, label and properties of nodes.
 
-Statistics cover all kinds; a kind only filters the result. Lower ranks are better. Ties go by id.
+The index is a table of postings, written once in order of terms, so that a query reads the row groups of its terms alone:
+per term and node, where in each column the term stands. Statistics cover all kinds; a kind only filters the result. Lower
+ranks are better. Ties go by id.
 """
 
 from __future__ import annotations
@@ -11,31 +13,58 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepweave.functions.text import search_tokens
+from stepweave.functions.text import fold, search_tokens
+from stepweave.plans.lineage import written
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 COLUMNS = ("name", "label", "properties")
 
 
-def tokenized(nodes: DataFrame) -> DataFrame:
-    """(id, kind, dl, tokens) of each node."""
-    tokens = search_tokens(F.concat_ws(" ", *COLUMNS))
-    return nodes.select("id", "kind", tokens.alias("tokens")).withColumn("dl", F.size("tokens"))
-
-
 @dataclass(frozen=True)
 class Index:
-    postings: DataFrame  # id, kind, dl, term, tf
+    nodes: DataFrame
+    postings: DataFrame  # term, id, kind, dl, tf, and per column the places of the term
     terms: DataFrame  # term, df
     n: int
     average: float
 
 
+def _postings(nodes: DataFrame) -> DataFrame:
+    own = nodes.select("id", "kind", *[search_tokens(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in COLUMNS]).withColumn("dl", sum((F.size(c) for c in COLUMNS), F.lit(0)))
+    # a column's tokens follow the last column's with a gap, so that no phrase runs over
+    shift = {c: sum((F.size(x) + 1 for x in COLUMNS[:k]), F.lit(0)) for k, c in enumerate(COLUMNS)}
+
+    def placed(c: str) -> Column:
+        return F.transform(c, lambda t, i: F.struct(t.alias("term"), F.lit(c).alias("field"), (i + shift[c]).alias("place")))
+
+    tokens = [placed(c) for c in COLUMNS]
+    each = own.select("id", "kind", "dl", F.explode(F.concat(*tokens)).alias("t")).select("id", "kind", "dl", "t.*")
+    places = [F.array_sort(F.collect_list(F.when(F.col("field") == c, F.col("place")))).alias(c) for c in COLUMNS]
+    return each.groupBy("term", "id", "kind", "dl").agg(F.count("*").alias("tf"), *places)
+
+
+def _index(nodes: DataFrame, postings: DataFrame, n: int, words: int) -> Index:
+    terms = written(postings.groupBy("term").agg(F.count("*").alias("df")), "terms")
+    return Index(nodes, postings, terms, n, words / n if n and words else 1.0)
+
+
+def _ordered(postings: DataFrame) -> DataFrame:
+    return postings.repartitionByRange("term").sortWithinPartitions("term", "id")
+
+
 def index(nodes: DataFrame) -> Index:
-    own = tokenized(nodes)
-    n, average = own.agg(F.count("*"), F.avg("dl")).first()
-    postings = own.select("id", "kind", "dl", F.explode("tokens").alias("term")).groupBy("id", "kind", "dl", "term").agg(F.count("*").alias("tf"))
-    return Index(postings, postings.groupBy("term").agg(F.count("*").alias("df")), n, average or 1.0)
+    postings = written(_ordered(_postings(nodes)), "postings")
+    n = nodes.count()
+    words = postings.agg(F.sum("tf")).first()[0] or 0
+    return _index(nodes, postings, n, words)
+
+
+def update(ix: Index, nodes: DataFrame, changed: DataFrame) -> Index:
+    """The index of nodes, whose rows of changed(id) are new, altered or gone since ix: only these are read anew."""
+    ids = changed.select("id").distinct()
+    old, new = ix.postings.join(ids, "id", "left_anti").select(*ix.postings.columns), _postings(nodes.join(ids, "id", "left_semi"))
+    postings = written(_ordered(old.unionByName(new)), "postings")
+    return _index(nodes, postings, nodes.count(), postings.agg(F.sum("tf")).first()[0] or 0)
 
 
 def idf(df: Column, n: int) -> Column:
@@ -47,18 +76,26 @@ def weight(tf: Column, dl: Column, average: float) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / average))
 
 
-def search_terms(ix: Index, queries: DataFrame, kind: str | None = None, limit: int | None = 50) -> DataFrame:
-    """queries(q, term) -> (q, id, rank): nodes that hold any of a query's distinct terms, the best ``limit`` per query.
+def search_terms(ix: Index, queries: DataFrame, kinds: list[str], limit: int = 50) -> DataFrame:
+    """queries(q, term) -> (q, kind, id, rank): of each kind the best ``limit`` nodes that hold any of a query's distinct terms.
 
-    Queries are few beside the postings, so Catalyst broadcasts the smaller side of the join on the term.
+    A node that holds only the most frequent of a query's terms is among the best only if it is among the best ``limit``
+    for that term alone. So that term's postings are not met whole: its best nodes are, and those that another term finds.
     """
-    own = queries.distinct().join(ix.terms, "term").withColumn("idf", idf(F.col("df"), ix.n)).select("q", "term", "idf")
-    postings = ix.postings if kind is None else ix.postings.where(F.col("kind") == kind)
-    ranked = own.join(postings, "term").groupBy("q", "id").agg((-F.sum(F.col("idf") * weight(F.col("tf"), F.col("dl"), ix.average))).alias("rank"))
-    ranked = ranked.withColumn("rank", F.round("rank", 8))
-    if limit is None:
-        return ranked
-    return ranked.withColumn("k", F.row_number().over(Window.partitionBy("q").orderBy("rank", "id"))).where(F.col("k") <= limit).drop("k")
+    own = queries.distinct().join(ix.terms, "term").withColumn("idf", idf(F.col("df"), ix.n))
+    own = own.withColumn("common", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("df"), "term")) == 1)
+    own = written(own.select("q", "term", "idf", "common"), "asked")
+    scored = ix.postings.where(F.col("kind").isin(kinds)).select("term", "id", "kind", weight(F.col("tf"), F.col("dl"), ix.average).alias("w"))
+    common, rest = own.where("common"), own.where("not common")
+    top = Window.partitionBy("term", "kind").orderBy(F.round(-F.col("idf") * F.col("w"), 8), "id")
+    best = scored.join(common.select("term", "idf").distinct(), "term").withColumn("k", F.row_number().over(top)).where(F.col("k") <= limit)
+    by_common = common.select("q", "term").join(best.select("term", "id", "kind"), "term").select("q", "id", "kind")
+    by_rest = rest.join(scored, "term").groupBy("q", "id", "kind").agg(F.sum(F.col("idf") * F.col("w")).alias("s"))
+    by_rest = written(by_rest, "found")
+    met = by_rest.unionByName(by_common.withColumn("s", F.lit(0.0))).groupBy("q", "id", "kind").agg(F.sum("s").alias("s"))
+    more = met.join(common.select("q", "term", "idf"), "q").join(scored.select("term", "id", "w"), ["term", "id"], "left")
+    ranked = more.select("q", "kind", "id", F.round(-(F.col("s") + F.coalesce(F.col("idf") * F.col("w"), F.lit(0.0))), 8).alias("rank"))
+    return ranked.withColumn("k", F.row_number().over(Window.partitionBy("q", "kind").orderBy("rank", "id"))).where(F.col("k") <= limit).drop("k")
 
 
 # --- the query language ---------------------------------------------------------------------------
@@ -82,9 +119,7 @@ _TOKEN = re.compile(r"[^\W_]+")
 
 
 def _fold(s: str) -> tuple[str, ...]:
-    import unicodedata
-
-    return tuple(_TOKEN.findall("".join(c for c in unicodedata.normalize("NFD", s.lower()) if not unicodedata.combining(c))))
+    return tuple(_TOKEN.findall(fold(s)))
 
 
 def parse_query(text: str):
@@ -152,38 +187,42 @@ def _leaves(tree) -> list[Leaf]:
     return [tree] if isinstance(tree, Leaf) else [x for side in tree[1:] for x in _leaves(side)]
 
 
-def _row_at(own: Column, leaf: Leaf):
-    def test(i: Column) -> Column:
-        hit = F.lit(True)
-        for k, w in enumerate(leaf.words):
-            token = F.get(own, i + k)
-            hit = hit & (token.startswith(w) if leaf.prefix and k == len(leaf.words) - 1 else token == w)
-        return hit
+def _after(word: str) -> str:
+    """The least text above all that begin with a word."""
+    return word + "\U0010ffff"
 
-    return test
 
+def _fits_word(leaf: Leaf, k: int) -> Column:
+    w, term = leaf.words[k], F.col("term")
+    return (term >= w) & (term <= _after(w)) & term.startswith(w) if leaf.prefix and k == len(leaf.words) - 1 else term == w
 
-def _occurrences(leaf: Leaf) -> Column:
-    """How often a node holds a leaf's words in a row within one column."""
-    total = F.lit(0)
-    for c in COLUMNS if leaf.column is None else (leaf.column,):
-        own, n = F.col(f"t_{c}"), len(leaf.words)
-        if not n:
-            continue
 
-        places = F.sequence(F.lit(0), F.greatest(F.size(own) - n, F.lit(0)))
-        total = total + F.when(F.size(own) >= n, F.size(F.filter(places, _row_at(own, leaf)))).otherwise(0)
-    return total
+def _places(leaf: Leaf) -> Column:
+    own = F.concat(*[F.col(c) for c in (COLUMNS if leaf.column is None else (leaf.column,))])
+    return own
+
+
+def _occurrences(leaf: Leaf) -> Column:
+    """How often a node, whose postings are a group, holds a leaf's words in a row within one column."""
+    if not leaf.words:
+        return F.lit(0)
+    at = [F.flatten(F.collect_list(F.when(_fits_word(leaf, k), _places(leaf)))) for k in range(len(leaf.words))]
+    if len(at) == 1:
+        return F.size(at[0])
+    return F.size(F.filter(at[0], lambda p: F.forall(F.array(*[F.struct(x.alias("x"), F.lit(k).alias("k")) for k, x in enumerate(at[1:], 1)]), lambda r: F.array_contains(r["x"], p + r["k"]))))
 
 
-def search(nodes: DataFrame, query: str, kind: str | None = None, limit: int = 50) -> DataFrame:
-    """The nodes that a query of the full language fits, with rank, the best ``limit`` of them."""
+def search(ix: Index, query: str, kind: str | None = None, limit: int = 50) -> DataFrame:
+    """The nodes that a query of the full language fits, with rank, the best ``limit`` of them. Reads the postings of the query's words alone."""
     tree = parse_query(query)
     leaves = list(dict.fromkeys(_leaves(tree)))
-    own = nodes.select("*", *[search_tokens(F.coalesce(F.col(c), F.lit(""))).alias(f"t_{c}") for c in COLUMNS])
-    own = own.withColumn("dl", sum((F.size(f"t_{c}") for c in COLUMNS), F.lit(0)))
-    own = own.select("*", *[_occurrences(x).alias(f"f_{k}") for k, x in enumerate(leaves)])
-    stats = own.agg(F.count("*").alias("n"), F.avg("dl").alias("average"), *[F.count_if(F.col(f"f_{k}") > 0).alias(f"n_{k}") for k in range(len(leaves))]).first()
+    words = [_fits_word(x, k) for x in leaves for k in range(len(x.words))]
+    wanted = F.lit(False)
+    for w in words:
+        wanted = wanted | w
+    own = ix.postings.where(wanted).groupBy("id", "kind", "dl").agg(*[_occurrences(x).alias(f"f_{k}") for k, x in enumerate(leaves)])
+    own = written(own, "hits")
+    stats = own.agg(*[F.count_if(F.col(f"f_{k}") > 0).alias(f"n_{k}") for k in range(len(leaves))]).first()
 
     def fits(t) -> Column:
         if isinstance(t, Leaf):
@@ -195,6 +234,7 @@ def search(nodes: DataFrame, query: str, kind: str | None = None, limit: int = 5
     for x in _leaves(tree):
         k = leaves.index(x)
         f = F.col(f"f_{k}")
-        rank = rank - idf(F.lit(float(stats[f"n_{k}"])), stats["n"]) * F.when(f > 0, weight(f, F.col("dl"), stats["average"] or 1.0)).otherwise(0.0)
-    found = own.where(fits(tree)).withColumn("rank", rank).select(*nodes.columns, "rank")
-    return (found if kind is None else found.where(F.col("kind") == kind)).orderBy("rank", "id").limit(limit)
+        rank = rank - idf(F.lit(float(stats[f"n_{k}"])), ix.n) * F.when(f > 0, weight(f, F.col("dl"), ix.average)).otherwise(0.0)
+    found = own.where(fits(tree)).withColumn("rank", rank)
+    found = (found if kind is None else found.where(F.col("kind") == kind)).orderBy("rank", "id").limit(limit).select("id", "rank")
+    return ix.nodes.join(F.broadcast(found), "id").orderBy("rank", "id")  # at most ``limit`` rows

@@ -48,8 +48,11 @@ def cascade_delete(graph: Graph, ids: DataFrame) -> Graph:
     return Graph(graph.nodes.join(gone, "id", "left_anti").select(*graph.nodes.columns), edges.select(*graph.edges.columns))
 
 
-def last_of(rows: DataFrame, seq: str) -> DataFrame:
-    """Of rows with one id the last by seq."""
+def last_of(rows: DataFrame, seq: str | None) -> DataFrame:
+    """Of rows with one id the last by seq; without one, one of them, the same each time."""
+    if seq is None:
+        rest = [c for c in rows.columns if c != "id"]
+        return rows.groupBy("id").agg(F.max(F.struct(*rest)).alias("_last")).select("id", "_last.*").select(*rows.columns)
     return rows.withColumn("_k", F.row_number().over(Window.partitionBy("id").orderBy(F.col(seq).desc()))).where("_k = 1").drop("_k", seq)
 
 
@@ -61,20 +64,46 @@ def _upsert(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def upsert_nodes(nodes: DataFrame, new: DataFrame, now: int, seq: str | None = None) -> DataFrame:
-    own = (last_of(new, seq) if seq else new).withColumn("updated_at", F.lit(now).cast("long")).withColumn("created_at", F.lit(now).cast("long"))
+    own = last_of(new, seq).withColumn("updated_at", F.lit(now).cast("long")).withColumn("created_at", F.lit(now).cast("long"))
     return _upsert(nodes, own)
 
 
-def upsert_edges(edges: DataFrame, new: DataFrame, now: int) -> DataFrame:
-    return _upsert(edges, new.withColumn("created_at", F.lit(now).cast("long")))
+def upsert_edges(edges: DataFrame, new: DataFrame, now: int, seq: str | None = None) -> DataFrame:
+    """created_at stays as it was; of repeated ids among the new the last by seq counts."""
+    return _upsert(edges, last_of(new, seq).withColumn("created_at", F.lit(now).cast("long")))
 
 
 def replace_edges(edges: DataFrame, new: DataFrame, nodes: DataFrame, now: int) -> DataFrame:
     """The bulk form: created_at is set anew, edges without both nodes are skipped."""
-    own = edges_valid(new.withColumn("created_at", F.lit(now).cast("long")), nodes)
+    own = edges_valid(last_of(new, None).withColumn("created_at", F.lit(now).cast("long")), nodes)
     return edges.join(own.select("id"), "id", "left_anti").select(*edges.columns).unionByName(own.select(*edges.columns))
 
 
+def replace_scoped(edges: DataFrame, new: DataFrame, nodes: DataFrame, scanner: str, now: int) -> tuple[DataFrame, int, int]:
+    """(edges, created, deleted): a scanner's edges give way to its new ones; those without both nodes are skipped and not counted."""
+    kept = delete_by_scanner(edges, scanner)
+    own = edges_valid(new.withColumn("source_scanner", F.lit(scanner)), nodes)
+    return replace_edges(kept, own, nodes, now), own.select("id").distinct().count(), count_by_scanner(edges, scanner)
+
+
+def count_by_scanner(edges: DataFrame, scanner: str) -> int:
+    """How many edges ``delete_by_scanner`` takes away."""
+    return edges.where(F.col("source_scanner") == scanner).count()
+
+
+def count_from(edges: DataFrame, node_id: str, kind: str) -> int:
+    """How many edges ``delete_from`` takes away."""
+    return edges.where((F.col("src_id") == node_id) & (F.col("kind") == kind)).count()
+
+
+def insert_node(nodes: DataFrame, new: DataFrame) -> DataFrame:
+    """With new nodes; ids that are there, or twice among the new, are an error."""
+    twice = new.groupBy("id").count().where("count > 1").select("id").unionByName(new.join(nodes.select("id"), "id", "left_semi").select("id"))
+    if bad := twice.limit(3).collect():
+        raise ValueError(f"ids that exist: {', '.join(r['id'] for r in bad)}")
+    return nodes.unionByName(new.select(*nodes.columns))
+
+
 def delete_by_scanner(edges: DataFrame, scanner: str) -> DataFrame:
     """What is left; edges without a scanner stay."""
     return edges.where(~F.col("source_scanner").eqNullSafe(F.lit(scanner)))
@@ -97,25 +126,51 @@ def merge_scans(outputs: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _fault(graph: Graph) -> str | None:
+    """What a graph's tables must not hold, if they do."""
+    nodes, edges = graph.nodes, graph.edges
+    if not nodes.where(~F.col("kind").isin(*NODE_KINDS) | ~F.col("source").isin(*NODE_SOURCES) | F.col("id").isNull()).isEmpty():
+        return "nodes of an unknown kind or source, or without an id"
+    if not edges.where(~F.col("kind").isin(*EDGE_KINDS) | F.col("id").isNull()).isEmpty():
+        return "edges of an unknown kind, or without an id"
+    for what, rows in (("nodes", nodes), ("edges", edges)):
+        if not rows.groupBy("id").count().where("count > 1").isEmpty():
+            return f"{what} with equal ids"
+    return None if edges_rejected(edges, nodes).isEmpty() else "edges with an end that is no node"
+
+
 class GraphStore:
-    """Versions of a graph under one folder: each write makes a new folder, then one small file names it as current."""
+    """Versions of a graph under one folder: each write makes a new folder, then one small file names it; the highest number is current."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
     def _fs(self):
         jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")
+        at = jvm.org.apache.hadoop.fs.Path(self.path)
         return jvm, at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
-    def current(self) -> str | None:
+    def _versions(self) -> list[int]:
         _, fs, at = self._fs()
-        return json.loads(self.spark.read.text(str(at)).first()[0])["folder"] if fs.exists(at) else None
+        names = [str(x.getPath().getName()) for x in fs.listStatus(at)] if fs.exists(at) else []
+        return [int(n[8:]) for n in names if n.startswith("CURRENT-")]
+
+    def _current(self) -> dict | None:
+        found = self._versions()
+        return json.loads(self.spark.read.text(f"{self.path}/CURRENT-{max(found):012d}").first()[0]) if found else None
+
+    def current(self) -> str | None:
+        own = self._current()
+        return own and own["folder"]
+
+    def schema_versions(self) -> int:
+        """How many schema versions the store holds: one, or none before init()."""
+        return int(self._current() is not None)
 
     def init(self) -> Graph:
         """Empty tables, unless a graph of this schema version is there; one of another version is replaced."""
-        _, fs, at = self._fs()
-        if fs.exists(at) and json.loads(self.spark.read.text(str(at)).first()[0])["version"] == SCHEMA_VERSION:
+        own = self._current()
+        if own and own["version"] == SCHEMA_VERSION:
             return self.read()
         return self.write(Graph(self.spark.createDataFrame([], NODE_SCHEMA), self.spark.createDataFrame([], EDGE_SCHEMA)))
 
@@ -126,17 +181,22 @@ class GraphStore:
         return Graph(self.spark.read.schema(NODE_SCHEMA).parquet(f"{folder}/nodes"), self.spark.read.schema(EDGE_SCHEMA).parquet(f"{folder}/edges"))
 
     def write(self, graph: Graph) -> Graph:
-        bad = graph.nodes.where(~F.col("kind").isin(*NODE_KINDS) | ~F.col("source").isin(*NODE_SOURCES) | F.col("id").isNull())
-        if not bad.isEmpty():
-            raise ValueError("nodes of an unknown kind or source, or without an id")
+        """A new version, whole or not at all: its tables are written and checked, then one rename makes it current."""
         folder = f"{self.path}/v-{uuid.uuid4().hex}"
         graph.nodes.select(*NODE_SCHEMA.names).write.parquet(f"{folder}/nodes")
-        graph.edges.select(*EDGE_SCHEMA.names).write.partitionBy().parquet(f"{folder}/edges")
-        jvm, fs, at = self._fs()
-        temp = jvm.org.apache.hadoop.fs.Path(f"{self.path}/.CURRENT-{uuid.uuid4().hex}")
+        graph.edges.select(*EDGE_SCHEMA.names).write.parquet(f"{folder}/edges")
+        new = Graph(self.spark.read.schema(NODE_SCHEMA).parquet(f"{folder}/nodes"), self.spark.read.schema(EDGE_SCHEMA).parquet(f"{folder}/edges"))
+        jvm, fs, _ = self._fs()
+        path = jvm.org.apache.hadoop.fs.Path
+        if fault := _fault(new):
+            fs.delete(path(folder), True)
+            raise ValueError(fault)
+        # versions are numbered; a name that exists is never replaced, so a reader always finds a whole one
+        temp = path(f"{self.path}/.version-{uuid.uuid4().hex}")
         out = fs.create(temp)
         out.write(bytearray(json.dumps({"version": SCHEMA_VERSION, "folder": folder}).encode()))
         out.close()
-        fs.delete(at, False)
-        fs.rename(temp, at)
-        return self.read()
+        number = max([0, *self._versions()]) + 1
+        while not fs.rename(temp, path(f"{self.path}/CURRENT-{number:012d}")):
+            number += 1
+        return new

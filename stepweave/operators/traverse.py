@@ -11,21 +11,20 @@ from stepweave.plans.lineage import written
 DEPTH = 2
 
 
-def both_ways(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("src_id").alias("a"), F.col("dst_id").alias("b")).unionByName(edges.select(F.col("dst_id").alias("a"), F.col("src_id").alias("b")))
-
-
 def reach(edges: DataFrame, start: DataFrame, depth: int, directed: bool = False) -> DataFrame:
     """start(origin, id) -> (origin, id, depth): each node with its least distance from each origin.
 
     A round joins the frontier with the edges and drops what was reached before, so every node is expanded once;
-    it is written down, so that the plan of a later round does not hold the earlier ones again.
+    it is written down, so that the plan of a later round does not hold the earlier ones again. The edges' ends are written
+    once for all rounds. A small frontier is broadcast by Catalyst; a hub's edges, where it is not, are split by AQE.
     """
-    step = edges.select(F.col("src_id").alias("a"), F.col("dst_id").alias("b")) if directed else both_ways(edges)
+    step = written(edges.select(F.col("src_id").alias("a"), F.col("dst_id").alias("b")), "ends")
+    ways = [step] if directed else [step, step.select(F.col("b").alias("a"), F.col("a").alias("b"))]
     seen = written(start.select("origin", "id", F.lit(0).alias("depth")).distinct(), "reach")
     frontier = seen
     for k in range(1, depth + 1):
-        near = frontier.join(step, F.col("id") == F.col("a")).select("origin", F.col("b").alias("id")).distinct()
+        met = [frontier.select("origin", F.col("id").alias("a")).join(w, "a").select("origin", F.col("b").alias("id")) for w in ways]
+        near = (met[0] if directed else met[0].unionByName(met[1])).distinct()
         frontier = written(near.join(seen.select("origin", "id"), ["origin", "id"], "left_anti").withColumn("depth", F.lit(k)), "reach")
         seen = seen.unionByName(frontier)
     return seen
@@ -39,6 +38,7 @@ def reachable(graph: Graph, node_id: str, depth: int = DEPTH) -> DataFrame:
 
 def connected(graph: Graph, node_id: str, depth: int = DEPTH) -> Graph:
     """The nodes within reach, and the edges that have both ends there, those between nodes of the last depth too."""
+    graph = Graph(graph.nodes, written(graph.edges, "edges"))
     ids = reachable(graph, node_id, depth).select("id")
     inner = graph.edges.join(ids.withColumnRenamed("id", "src_id"), "src_id", "left_semi").join(ids.withColumnRenamed("id", "dst_id"), "dst_id", "left_semi")
     return Graph(graph.nodes.join(ids, "id", "left_semi"), inner)

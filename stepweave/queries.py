@@ -132,10 +132,16 @@ def audit_orphans(s, d):
     return actions.orphans(tables.graph(s, d))
 
 
-@query(f"WITH {NODES_SQL}, {EDGES_SQL} SELECT src_id AS action_id, dst_id AS ref_id FROM edges WHERE src_id LIKE 'action:%' AND dst_id LIKE 'route:%' AND dst_id NOT IN (SELECT id FROM nodes WHERE id <> 'route:POST-/events/view')")
+@query(f"WITH {NODES_SQL}, {EDGES_SQL}, kept AS (SELECT id FROM nodes WHERE id <> 'route:POST-/events/view'), own AS (SELECT id FROM kept WHERE id LIKE 'action:%' ORDER BY id LIMIT 10000) SELECT src_id AS action_id, string_agg(DISTINCT dst_id, ',' ORDER BY dst_id) AS missing FROM edges WHERE src_id IN (SELECT id FROM own) AND dst_id NOT IN (SELECT id FROM kept) GROUP BY src_id")
 def audit_stale(s, d):
     g = tables.graph(s, d)
-    return actions.stale(type(g)(g.nodes.where("id <> 'route:POST-/events/view'"), g.edges))
+    return actions.stale(type(g)(g.nodes.where("id <> 'route:POST-/events/view'"), g.edges)).select("action_id", F.array_join("missing", ",").alias("missing"))
+
+
+@query(f"{_REFS} SELECT a.id AS action_id, coalesce(string_agg(CASE WHEN ref_kind = 'uses_route' THEN ref_id END, ',' ORDER BY ref_id), '') AS routes, coalesce(string_agg(CASE WHEN ref_kind = 'touches_entity' THEN ref_id END, ',' ORDER BY ref_id), '') AS entities, coalesce(string_agg(CASE WHEN ref_kind = 'on_page' THEN ref_id END, ',' ORDER BY ref_id), '') AS pages FROM nodes a JOIN refs ON a.id = action_id GROUP BY a.id")
+def resolved_refs(s, d):
+    ids = lambda c: F.array_join(F.transform(c, lambda x: x["id"]), ",").alias(c)
+    return actions.resolved_refs(tables.graph(s, d)).select("action_id", ids("routes"), ids("entities"), ids("pages"))
 
 
 @query(f"WITH {NODES_SQL} SELECT count(*) AS total FROM (SELECT id FROM nodes WHERE kind = 'action' ORDER BY id LIMIT 10000)")
@@ -147,12 +153,12 @@ def audit_total(s, d):
 def action_edge_ids(s, d):
     n = _nodes(s, d)
     own = n.where("id like 'action:trigger-%'").select(F.col("id").alias("action_id"), F.concat(F.lit("route:POST-/events/"), F.expr("substr(id, 16)")).alias("ref"))
-    return own.join(n.select(F.col("id").alias("ref")), "ref").select("action_id", F.format_string("edge:%s-%s-%s", "action_id", F.lit("uses_route"), "ref").alias("edge_id"))
+    return own.join(n.select(F.col("id").alias("ref")), "ref").select("action_id", actions.edge_id(F.col("action_id"), F.lit("uses_route"), F.col("ref")).alias("edge_id"))
 
 
 # --- search
 
-_TOKENS = f"regexp_extract_all(translate(lower(concat_ws(' ', name, label, properties)), '{ACCENTED}', '{PLAIN}'), '[\\p{{L}}\\p{{N}}]+')"
+_TOKENS = f"regexp_extract_all(regexp_replace(translate(lower(concat_ws(' ', name, label, properties)), '{ACCENTED}', '{PLAIN}'), '\\p{{Mn}}', '', 'g'), '[\\p{{L}}\\p{{N}}]+')"
 _FTS = f"""{NODES_SQL}, docs AS (SELECT id, kind, {_TOKENS} AS tokens FROM nodes),
 stats AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len(tokens)) AS average FROM docs),
 words AS (SELECT id, kind, len(tokens) AS dl, unnest(tokens) AS term FROM docs),
@@ -164,7 +170,7 @@ _OR = "SELECT id, round(-sum(w), 8) AS rank FROM scored WHERE term IN ({}) {} GR
 
 
 def _search(s, d, q, kind=None):
-    return search.search(_nodes(s, d), q, kind).select("id", F.round("rank", 8).alias("rank"))
+    return search.search(search.index(_nodes(s, d)), q, kind).select("id", F.round("rank", 8).alias("rank"))
 
 
 @query(f"WITH {_FTS} {_OR.format(chr(39) + 'nation' + chr(39) + ', ' + chr(39) + 'purchase' + chr(39) + ', ' + chr(39) + 'click' + chr(39), '')}")
@@ -187,6 +193,24 @@ def fts_search_not(s, d):
     return _search(s, d, "post NOT click")
 
 
+_ACCENTS = "SELECT id, kind, name || ' \u010daj ' || substr('a\u0303\u01e7\u011f\u00e9', CAST(length(id) % 4 AS INTEGER) + 1, 2) AS name, label, properties FROM nodes"
+
+
+@query(f"WITH {_FTS.replace('docs AS (SELECT id', 'marked AS (' + _ACCENTS + '), docs AS (SELECT id').replace('AS tokens FROM nodes)', 'AS tokens FROM marked)')} {_OR.format(chr(39) + 'caj' + chr(39) + ', ' + chr(39) + 'ge' + chr(39), '')}")
+def fts_search_accents(s, d):
+    n = _nodes(s, d)
+    marked = n.withColumn("name", F.concat("name", F.lit(" \u010daj "), F.expr("substr('a\u0303\u01e7\u011f\u00e9', cast(length(id) % 4 as int) + 1, 2)")))
+    return search.search(search.index(marked), "\u010daj OR g\u00e9").select("id", F.round("rank", 8).alias("rank"))
+
+
+@query(f"WITH {_FTS.replace('docs AS (SELECT id', 'changed AS (SELECT id, kind, CASE WHEN id LIKE ' + chr(39) + 'entity:nation:1%' + chr(39) + ' THEN ' + chr(39) + 'realm' + chr(39) + ' ELSE name END AS name, label, properties FROM nodes WHERE kind <> ' + chr(39) + 'permission' + chr(39) + '), docs AS (SELECT id').replace('AS tokens FROM nodes)', 'AS tokens FROM changed)')} {_OR.format(chr(39) + 'realm' + chr(39) + ', ' + chr(39) + 'china' + chr(39) + ', ' + chr(39) + 'asia' + chr(39), '')}")
+def fts_index_update(s, d):
+    n = _nodes(s, d)
+    new = n.where("kind <> 'permission'").withColumn("name", F.when(F.col("id").startswith("entity:nation:1"), "realm").otherwise(F.col("name")))
+    ix = search.update(search.index(n), new, n.where("kind = 'permission' or id like 'entity:nation:1%'").select("id"))
+    return search.search(ix, "realm OR china OR asia").select("id", F.round("rank", 8).alias("rank"))
+
+
 # --- text functions
 
 
@@ -195,11 +219,12 @@ def _words_sql(c: str) -> str:
     return f"list_filter(list_transform(regexp_split_to_array(lower({c}), '\\s+'), lambda w: regexp_replace(w, '[^a-z0-9]', '', 'g')), lambda w: w <> '' AND w NOT IN ({stop}))"
 
 
-_TEXTS = f"WITH {STEPS_SQL}, t AS (SELECT DISTINCT text FROM steps)"
+_TEXTS = f"WITH {STEPS_SQL}, t AS (SELECT DISTINCT text FROM steps UNION SELECT DISTINCT chr(9) || 'Given  ' || text || chr(10) FROM steps)"
 
 
 def _texts(s, d) -> DataFrame:
-    return tables.steps(s, d).select("text").distinct()
+    own = tables.steps(s, d).select("text").distinct()
+    return own.unionByName(own.select(F.concat(F.lit("\tGiven  "), "text", F.lit("\n")).alias("text"))).distinct()
 
 
 @query(f"{_TEXTS} SELECT text, array_to_string({_words_sql('text')}, ' ') AS words FROM t")
@@ -212,8 +237,8 @@ def slugify(s, d):
     return _nodes(s, d).select("id", fn.slugify(F.col("name")).alias("slug"))
 
 
-_NAME = """coalesce(nullif(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(text)), '^(given|when|then|and|but) ', ''), '"[^"]*"', '', 'g'), '\\b[0-9]+\\b', '', 'g'), '\\s+', ' ', 'g')), ''), 'unnamed action')"""
-_PATTERN = """regexp_replace(regexp_replace(regexp_replace(trim(text), '^(?i)(given|when|then|and|but) ', ''), '"[^"]*"', '{string}', 'g'), '\\b[0-9]+\\b', '{int}', 'g')"""
+_NAME = """coalesce(nullif(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')), '^(given|when|then|and|but) ', ''), '"[^"]*"', '', 'g'), '\\b[0-9]+\\b', '', 'g'), '\\s+', ' ', 'g')), ''), 'unnamed action')"""
+_PATTERN = """regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '^(?i)(given|when|then|and|but) ', ''), '"[^"]*"', '{string}', 'g'), '\\b[0-9]+\\b', '{int}', 'g')"""
 
 
 @query(f"{_TEXTS} SELECT text, {_NAME} AS name FROM t")
@@ -226,21 +251,21 @@ def suggest_pattern(s, d):
     return _texts(s, d).select("text", fn.step_pattern(F.col("text")).alias("pattern"))
 
 
-_FILES = "f AS (SELECT DISTINCT CASE CAST(n_nationkey AS INTEGER) % 4 WHEN 0 THEN 'src/routes/' WHEN 1 THEN 'backend/' WHEN 2 THEN 'api/' ELSE 'lib/' END || lower(n_name) || CASE CAST(n_nationkey AS INTEGER) % 3 WHEN 0 THEN '.routes.ts' WHEN 1 THEN '/index.js' ELSE '.mjs' END AS path FROM nation)"
+_FILES = "f AS (SELECT DISTINCT CASE CAST(n_nationkey AS INTEGER) % 4 WHEN 0 THEN 'src/routes/' WHEN 1 THEN 'backend/' WHEN 2 THEN 'api/' ELSE 'lib/' END || lower(n_name) || CASE CAST(n_nationkey AS INTEGER) % 3 WHEN 0 THEN '.ts.routes.ts' WHEN 1 THEN '/index.js' ELSE '.contract.ts' END AS path FROM nation)"
 
 
-@query(f"""WITH {_FILES} SELECT path, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(path, '^(?:(?:src|backend|server|app)/)?(?:(?:routes|routers|api)/)?', ''), '(\\.(routes|router))?\\.(ts|js|mjs|cjs)$', ''), '/index$', ''), ''), path) AS router FROM f""")
+@query(f"""WITH {_FILES} SELECT path, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(path, '^(src/|backend/|server/|app/)?(routes/|routers/|api/)?', ''), '\\.(routes|router)\\.(ts|js|mjs|cjs)$', ''), '\\.(ts|js|mjs|cjs)$', ''), '/index$', ''), ''), path) AS router, regexp_replace(regexp_replace(regexp_replace(path, '^(src/|backend/|contracts/|routes/)+', ''), '\\.(ts|js)$', ''), '\\.(contract|routes|router)$', '') AS contract FROM f""")
 def derive_router_name(s, d):
     n = tables.read(s, d, "nation")
-    path = F.concat(F.expr("case n_nationkey % 4 when 0 then 'src/routes/' when 1 then 'backend/' when 2 then 'api/' else 'lib/' end"), F.lower("n_name"), F.expr("case n_nationkey % 3 when 0 then '.routes.ts' when 1 then '/index.js' else '.mjs' end"))
-    return n.select(path.alias("path")).distinct().select("path", fn.router_name(F.col("path")).alias("router"))
+    path = F.concat(F.expr("case n_nationkey % 4 when 0 then 'src/routes/' when 1 then 'backend/' when 2 then 'api/' else 'lib/' end"), F.lower("n_name"), F.expr("case n_nationkey % 3 when 0 then '.ts.routes.ts' when 1 then '/index.js' else '.contract.ts' end"))
+    return n.select(path.alias("path")).distinct().select("path", fn.router_name(F.col("path")).alias("router"), fn.contract_name(F.col("path")).alias("contract"))
 
 
-@query("""WITH p AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE '/' || lower(r_name) || CASE WHEN n_nationkey % 2 = 0 THEN '/' ELSE '' END END AS parent, CASE n_nationkey % 3 WHEN 0 THEN '/' || n_name WHEN 1 THEN n_name ELSE NULL END AS local, n_nationkey % 7 = 0 AS idx FROM nation JOIN region ON n_regionkey = r_regionkey)
-SELECT CAST(k AS INTEGER) AS k, CASE WHEN idx OR local IS NULL THEN coalesce(parent, '/') WHEN starts_with(local, '/') THEN local WHEN parent IS NULL THEN local ELSE regexp_replace(parent, '/+$', '') || '/' || local END AS path FROM p""")
+@query("""WITH p AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey % 5 = 0 THEN NULL WHEN n_nationkey % 5 = 1 THEN '' ELSE '/' || lower(r_name) || CASE WHEN n_nationkey % 2 = 0 THEN '//' ELSE '' END END AS parent, CASE n_nationkey % 3 WHEN 0 THEN '/' || n_name WHEN 1 THEN n_name ELSE NULL END AS local, n_nationkey % 7 = 0 AS idx FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT CAST(k AS INTEGER) AS k, CASE WHEN idx OR coalesce(local, '') = '' THEN coalesce(parent, '/') WHEN starts_with(local, '/') THEN local WHEN coalesce(parent, '') = '' THEN local ELSE regexp_replace(parent, '/$', '') || '/' || local END AS path FROM p""")
 def compose_path(s, d):
     n = tables.read(s, d, "nation").join(tables.read(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    p = n.select(F.col("n_nationkey").alias("k"), F.expr("case when n_nationkey % 5 = 0 then null else concat('/', lower(r_name), if(n_nationkey % 2 = 0, '/', '')) end").alias("parent"), F.expr("case n_nationkey % 3 when 0 then concat('/', n_name) when 1 then n_name end").alias("local"), F.expr("n_nationkey % 7 = 0").alias("idx"))
+    p = n.select(F.col("n_nationkey").alias("k"), F.expr("case when n_nationkey % 5 = 0 then null when n_nationkey % 5 = 1 then '' else concat('/', lower(r_name), if(n_nationkey % 2 = 0, '//', '')) end").alias("parent"), F.expr("case n_nationkey % 3 when 0 then concat('/', n_name) when 1 then n_name end").alias("local"), F.expr("n_nationkey % 7 = 0").alias("idx"))
     return p.select("k", fn.compose_path(F.col("parent"), F.col("local"), F.col("idx")).alias("path"))
 
 
@@ -305,17 +330,17 @@ def coverage_total(s, d):
 @query("SELECT event_id, CASE CAST(event_id AS INTEGER) % 5 WHEN 0 THEN 'Given' WHEN 1 THEN 'When' WHEN 2 THEN 'Then' WHEN 3 THEN 'And' END AS keyword, 'user ' || CAST(user_id AS VARCHAR) || ' triggers ' || event_type AS text FROM events WHERE event_id % 5 < 4")
 def parse_steps(s, d):
     e = tables.read(s, d, "events")
-    lines = e.select("event_id", F.concat(F.expr("elt(cast(event_id % 5 as int) + 1, '  Given ', '  When ', 'Then ', '  And ', '  * ')"), F.lit("user "), F.col("user_id").cast("string"), F.lit(" triggers "), "event_type", F.lit("  ")).alias("value"))
+    lines = e.select("event_id", F.concat(F.expr("elt(cast(event_id % 5 as int) + 1, '  Given ', '\\t When ', 'Then ', '  And ', '  * ')"), F.lit("user "), F.col("user_id").cast("string"), F.lit(" triggers "), "event_type", F.lit(" \t ")).alias("value"))
     return match.parse_steps(lines).select("event_id", "keyword", "text")
 
 
 # --- validation and writes
 
-_SCAN = "scan_nodes AS (SELECT 'route:' || event_type AS id, CASE WHEN event_id % 97 = 0 THEN 'widget' ELSE 'route' END AS kind, CASE WHEN event_id % 89 = 0 THEN '' ELSE event_type END AS name, CAST(event_id AS VARCHAR) AS label, event_id AS seq FROM events WHERE event_id < 500 UNION ALL SELECT 'page:' || CAST(page_id AS VARCHAR), 'page', url, url, page_id FROM pages)"
+_SCAN = "scan_nodes AS (SELECT 'route:' || event_type AS id, CASE WHEN event_id % 97 = 0 THEN 'widget' ELSE 'route' END AS kind, CASE WHEN event_id % 89 = 0 THEN '' ELSE event_type END AS name, CAST(event_id AS VARCHAR) AS label, event_id AS seq FROM events UNION ALL SELECT 'page:' || CAST(page_id AS VARCHAR), 'page', url, url, page_id FROM pages)"
 
 
 def _scan_nodes(s, d) -> DataFrame:
-    e = tables.read(s, d, "events").where("event_id < 500").selectExpr("concat('route:', event_type) id", "if(event_id % 97 = 0, 'widget', 'route') kind", "if(event_id % 89 = 0, '', event_type) name", "cast(event_id as string) label", "event_id seq")
+    e = tables.read(s, d, "events").selectExpr("concat('route:', event_type) id", "if(event_id % 97 = 0, 'widget', 'route') kind", "if(event_id % 89 = 0, '', event_type) name", "cast(event_id as string) label", "event_id seq")
     return e.unionByName(tables.read(s, d, "pages").selectExpr("concat('page:', page_id) id", "'page' kind", "url name", "url label", "page_id seq"))
 
 
