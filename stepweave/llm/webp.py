@@ -1,35 +1,51 @@
-"""Media columns as lossless WebP (RFC 9649): a whole decoder, a flat-code writer, and their use on columns.
+"""Media columns as lossless WebP (RFC 9649): a whole decoder, a writer, and their use on columns.
 
-The decoder handles prefix codes (simple, normal, grouped by an entropy image), back-references, the
-colour cache and the four transforms. Where every prefix code of an image has one length and neither
-back-references nor a cache can occur, pixels are unpacked as bit columns at once; the writer makes such
-images: each channel's bytes are numbered among those that occur, in as many bits as that takes.
+The decoder handles prefix codes (simple, normal, grouped by an entropy image), back-references, the colour cache and the
+four transforms. The writer stores bytes as images, a byte a pixel as a grey or four bytes a pixel, as the samples' entropy
+suggests: grey after subtracting green; a palette of up to 16 greys, several a pixel; predicted from neighbours, block by
+block; or four channels as they are, less green, or less what green and red foretell of red and blue. Repeated runs become
+back-references, repeated pixels of four bytes colour cache entries; all is written in prefix codes of its own counts.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import struct
 import zlib
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import each, load, text_or_empty
+from .common import arrow_map, each, load, text_or_empty
 
-# Fixed values of the format (RFC 9649): the order of code length codes; the near pixels that the first 120 distance codes
-# name, each as 16 * rows up + 8 - columns left.
+# Fixed values of the format (RFC 9649): the order of code length codes; the near pixels, columns left and rows up, that the
+# first 120 distance codes name.
 CODE_LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
-NEAR = bytes.fromhex(
-    "1807171928062729161a" + "262a38053739151b363a" + "252b48044749141c353b" + "464a242c58454b343c03" + "5759131d565a232d444c" + "555b333d68026769121e"
-    + "666a222e545c434d656b" + "323e78017779535d111f" + "646c424e767a212f757b" + "313f636d525e00747c41" + "4f1020626e30737d515f" + "40727e616f50717f6070"
+NEAR = (
+    (0, 1), (1, 0), (1, 1), (-1, 1), (0, 2), (2, 0), (1, 2), (-1, 2), (2, 1), (-2, 1),
+    (2, 2), (-2, 2), (0, 3), (3, 0), (1, 3), (-1, 3), (3, 1), (-3, 1), (2, 3), (-2, 3),
+    (3, 2), (-3, 2), (0, 4), (4, 0), (1, 4), (-1, 4), (4, 1), (-4, 1), (3, 3), (-3, 3),
+    (2, 4), (-2, 4), (4, 2), (-4, 2), (0, 5), (3, 4), (-3, 4), (4, 3), (-4, 3), (5, 0),
+    (1, 5), (-1, 5), (5, 1), (-5, 1), (2, 5), (-2, 5), (5, 2), (-5, 2), (4, 4), (-4, 4),
+    (3, 5), (-3, 5), (5, 3), (-5, 3), (0, 6), (6, 0), (1, 6), (-1, 6), (6, 1), (-6, 1),
+    (2, 6), (-2, 6), (6, 2), (-6, 2), (4, 5), (-4, 5), (5, 4), (-5, 4), (3, 6), (-3, 6),
+    (6, 3), (-6, 3), (0, 7), (7, 0), (1, 7), (-1, 7), (5, 5), (-5, 5), (7, 1), (-7, 1),
+    (4, 6), (-4, 6), (6, 4), (-6, 4), (2, 7), (-2, 7), (7, 2), (-7, 2), (3, 7), (-3, 7),
+    (7, 3), (-7, 3), (5, 6), (-5, 6), (6, 5), (-6, 5), (8, 0), (4, 7), (-4, 7), (7, 4),
+    (-7, 4), (8, 1), (8, 2), (6, 6), (-6, 6), (8, 3), (5, 7), (-5, 7), (7, 5), (-7, 5),
+    (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
 )
 ALPHABETS = (280, 256, 256, 256, 40)
-#: Rows of 16 pixels (64 bytes) in one image; a longer payload takes several images.
-WIDTH, ROWS = 16, 16384
+#: Pixels in a row where a pixel holds one byte, and where it holds four; rows (64 bytes) in one image: a longer payload takes several.
+GREY, PACKED, ROWS = 64, 16, 16384
+#: Longest prefix code that is written; shortest and longest run that becomes a back-reference, in bytes and pixels.
+LONGEST, LEAST_RUN, MOST_RUN = 12, 8, 512
+_REVERSED = np.array([int(f"{k:015b}"[::-1], 2) for k in range(1 << 15)], np.int64)
 
 
 class Bits:
@@ -47,37 +63,41 @@ class Bits:
         self.at = end
         return value & ((1 << n) - 1)
 
+    def peek(self) -> int:
+        """The next 15 bits; zeros beyond the end."""
+        return int.from_bytes(self.data[self.at >> 3 : (self.at >> 3) + 3], "little") >> (self.at & 7) & 0x7FFF
+
+    def skip(self, n: int) -> None:
+        self.at += n
+        if self.at > len(self.data) * 8:
+            raise ValueError("the image ends early")
+
 
 class Code:
-    """A canonical prefix code. lengths: by symbol."""
+    """A canonical prefix code, by symbol's lengths: a table of symbol * 16 + length by the next bits."""
 
     def __init__(self, lengths: np.ndarray):
         used = np.flatnonzero(lengths)
         if not len(used):
             raise ValueError("a prefix code without symbols")
-        own = lengths[used]
-        low, high = int(own.min()), int(own.max())
-        self.single, self.flat = len(used) == 1, None
-        if self.single or low == high and len(used) == 1 << low:
-            self.flat, self.symbols = 0 if self.single else low, used.tolist()
-            self.counts = [len(used) if k == low else 0 for k in range(16)]
+        if len(used) == 1:
+            self.single, self.mask, self.table = int(used[0]), 0, [int(used[0]) << 4]
             return
-        self.symbols = used[np.argsort(own, kind="stable")].tolist()
-        self.counts = np.bincount(own, minlength=16).tolist()
-        if sum(n << (15 - k) for k, n in enumerate(self.counts) if k) != 1 << 15:
+        self.single = None
+        own = lengths[used]
+        order = np.argsort(own, kind="stable")
+        used, own = used[order], own[order].astype(np.int64)
+        if int((1 << (15 - own)).sum()) != 1 << 15:
             raise ValueError("a prefix code that is not complete")
+        high = int(own[-1])
+        # in canonical order each code stands for the next 2 ** (high - length) values of high bits, the first bit highest
+        table = np.repeat(used << 4 | own, 1 << (high - own))
+        self.mask, self.table = (1 << high) - 1, table[_REVERSED[: 1 << high] >> (15 - high)].tolist()
 
     def read(self, bits: Bits) -> int:
-        if self.single:
-            return self.symbols[0]
-        code = first = index = 0
-        for k in range(1, 16):
-            code |= bits.read(1)
-            n = self.counts[k]
-            if code - first < n:
-                return self.symbols[index + code - first]
-            index, first, code = index + n, (first + n) << 1, code << 1
-        raise ValueError("no such prefix code")
+        e = self.table[bits.peek() & self.mask]
+        bits.skip(e & 15)
+        return e >> 4
 
 
 @lru_cache(256)
@@ -98,11 +118,6 @@ def _read_code(bits: Bits, size: int) -> Code:
         own[k] = bits.read(3)
     most = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
     code, at, last = _length_code(own.tobytes()), 0, 8
-    if code.flat is not None and code.flat < 2 and max(code.symbols) < 16:  # no repeats: one bit a length, read at once
-        n = min(size, most)
-        raw = np.frombuffer(bits.read(n * code.flat).to_bytes((n + 7) // 8, "little"), np.uint8)
-        lengths[:n] = np.array(code.symbols)[np.unpackbits(raw, bitorder="little")[:n]] if code.flat else code.symbols[0]
-        return Code(lengths)
     while at < size and most:
         most -= 1
         k = code.read(bits)
@@ -125,25 +140,68 @@ def _span(code: int, bits: Bits) -> int:
     return ((2 + (code & 1)) << extra) + bits.read(extra) + 1
 
 
-def _flat_pixels(bits: Bits, codes: list[Code], n: int) -> np.ndarray:
-    widths = [c.flat for c in codes[:4]]
-    total = sum(widths)
-    if bits.at + n * total > len(bits.data) * 8:
+@lru_cache(64)
+def _near(width: int) -> list[int]:
+    return [max(1, y * width + x) for x, y in NEAR]
+
+
+def _greens(bits: Bits, codes: list[Code], n: int, width: int) -> np.ndarray:
+    """The green samples of an image whose other channels are each of one value, without a cache."""
+    data, table, mask, near = bits.data, codes[0].table, codes[0].mask, _near(width)
+    far, far_mask = codes[4].table, codes[4].mask
+    at = bits.at >> 3
+    word, have = int.from_bytes(data[at : at + 8], "little") >> (bits.at & 7), 64 - (bits.at & 7)
+    at += 8
+    out = bytearray()
+    append, left = out.append, n
+    while left > 0:
+        if have < 48:
+            word |= int.from_bytes(data[at : at + 6], "little") << have
+            have += 48
+            at += 6
+        e = table[word & mask]
+        k = e & 15
+        word >>= k
+        have -= k
+        e >>= 4
+        if e < 256:
+            append(e)
+            left -= 1
+            continue
+        length = e - 255
+        if e > 259:
+            extra = (e - 258) >> 1
+            length = ((2 + (e & 1)) << extra) + (word & ((1 << extra) - 1)) + 1
+            word >>= extra
+            have -= extra
+        e = far[word & far_mask]
+        k = e & 15
+        word >>= k
+        have -= k
+        e >>= 4
+        back = e + 1
+        if e > 3:
+            extra = (e - 2) >> 1
+            while have < extra:
+                word |= int.from_bytes(data[at : at + 6], "little") << have
+                have += 48
+                at += 6
+            back = ((2 + (e & 1)) << extra) + (word & ((1 << extra) - 1)) + 1
+            word >>= extra
+            have -= extra
+        back = back - 120 if back > 120 else near[back - 1]
+        left -= length
+        if back > len(out) or left < 0:
+            raise ValueError("a back-reference out of the image")
+        if back >= length:
+            out += out[len(out) - back : len(out) - back + length]
+        else:
+            run = bytes(out[-back:])
+            out += (run * (length // back + 1))[:length]
+    bits.at = at * 8 - have
+    if bits.at > len(data) * 8:
         raise ValueError("the image ends early")
-    out = np.zeros(n, np.uint32)
-    tables = [np.array(c.symbols, np.uint32) for c in codes[:4]]
-    for start in range(0, n, 1 << 16):
-        m = min(n - start, 1 << 16)
-        at = bits.at + start * total
-        raw = np.frombuffer(bits.data, np.uint8, ((at & 7) + m * total + 7) // 8, at >> 3)
-        rows = np.unpackbits(raw, bitorder="little")[at & 7 : (at & 7) + m * total].reshape(m, total)
-        col = 0
-        for width, table, shift in zip(widths, tables, (8, 16, 0, 24), strict=True):
-            rank = np.packbits(rows[:, col : col + width], axis=1)[:, 0] >> (8 - width) if width else np.zeros(m, np.uint8)
-            out[start : start + m] |= table[rank] << np.uint32(shift)
-            col += width
-    bits.at += n * total
-    return out
+    return np.frombuffer(out, np.uint8)
 
 
 def _read_image(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
@@ -159,9 +217,10 @@ def _read_image(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
     sizes = (ALPHABETS[0] + (1 << cache_bits if cache_bits else 0), *ALPHABETS[1:])
     codes = [[_read_code(bits, s) for s in sizes] for _ in range(groups)]
     n = width * height
-    if groups == 1 and not cache_bits and all(c.flat is not None and max(c.symbols) < 256 for c in codes[0][:4]):
-        return _flat_pixels(bits, codes[0], n)
-    out, cache = [0] * n, [0] * (1 << cache_bits)
+    red, blue, alpha = (c.single for c in codes[0][1:4])
+    if groups == 1 and not cache_bits and None not in (red, blue, alpha):
+        return _greens(bits, codes[0], n, width).astype(np.uint32) << np.uint32(8) | np.uint32(alpha << 24 | red << 16 | blue)
+    out, cache, near = [0] * n, [0] * (1 << cache_bits), _near(width)
     across = -(-width >> block) if meta is not None else 0
     own, at, kept = codes[0], 0, 0
     while at < n:
@@ -173,12 +232,9 @@ def _read_image(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
             out[at] = alpha << 24 | red << 16 | s << 8 | blue
             at += 1
         elif s < 280:
-            length, code = _span(s - 256, bits), 0
+            length = _span(s - 256, bits)
             code = _span(own[4].read(bits), bits)
-            if code > 120:
-                back = code - 120
-            else:
-                back = max(1, (NEAR[code - 1] >> 4) * width + 8 - (NEAR[code - 1] & 15))
+            back = code - 120 if code > 120 else near[code - 1]
             if back > at or at + length > n:
                 raise ValueError("a back-reference out of the image")
             for _ in range(length):
@@ -273,6 +329,13 @@ def cross_colour(p: np.ndarray, width: int, height: int, factors: np.ndarray, bl
     return _join(a, red, g, b + sign * ((green_blue * _signed(g) >> 5) + (red_blue * known >> 5)))
 
 
+def _add_green(p: np.ndarray) -> np.ndarray:
+    own = p.astype("<u4").view(np.uint8).reshape(-1, 4)  # blue, green, red, alpha
+    own[:, 0] += own[:, 1]
+    own[:, 2] += own[:, 1]
+    return own.view("<u4").ravel()
+
+
 def _undo_palette(p: np.ndarray, width: int, height: int, colours: np.ndarray, pack: int) -> np.ndarray:
     index = (p >> np.uint32(8) & np.uint32(255)).astype(np.int64).reshape(height, -1)
     if pack:
@@ -315,7 +378,7 @@ def decode(image: bytes) -> np.ndarray:
             else:
                 undo.append(lambda p, w=w, e=(extra >> 8).astype(np.int64) & 15, k=block: _undo_predictor(p, w, height, e, k))
         elif kind == 2:
-            undo.append(lambda p: (lambda a, r, g, b: _join(a, r + g, g, b + g))(*_split(p)))
+            undo.append(_add_green)
         else:
             n = bits.read(8) + 1
             steps = np.stack(_split(_read_image(bits, n, 1, False)), axis=1)
@@ -329,13 +392,7 @@ def decode(image: bytes) -> np.ndarray:
     return pixels.reshape(height, width)
 
 
-class BitWriter:
-    def __init__(self):
-        self.value, self.n = 0, 0
-
-    def put(self, value: int, n: int) -> None:
-        self.value |= value << self.n
-        self.n += n
+# --- writing
 
 
 def riff(body: bytes) -> bytes:
@@ -343,57 +400,369 @@ def riff(body: bytes) -> bytes:
     return b"RIFF" + struct.pack("<I", 12 + len(body) + len(pad)) + b"WEBPVP8L" + struct.pack("<I", len(body)) + body + pad
 
 
-def _put_flat_code(w: BitWriter, used: np.ndarray, size: int, width: int) -> None:
-    if width == 0:
-        w.put(1, 1)
-        w.put(0, 1)
+class BitWriter:
+    """Numbers of at most 30 bits, lowest bit first; ``array`` takes many at once."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.values: list[int] = []
+        self.widths: list[int] = []
+
+    def put(self, value: int, n: int) -> None:
+        self.values.append(value)
+        self.widths.append(n)
+
+    def array(self, values: np.ndarray, widths: np.ndarray) -> None:
+        if self.values:
+            self.parts.append((np.array(self.values, np.uint64), np.array(self.widths, np.int64)))
+            self.values, self.widths = [], []
+        self.parts.append((values.astype(np.uint64), widths.astype(np.int64)))
+
+    def bytes(self) -> bytes:
+        self.array(np.empty(0), np.empty(0))
+        values, widths = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        ends = np.cumsum(widths)
+        at = ends - widths
+        total, word = int(ends[-1]) if len(ends) else 0, at >> 5
+        shifted = values << (at & 31).astype(np.uint64)
+        # bits of different numbers never meet, so sums of words are exact: below 2 ** 32
+        words = np.bincount(word, (shifted & np.uint64(0xFFFFFFFF)).astype(np.float64), (total >> 5) + 2) + np.bincount(word + 1, (shifted >> np.uint64(32)).astype(np.float64), (total >> 5) + 2)
+        return words.astype("<u4").tobytes()[: (total + 7) // 8]
+
+
+def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
+    """Lengths of a prefix code for counts, none over ``longest``; a lone symbol's is 1."""
+    out, used = np.zeros(len(counts), np.int64), np.flatnonzero(counts)
+    if len(used) < 3:
+        out[used] = 1
+        return out
+    own = counts[used].astype(np.int64)
+    while True:
+        heap = [(n, k) for k, n in enumerate(own.tolist())]
+        heapq.heapify(heap)
+        up, k = [0] * (2 * len(used) - 1), len(used)
+        while len(heap) > 1:
+            a, i = heapq.heappop(heap)
+            b, j = heap[0]
+            up[i] = up[j] = k
+            heapq.heapreplace(heap, (a + b, k))
+            k += 1
+        depth = [0] * k
+        for i in range(k - 2, -1, -1):
+            depth[i] = depth[up[i]] + 1
+        if max(depth) <= longest:
+            out[used] = depth[: len(used)]
+            return out
+        own = (own >> 1) + 1  # rarer symbols come nearer to the others
+
+
+def canonical(lengths: np.ndarray) -> np.ndarray:
+    """Codes as they are written, the first bit lowest; a lone symbol takes no bits."""
+    out, used = np.zeros(len(lengths), np.int64), np.flatnonzero(lengths)
+    if len(used) < 2:
+        return out
+    order = used[np.argsort(lengths[used], kind="stable")]
+    own = lengths[order]
+    step = 1 << (15 - own)
+    out[order] = _REVERSED[np.cumsum(step) - step]  # as 15 bits, the first highest; turned round, the first lowest
+    return out
+
+
+def _put_code(w: BitWriter, lengths: np.ndarray) -> None:
+    used = np.flatnonzero(lengths).tolist()
+    if len(used) < 3 and all(k < 256 for k in used):
+        used = used or [0]
         w.put(1, 1)
-        w.put(int(used[0]), 8)
+        w.put(len(used) - 1, 1)
+        w.put(int(used[0] > 1), 1)
+        w.put(used[0], 8 if used[0] > 1 else 1)
+        if len(used) == 2:
+            w.put(used[1], 8)
         return
     w.put(0, 1)
-    order = CODE_LENGTH_ORDER
-    last = max(order.index(0), order.index(width)) + 1
+    rows: list[tuple[int, int, int]] = []  # code of code lengths, extra, its bits
+    for length, run in groupby(lengths.tolist()):
+        n = sum(1 for _ in run)
+        if length == 0:
+            while n >= 3:
+                m = min(n, 138)
+                rows.append((18, m - 11, 7) if m >= 11 else (17, m - 3, 3))
+                n -= m
+        elif n > 3:
+            rows.append((length, 0, 0))
+            n -= 1
+            while n >= 3:
+                m = min(n, 6)
+                rows.append((16, m - 3, 2))
+                n -= m
+        rows += [(length, 0, 0)] * n
+    own = code_lengths(np.bincount([r[0] for r in rows], minlength=19), 7)
+    codes = canonical(own)
+    last = max(k for k in range(19) if own[CODE_LENGTH_ORDER[k]]) + 1
     w.put(max(last, 4) - 4, 4)
-    for k in order[: max(last, 4)]:
-        w.put(int(k in (0, width)), 3)
+    for k in CODE_LENGTH_ORDER[: max(last, 4)]:
+        w.put(int(own[k]), 3)
     w.put(0, 1)
-    marks = np.zeros(size, np.uint8)  # two code lengths, one bit each: 0 and the width
-    marks[used] = 1
-    w.put(int.from_bytes(np.packbits(marks, bitorder="little").tobytes(), "little"), size)
+    lone = int((own > 0).sum()) == 1
+    for k, extra, n in rows:
+        if not lone:
+            w.put(int(codes[k]), int(own[k]))
+        if n:
+            w.put(extra, n)
+
+
+def _prefixed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbol, extra, bits of extra) of numbers from 1 on."""
+    v = x.astype(np.int64) - 1
+    high = np.maximum(np.frexp(np.maximum(v, 1).astype(np.float64))[1] - 1, 0)
+    small = v < 4
+    bits = np.where(small, 0, high - 1)
+    return np.where(small, v, 2 * high + (v >> np.maximum(high - 1, 0) & 1)), np.where(small, 0, v & ((1 << bits) - 1)), bits
+
+
+def _runs(pixels: np.ndarray, raw: bytes, unit: int) -> list[tuple[int, int, int]]:
+    """(pixel, length, back): runs of at least LEAST_RUN bytes that stood before, left to right, none over another. Sought where a word or a row of four begins."""
+    n = len(raw)
+    if n < 2 * LEAST_RUN:
+        return []
+    padded = raw + b"\0" * 16
+    eights = np.stack([np.frombuffer(padded, "<u8", n // 8 + 1, k) for k in range(8)])  # the eight bytes from i on: eights[i & 7, i >> 3]
+    if unit == 1:
+        starts = np.flatnonzero(np.frombuffer(raw, np.uint8, n - LEAST_RUN) <= 32) + 1
+        if len(starts) < n >> 5:
+            starts = np.arange(0, n - LEAST_RUN, 4)
+    else:
+        starts = np.arange(0, n - LEAST_RUN, unit)
+    own = eights[starts & 7, starts >> 3]
+    order = np.argsort(own, kind="stable")
+    again = np.flatnonzero(own[order[1:]] == own[order[:-1]])
+    if not len(again):
+        return []
+    here, there = starts[order[again + 1]], starts[order[again]]
+    length, open_ = np.full(len(here), LEAST_RUN), np.arange(len(here))
+    while len(open_):  # eight bytes at a time, as long as all are alike
+        a, b = here[open_] + length[open_], there[open_] + length[open_]
+        inside = a + 8 <= n
+        open_, a, b = open_[inside], a[inside], b[inside]
+        same = (eights[a & 7, a >> 3] == eights[b & 7, b >> 3]) & (length[open_] + 8 <= MOST_RUN * unit)
+        open_ = open_[same]
+        length[open_] += 8
+    out, done = [], 0
+    for k in np.argsort(here, kind="stable").tolist():
+        at, m = int(here[k]), int(length[k])
+        if at >= done:
+            out.append((at // unit, min(m // unit, MOST_RUN), (at - int(there[k])) // unit))
+            done = at + m
+    return out
 
 
-def encode_flat(payload: bytes) -> bytes:
-    """Bytes (a positive multiple of 64, up to 16384 rows of them) as one image of 16 pixels a row, four bytes a pixel (green, red, blue, alpha)."""
-    rows, odd = divmod(len(payload), 4 * WIDTH)
-    if odd or not 0 < rows <= ROWS:
-        raise ValueError("whole rows are needed")
-    px = np.frombuffer(payload, np.uint8).reshape(-1, 4)
+def _image(w: BitWriter, pixels: np.ndarray, width: int, top: bool, raw: bytes | None = None, unit: int = 1, cache_bits: int = 0) -> None:
+    """Pixels as an entropy-coded image; raw: the bytes in which runs are sought, unit of them a pixel."""
+    w.put(int(cache_bits > 0), 1)
+    if cache_bits:
+        w.put(cache_bits, 4)
+    if top:
+        w.put(0, 1)
+    runs = _runs(pixels, raw, unit) if raw is not None else []
+    n, literal = len(pixels), np.ones(len(pixels), bool)
+    for at, m, _ in runs:
+        literal[at : at + m] = False
+    at_runs, lengths, backs = (np.array(x, np.int64) for x in zip(*runs, strict=True)) if runs else (np.empty(0, np.int64),) * 3
+    start = literal.copy()
+    start[at_runs] = True
+    tokens = np.flatnonzero(start)
+    own = pixels[tokens]
+    green, red, blue, alpha = ((own >> np.uint32(s) & np.uint32(255)).astype(np.int64) for s in (8, 16, 0, 24))
+    is_run = ~literal[tokens]
+    plain = ~is_run
+    if cache_bits:
+        cached, hit = [0] * (1 << cache_bits), np.zeros(n, bool)
+        slot = ((np.uint64(0x1E35A7BD) * pixels.astype(np.uint64) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - cache_bits)).astype(np.int64)
+        for k, (x, s) in enumerate(zip(pixels.tolist(), slot.tolist(), strict=True)):
+            hit[k] = cached[s] == x
+            cached[s] = x
+        by_cache = plain & hit[tokens]
+        plain &= ~by_cache
+        green[by_cache] = 280 + slot[tokens][by_cache]
+    by_distance = {d: k + 1 for k, d in reversed(list(enumerate(_near(width))))}
+    l_sym, l_extra, l_bits = _prefixed(lengths)
+    d_sym, d_extra, d_bits = _prefixed(np.array([by_distance.get(d, d + 120) for d in backs.tolist()], np.int64))
+    green[is_run] = 256 + l_sym
+    size = ALPHABETS[0] + (1 << cache_bits if cache_bits else 0)
+    counts = [np.bincount(green, minlength=size), *(np.bincount(x[plain], minlength=256) for x in (red, blue, alpha)), np.bincount(d_sym, minlength=40)]
+    codes = []
+    for c in counts:
+        own_lengths = code_lengths(c)
+        _put_code(w, own_lengths)
+        codes.append((canonical(own_lengths), own_lengths if (own_lengths > 0).sum() > 1 else np.zeros_like(own_lengths)))
+    wide = [k for k in (1, 2, 3) if codes[k][1].any()]
+    fields = np.where(is_run, 4, np.where(plain, 1 + len(wide), 1))
+    at = np.cumsum(fields) - fields
+    values, widths = np.zeros(int(fields.sum()), np.int64), np.zeros(int(fields.sum()), np.int64)
+    values[at], widths[at] = codes[0][0][green], codes[0][1][green]
+    for place, k in enumerate(wide, 1):
+        x = (red, blue, alpha)[k - 1][plain]
+        values[at[plain] + place], widths[at[plain] + place] = codes[k][0][x], codes[k][1][x]
+    if runs:
+        r = at[is_run]
+        values[r + 1], widths[r + 1] = l_extra, l_bits
+        values[r + 2], widths[r + 2] = codes[4][0][d_sym], codes[4][1][d_sym]
+        values[r + 3], widths[r + 3] = d_extra, d_bits
+    w.array(values, widths)
+
+
+def _bits(x: np.ndarray) -> float:
+    """What samples of a byte take in a code of their own counts."""
+    n = np.bincount(x.ravel(), minlength=256)
+    n = n[n > 0]
+    return float((n * np.log2(len(x.ravel()) / n)).sum())
+
+
+def predictions(p: np.ndarray, width: int) -> np.ndarray:
+    """modes x pixels x channels: what each of the 14 modes foretells of all pixels but those of the first row and column."""
+    own = np.stack(_split(p), axis=1).reshape(-1, width, 4)
+    h = own.shape[0]
+    left, top, top_left = own[1:, :-1], own[:-1, 1:], own[:-1, :-1]
+    after = np.concatenate([own[:-1, 2:], own[1:, :1]], axis=1)  # right of the last column stands the first of the next row
+    half = lambda a, b: a + b >> 1
+    held = lambda a: np.clip(a, 0, 255)
+    mid = half(left, top)
+    nearer = (np.abs(top - top_left).sum(axis=2) < np.abs(left - top_left).sum(axis=2))[..., None]
+    black = np.broadcast_to(np.array([255, 0, 0, 0]), left.shape)
+    out = [black, left, top, after, top_left, half(half(left, after), top), half(left, top_left), mid, half(top_left, top), half(top, after), half(half(left, top_left), half(top, after)), np.where(nearer, left, top), held(left + top - top_left), held(mid + np.trunc((mid - top_left) / 2).astype(np.int64))]
+    return np.stack(out).reshape(14, h - 1, width - 1, 4)
+
+
+def _predicted_rest(p: np.ndarray, width: int, block: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """(what is left of the pixels after the best mode of each block, the modes)."""
+    own = np.stack(_split(p), axis=1).reshape(-1, width, 4)
+    h = own.shape[0]
+    rest = own.copy()
+    rest[0, 0] -= (255, 0, 0, 0)
+    rest[0, 1:] -= own[0, :-1]
+    rest[1:, 0] -= own[:-1, 0]
+    across, down = -(-width >> block), -(-h >> block)
+    modes = np.zeros(across * down, np.int64)
+    if h > 1:
+        left = own[None, 1:, 1:] - predictions(p, width)
+        cost = np.abs(_signed(left)).sum(axis=3)
+        of_block = (np.arange(1, h)[:, None] >> block) * across + (np.arange(1, width)[None, :] >> block)
+        total = np.stack([np.bincount(of_block.ravel(), c.ravel(), across * down) for c in cost])
+        modes = total.argmin(axis=0)
+        rest[1:, 1:] = np.take_along_axis(left, modes[of_block][None, :, :, None], 0)[0]
+    return _join(*rest.reshape(-1, 4).T), modes
+
+
+def _factor(x: np.ndarray, y: np.ndarray) -> int:
+    """The multiple of x, in 32nds, that comes nearest to y; as a byte."""
+    a, b = _signed(x).astype(np.float64), _signed(y).astype(np.float64)
+    return int(np.clip(np.round(32 * (a * b).sum() / max((a * a).sum(), 1.0)), -128, 127)) & 255
+
+
+def _header(width: int, rows: int) -> BitWriter:
     w = BitWriter()
-    w.put(0x2F, 8)
-    for value, n in ((WIDTH - 1, 14), (rows - 1, 14), (1, 1), (0, 3), (0, 1), (0, 1), (0, 1)):
+    for value, n in ((0x2F, 8), (width - 1, 14), (rows - 1, 14), (1, 1), (0, 3)):
         w.put(value, n)
-    parts, mark = [], np.zeros((4, 256), bool)
-    for c in range(4):
-        mark[c, px[:, c]] = True
-        used = np.flatnonzero(mark[c])
-        width = (len(used) - 1).bit_length()
-        mark[c, np.flatnonzero(mark[c] == 0)[: (1 << width) - len(used)]] = True
-        used = np.flatnonzero(mark[c])
-        _put_flat_code(w, used, ALPHABETS[c], width)
-        rank = np.zeros(256, np.uint8)
-        rank[used] = np.arange(len(used))
-        if width:
-            parts.append(np.unpackbits((rank[px[:, c]] << np.uint8(8 - width))[:, None], axis=1)[:, :width])
-    _put_flat_code(w, np.zeros(1, np.int64), ALPHABETS[4], 0)
-    head = np.unpackbits(np.frombuffer(w.value.to_bytes((w.n + 7) // 8, "little"), np.uint8), bitorder="little")[: w.n]
-    bits = np.concatenate([head, np.concatenate(parts, axis=1).ravel() if parts else np.empty(0, np.uint8)])
-    return riff(np.packbits(bits, bitorder="little").tobytes())
+    return w
+
+
+def encode(payload: bytes) -> bytes:
+    """Bytes (a positive multiple of 64, up to 16384 rows of them) as one image, in the form that takes the fewest bits by its samples' entropy."""
+    rows, odd = divmod(len(payload), GREY)
+    if odd or not 0 < rows <= ROWS:
+        raise ValueError("whole rows are needed")
+    x = np.frombuffer(payload, np.uint8)
+    plain = _bits(x)
+    shades = np.flatnonzero(np.bincount(x, minlength=256))
+    if 1 < len(shades) <= 16 and rows > 1:
+        return _palette_image(x, shades, rows, payload)
+    table = x.reshape(rows, GREY)
+    four = x.reshape(-1, 4)
+    foretold = min(_bits(np.diff(table, axis=1)), _bits(table[1:] - table[:-1])) if rows > 3 else plain
+    packed = sum(_bits(four[:, c]) for c in range(4))
+    less = sum(_bits(c) for c in (four[:, 0], four[:, 1] - four[:, 0], four[:, 2] - four[:, 0], four[:, 3])) if rows > 3 else packed
+    if rows > 3 and min(foretold, packed, less) < 0.9 * plain:
+        if foretold <= min(packed, less):
+            return _predicted_image(x, rows)
+        return _packed_image(four, rows, payload, less < packed)
+    w = _header(GREY, rows)
+    w.put(1, 1)
+    w.put(2, 2)  # grey less green: one channel is left
+    w.put(0, 1)
+    _image(w, x.astype(np.uint32) << np.uint32(8) | np.uint32(0xFF000000), GREY, True, payload, 1)
+    return riff(w.bytes())
+
+
+def _grey(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint32) * np.uint32(0x010101) | np.uint32(0xFF000000)
+
+
+def _palette_image(x: np.ndarray, shades: np.ndarray, rows: int, payload: bytes) -> bytes:
+    w = _header(GREY, rows)
+    w.put(1, 1)
+    w.put(3, 2)
+    w.put(len(shades) - 1, 8)
+    colours = _grey(shades)
+    steps = [np.diff(c, prepend=0) for c in _split(colours)]
+    _image(w, _join(*steps), len(shades), False)
+    w.put(0, 1)
+    pack = 3 if len(shades) <= 2 else 2 if len(shades) <= 4 else 1
+    place = np.zeros(256, np.int64)
+    place[shades] = np.arange(len(shades))
+    index = place[x].reshape(rows, -1, 1 << pack)
+    bundled = (index << (np.arange(1 << pack) * (8 >> pack))).sum(axis=2).astype(np.uint8).ravel()
+    _image(w, bundled.astype(np.uint32) << np.uint32(8) | np.uint32(0xFF000000), GREY >> pack, True, bundled.tobytes(), 1)
+    return riff(w.bytes())
+
+
+def _predicted_image(x: np.ndarray, rows: int) -> bytes:
+    w, block = _header(GREY, rows), 4
+    rest, modes = _predicted_rest(_grey(x), GREY, block)
+    w.put(1, 1)
+    w.put(2, 2)
+    w.put(1, 1)
+    w.put(0, 2)
+    w.put(block - 2, 3)
+    # green goes first, then the neighbours: both hold for each channel alone, so a grey's rest is its green's
+    rest, modes = _predicted_rest(x.astype(np.uint32) << np.uint32(8) | np.uint32(0xFF000000), GREY, block)
+    _image(w, modes.astype(np.uint32) << np.uint32(8) | np.uint32(0xFF000000), -(-GREY >> block), False)
+    w.put(0, 1)
+    _image(w, rest, GREY, True)
+    return riff(w.bytes())
+
+
+def _packed_image(four: np.ndarray, rows: int, payload: bytes, less: bool) -> bytes:
+    """Green, red, blue, alpha of four bytes each."""
+    w = _header(PACKED, rows)
+    pixels = _join(four[:, 3], four[:, 1], four[:, 0], four[:, 2])
+    if less:
+        a, r, g, b = _split(pixels)
+        green_red, green_blue = _factor(g, r), _factor(g, b)
+        red_blue = _factor(r, b - (_signed(np.full_like(g, green_blue)) * _signed(g) >> 5))
+        factors = np.full(-(-PACKED >> 4) * -(-rows >> 4), 0xFF000000 | red_blue << 16 | green_blue << 8 | green_red, np.uint32)
+        crossed = cross_colour(pixels, PACKED, rows, factors, 4, -1)
+        plain = _join(a, r - g, g, b - g)
+        cost = lambda p: sum(_bits((p >> np.uint32(s) & np.uint32(255)).astype(np.uint8)) for s in (16, 0))
+        w.put(1, 1)
+        if cost(crossed) < cost(plain):
+            w.put(1, 2)
+            w.put(2, 3)
+            _image(w, factors, -(-PACKED >> 4), False)
+            pixels = crossed
+        else:
+            w.put(2, 2)
+            pixels = plain
+    w.put(0, 1)
+    distinct = len(np.unique(pixels))
+    cache_bits = min(10, max(1, (distinct - 1).bit_length())) if 2 * distinct < len(pixels) else 0
+    _image(w, pixels, PACKED, True, pixels.astype("<u4").tobytes(), 4, cache_bits)
+    return riff(w.bytes())
 
 
 def store(payload: bytes) -> bytes:
     """A payload as one image, or several one after another."""
-    step = 4 * WIDTH * ROWS
-    return b"".join(encode_flat(payload[k : k + step]) for k in range(0, len(payload), step))
+    step = GREY * ROWS
+    return b"".join(encode(payload[k : k + step]) for k in range(0, len(payload), step))
 
 
 def read_back(media: bytes):
@@ -406,8 +775,9 @@ def read_back(media: bytes):
 
 
 def payload_of(pixels: np.ndarray) -> bytes:
-    p = pixels.ravel()
-    return np.stack([(p >> np.uint32(s) & np.uint32(255)).astype(np.uint8) for s in (8, 16, 0, 24)], axis=1).tobytes()
+    """The bytes that an image holds: its greens, or four of each pixel."""
+    own = np.ascontiguousarray(pixels.astype("<u4")).view(np.uint8).reshape(-1, 4)
+    return own[:, 1].tobytes() if pixels.shape[1] == GREY else own[:, [1, 2, 0, 3]].tobytes()
 
 
 def _store_batches(batches):
@@ -419,7 +789,7 @@ def _store_batches(batches):
 
 def with_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media): each whole text as lossless WebP. Null text: an empty one, 64 zero bytes. No rows: no rows."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("raw")).mapInArrow(_store_batches, "doc_id long, n_bytes long, media binary")
+    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("raw")), _store_batches, "doc_id long, n_bytes long, media binary")
 
 
 def features(payload: bytes) -> str:
@@ -444,7 +814,7 @@ def _digest_batches(batches):
 
 
 def media_digests(media: DataFrame) -> DataFrame:
-    return media.mapInArrow(_digest_batches, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return arrow_map(media, _digest_batches, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op10_lossless_webp(spark, sf_dir: str) -> DataFrame:
