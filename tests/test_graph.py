@@ -30,6 +30,7 @@ def test_reach(spark):
 def test_search_ranks(spark):
     rows = [("a", "user_profile", "User Profile Page", '{"method":"GET"}'), ("b", "admin_dashboard", "Admin Dashboard", "{}"), ("c", "order_history", "Order History View", "{}"), ("d", "Café users", "User2 list user", '{"k":[1,2]}'), ("e", "x", "y", "{}"), ("g", "z", "w", "{}"), ("h", "q", "r", "{}")]
     nodes = spark.createDataFrame([NODE(i, "page", n, lab, p) for i, n, lab, p in rows], NODE_SCHEMA)
+    ix = search.index(nodes)
     want = {
         "user": [("a", -0.9202154868972916), ("d", -0.582082615034025)],
         "method": [("a", -1.1645998380308806)],
@@ -42,7 +43,7 @@ def test_search_ranks(spark):
         "user NOT profile": [("d", -0.582082615034025)],
     }
     for q, rank in want.items():
-        got = [(r["id"], r["rank"]) for r in search.search(nodes, q).collect()]
+        got = [(r["id"], r["rank"]) for r in search.search(ix, q).collect()]
         assert [i for i, _ in got] == [i for i, _ in rank], q
         assert all(abs(a - b) < 1e-9 for (_, a), (_, b) in zip(got, rank, strict=True)), q
     for q in ("GET /api", "NOT user", "user-profile", ""):
@@ -50,6 +51,36 @@ def test_search_ranks(spark):
             search.parse_query(q)
 
 
+def test_index_update_and_accents(spark):
+    nodes = spark.createDataFrame([NODE("a", "page", "\u010daj g\u0103rden"), NODE("b", "page", "cafe\u0301 noir"), NODE("c", "page", "tea")], NODE_SCHEMA)
+    ix = search.index(nodes)
+    found = lambda ix, q: ids(search.search(ix, q))
+    assert found(ix, "\u010daj") == found(ix, "caj") == ["a"] and found(ix, "caf\u00e9") == ["b"] and found(ix, '"garden caj"') == []
+    new = nodes.where("id <> 'b'").withColumn("name", F.when(F.col("id") == "c", "caj tea").otherwise(F.col("name")))
+    ix = search.update(ix, new, spark.createDataFrame([("b",), ("c",)], "id string"))
+    whole = search.index(new)
+    for q in ("caj", "noir", "tea", '"caj tea"', "caj NOT tea", "name:caj", "label:caj", "g*"):
+        a, b = ([(r["id"], round(r["rank"], 9)) for r in search.search(x, q).collect()] for x in (ix, whole))
+        assert a == b, q
+
+
+def test_terms_match_brute_force(spark):
+    import itertools
+
+    words = ["alpha", "beta", "gamma", "user", "x1", "x2"]
+    rows = [NODE(f"n{k:02d}", "action" if k % 3 else "page", " ".join(w for i, w in enumerate(words) if i == 3 or (k >> (i % 4)) & 1)) for k in range(40)]
+    nodes = spark.createDataFrame(rows, NODE_SCHEMA)
+    ix = search.index(nodes)
+    asked = [(" ".join(c), w) for n in (1, 2, 3) for c in itertools.combinations(words, n) for w in c]
+    got = {}
+    for r in search.search_terms(ix, spark.createDataFrame(asked, "q string, term string"), ["action", "page"], 4).collect():
+        got.setdefault((r["q"], r["kind"]), []).append((r["rank"], r["id"]))
+    for q in {q for q, _ in asked}:
+        for kind in ("action", "page"):
+            want = [(round(r["rank"], 8), r["id"]) for r in search.search(ix, " OR ".join(q.split()), kind, 100).collect()]
+            assert sorted(got.get((q, kind), [])) == sorted(want)[:4], (q, kind)
+
+
 def test_templates():
     assert match_template("I have {int} items in my cart", "I have 5 items in my cart") == {"p0": "5"}
     assert match_template("I see the message {string}", 'I see the message "hello world"') == {"p0": "hello world"}
@@ -77,6 +108,9 @@ def test_match(spark):
         assert {r["text"]: r["params"] for r in match.match_exact(steps, patterns).collect()} == literal
     finally:
         match.LITERAL_TEMPLATES = old
+    many = spark.createDataFrame([NODE(f"action:{k:03d}", "action", props='{"gherkin_patterns":["%s"]}' % p) for k, p in enumerate([f"I press key{j} {{int}}" for j in range(70)] + ["{word}", "I press key3 3"])], NODE_SCHEMA)
+    got = {r["text"]: (r["action_id"], r["params"]) for r in match.match_exact(spark.createDataFrame([("I press key3 3",), ("I press key69 7",), ("lone",), ("no fit",)], "text string"), match.explode_patterns(many)).collect()}
+    assert got == {"I press key3 3": ("action:003", {"p0": "3"}), "I press key69 7": ("action:069", {"p0": "7"}), "lone": ("action:070", {"p0": "lone"})}
     total = match.coverage_total(steps, match.match_tiers(steps, patterns, ix)).first()
     assert (total["steps"], total["exact"], total["pct"]) == (4, 2, 50.0)
 
@@ -93,8 +127,18 @@ def test_writes(spark, tmp_path):
     assert s.init().nodes.count() == 0
     s.write(g)
     assert ids(s.init().nodes) == ["n1", "n2", "n3"]
+    for bad in (graph(spark, [NODE("x", "widget")], []), graph(spark, [NODE("x"), NODE("x")], []), graph(spark, [NODE("x")], [EDGE("e", "x", "y")]), graph(spark, [NODE("x")], [EDGE("e", "x", "x", "calls")])):
+        with pytest.raises(ValueError):
+            s.write(bad)
+    assert ids(s.read().nodes) == ["n1", "n2", "n3"] and s.schema_versions() == 1
+    assert ids(store.delete_from(g.edges, "n1", "relates_to")) == [] and store.count_from(g.edges, "n1", "relates_to") == 1
     with pytest.raises(ValueError):
-        s.write(graph(spark, [NODE("x", "widget")], []))
+        store.insert_node(g.nodes, g.nodes.where("id = 'n1'"))
+    twice = spark.createDataFrame([NODE("n4", name="a"), NODE("n4", name="b")], NODE_SCHEMA)
+    assert ids(store.upsert_nodes(g.nodes, twice, 9)) == ["n1", "n2", "n3", "n4"]
+    own = g.edges.withColumn("source_scanner", F.lit("l"))
+    edges, created, deleted = store.replace_scoped(own, new, g.nodes, "l", 9)
+    assert (created, deleted, ids(edges)) == (2, 1, ["e1", "e3"])
 
 
 def test_actions(spark):
