@@ -5,11 +5,13 @@ turn last. Dynamic programming over this automaton chooses per turn to keep or r
 turn before it, and where to insert empty turns. A chunk of turns acts on the costs of the four states as a matrix under
 (min, +), so a conversation of any length is cut into chunks: each chunk's matrix is found alone, matrices are chained per
 conversation (16 numbers for ``CHUNK`` turns) into the costs before each chunk, best paths are traced back over chunks, and
-each chunk then decodes alone what the whole conversation would have. Ties go to the first of: going on, merging; then the role order system, user, assistant.
+each chunk then decodes alone what the whole conversation would have. Only roles go through Python; texts are joined to the
+decisions. Marks of turns within a text are escaped by a backslash, which ``unescaped`` takes back. Ties go to the first of: going on, merging; then the role order system, user, assistant.
 """
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -27,7 +29,9 @@ NEVER = 1 << 40
 STATES = ("", *ROLES)
 LEGAL = {"": ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)}
 BEGIN, END = "<|{role}|>\n", "<|end|>\n"
-DECIDED = "conv_id long, turn long, role string, text string, place long, action string, repaired_role string, inserted string, inserted_after string, piece string"
+DECIDED = "pid long, idx long, action string, repaired_role string, inserted string, inserted_after string, head string, tail string"
+#: <| in a text, after any backslashes that an earlier escape may have put between.
+_MARK = r"<(\\*)\|"
 
 
 @lru_cache
@@ -174,7 +178,7 @@ def _roles(rows: pd.DataFrame) -> list[str | None]:
     return [None if x is None or x != x else x for x in rows["role"].tolist()]
 
 
-def _render(chunk: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
+def _decided(chunk: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
     chunk = chunk.sort_values("idx")
     known = {r.conv_key: r for r in ends.itertuples()}
     out = []
@@ -186,18 +190,22 @@ def _render(chunk: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
         costs, leave = (at.costs, at.leave) if at is not None else (START_COSTS, forward([matrix(roles)])[1])
         first, last = (at.first, at.last) if at is not None else (True, True)
         rows = decode(roles, costs, leave)
-        for k, (turn, text, (action, role, merged, before)) in enumerate(zip(own["turn"], own["text"], rows, strict=True)):
-            piece = "\n" + text if merged else ("" if first and k == 0 else END) + "".join(begin[r] + END for r in before) + begin[role] + text
-            after = _ending(STATES[leave]) if last and k == len(rows) - 1 else ()
-            if last and k == len(rows) - 1:
-                piece += END + "".join(begin[r] + END for r in after)
-            out.append((own["conv_id"].iat[k], turn, roles[k], text, int(own["pid"].iat[k]) << 33 | int(own["idx"].iat[k]), action, role, ",".join(before), ",".join(after), piece))
-    frame = pd.DataFrame(out, columns=[c.split()[0] for c in DECIDED.split(", ")])
-    return frame.astype({"conv_id": "Int64", "turn": "Int64"})
+        for k, (action, role, merged, before) in enumerate(rows):
+            head = "\n" if merged else ("" if first and k == 0 else END) + "".join(begin[r] + END for r in before) + begin[role]
+            ends_here = last and k == len(rows) - 1
+            after = _ending(STATES[leave]) if ends_here else ()
+            tail = END + "".join(begin[r] + END for r in after) if ends_here else ""
+            out.append((own["pid"].iat[k], own["idx"].iat[k], action, role, ",".join(before), ",".join(after), head, tail))
+    return pd.DataFrame(out, columns=[c.split()[0] for c in DECIDED.split(", ")])
+
+
+def unescaped(piece: str) -> str:
+    """A text as it was before its marks were escaped."""
+    return re.sub(r"<\\(\\*)\|", r"<\1|", piece)
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
-    """DECIDED rows, one per row of turns(conv_id, turn, role, text); the pieces of a conversation, joined in order of place, are its rendering.
+    """(conv_id, turn, role, text, place, action, repaired_role, inserted, inserted_after, piece), a row per row of turns(conv_id, turn, role, text); the pieces of a conversation, joined in order of place, are its rendering.
 
     Turns are ordered by turn (nulls first), role and text. A null text is empty; a null or other role is relabelled; rows with
     a null conv_id form one conversation; repeated rows are turns of their own. An empty table gives no rows. Extra columns are
@@ -217,10 +225,13 @@ def format_chats(turns: DataFrame) -> DataFrame:
     costed = parts.groupBy("conv_key").applyInPandas(_costed, run)
     traced = light.groupBy("pid", "chunk").cogroup(costed.groupBy("pid", "chunk")).applyInPandas(_traced, run + ", back array<int>")
     ends = written(traced.groupBy("conv_key").applyInPandas(_left, run), "ends")
-    return rows.groupBy("pid", "chunk").cogroup(ends.groupBy("pid", "chunk")).applyInPandas(_render, DECIDED)
+    decided = light.groupBy("pid", "chunk").cogroup(ends.groupBy("pid", "chunk")).applyInPandas(_decided, DECIDED)
+    piece = F.concat("head", F.regexp_replace("text", _MARK, "<\\\\$1|"), "tail")
+    place = F.shiftleft("pid", 33).bitwiseOR(F.col("idx"))
+    return rows.join(decided, ["pid", "idx"]).select("conv_id", "turn", "role", "text", place.alias("place"), "action", "repaired_role", "inserted", "inserted_after", piece.alias("piece"))
 
 
 def op6_role_repair(spark, sf_dir: str) -> DataFrame:
     """Every turn's repair and its piece of the rendering."""
     out = format_chats(load(spark, sf_dir, "conversations"))
-    return out.select("conv_id", "turn", "role", "action", "repaired_role", "inserted", "inserted_after", "piece")
+    return out.select("conv_id", "turn", "place", "role", "action", "repaired_role", "inserted", "inserted_after", "piece")

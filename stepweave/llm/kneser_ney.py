@@ -2,13 +2,14 @@
 
 1. Map tasks turn texts into pairs of 48-bit word hashes, count equal pairs and send each shard of the
    pair-hash space one compressed block. Pair hashes are uniform, so no word or text makes a shard larger.
-2. Each shard's task merges its blocks, writes its pairs as two sorted arrays (hash, count) to the shared
+2. Each shard's task merges its blocks, writes its pairs as sorted arrays (hash, count) to the shared
    folder and sends, per word, what the pairs say of it to the shards of the word-hash space: as a first
    word its followers (tokens; types seen once, twice, more often), as a second word its count and the
-   number of its predecessors.
+   number of its predecessors. Beyond ``HOP`` shards a message goes to a group of shards first, where messages are
+   added up before they are dealt on: S shards send S * sqrt(S) messages, not S * S.
 3. Each word shard's task adds these up and writes the words' sorted arrays. Only the counts of counts, N
    and V reach the driver.
-4. Scoring tasks map the arrays and look up a batch's distinct hashes in sorted order.
+4. Scoring tasks map the arrays, a shard at a time, and look up a batch's distinct hashes in sorted order.
 
 P(w | v) = max(c(v,w) - D(c), 0) / c(v) + lambda(v) P(w), P(w) = max(k(w) - D'(k), 0) / k + lambda' / (V + 1),
 k(w) being w's number of predecessors, k their sum, and 1 / (V + 1) the share of each word and of an unknown
@@ -27,13 +28,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, each, load, mounted, new_dir, text_or_empty, written
+from .common import LOWER, arrow_map, each, load, mounted, new_dir, text_or_empty, written
 
 #: Reserved hashes of the start and the end of a text.
 START, END = 1, 2
 #: Bytes of text per shard of pairs; words that a worker remembers; tokens that a task counts or scores at a time.
 SHARD_BYTES, WORDS, TOKENS = 16 << 20, 200_000, 3_000_000
-WORD_FIELDS = ("key", "count", "preds", "follow", "once", "twice", "more")
+#: Bits of shards up to which messages between shards go straight; words that a group of shards adds up at a time.
+HOP, HELD = 8, 1_000_000
+WORD_FIELDS = ("count", "preds", "follow", "once", "twice", "more")
 
 
 class _Hashes(dict):
@@ -86,25 +89,26 @@ def _unplanes(raw: bytes, n: int, width: int) -> np.ndarray:
     return out.view("<i8").ravel()
 
 
-def _block(columns: list[tuple[np.ndarray, int, bool]]) -> bytes:
-    """(values, bytes each, ascending): one compressed block."""
-    parts = [_planes(np.diff(x, prepend=0) if ascending else x, width) for x, width, ascending in columns]
-    return zstandard.compress(b"".join(parts), 1)
+def _block(columns: list[np.ndarray]) -> bytes:
+    """One compressed block of columns of equal length, none negative; the first ascends. Each value takes as many bytes as its column's largest."""
+    first, *rest = columns
+    rows = [np.diff(first, prepend=0), *rest]
+    widths = [max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1 for x in rows]
+    return zstandard.compress(bytes(widths) + b"".join(_planes(x, w) for x, w in zip(rows, widths, strict=True)), 1)
 
 
-def _unblock(block: bytes, layout: tuple[tuple[int, bool], ...]) -> list[np.ndarray]:
+def _unblock(block: bytes, columns: int) -> list[np.ndarray]:
     raw = zstandard.decompress(block)
-    n, at, out = len(raw) // sum(w for w, _ in layout), 0, []
-    for width, ascending in layout:
-        x = _unplanes(raw[at : at + n * width], n, width)
-        out.append(np.cumsum(x) if ascending else x)
+    widths = raw[:columns]
+    n, at, out = (len(raw) - columns) // sum(widths), columns, []
+    for width in widths:
+        out.append(_unplanes(raw[at : at + n * width], n, width))
         at += n * width
-    return out
+    return [np.cumsum(out[0]), *out[1:]]
 
 
-PAIRS = ((6, True), (6, False), (4, False))
-FIRSTS = ((6, True), (5, False), (4, False), (4, False), (4, False))
-SECONDS = ((6, True), (5, False), (4, False))
+#: Columns of blocks: first word, second word, count; first word, followers, once, twice, more; second word, count, predecessors.
+PAIRS, SIDES = 3, {"first": 5, "second": 3}
 
 
 def _runs(sorted_keys: np.ndarray) -> np.ndarray:
@@ -137,7 +141,7 @@ def _pair_batches(bits: int):
             first, second, counts, shards = first[order], second[order], counts[order], shards[order]
             starts = _runs(shards)
             ends = np.r_[starts[1:], len(shards)]
-            yield pa.RecordBatch.from_arrays([pa.array(shards[starts], pa.int32()), pa.array([_block([(first[a:b], 6, True), (second[a:b], 6, False), (counts[a:b], 4, False)]) for a, b in zip(starts, ends, strict=True)], pa.binary())], ["shard", "block"])
+            yield pa.RecordBatch.from_arrays([pa.array(shards[starts], pa.int32()), pa.array([_block([first[a:b], second[a:b], counts[a:b]]) for a, b in zip(starts, ends, strict=True)], pa.binary())], ["shard", "block"])
 
         for b in batches:
             for raw in each(b.column(0)):
@@ -153,11 +157,12 @@ def _pair_batches(bits: int):
     return run
 
 
-def _write_array(folder: str, name: str, x: np.ndarray) -> None:
-    """Whole or absent, and the same whichever attempt writes it."""
+def _write_arrays(folder: str, name: str, arrays: list[np.ndarray]) -> None:
+    """One file of arrays one after another: whole or absent, and the same whichever attempt writes it."""
     temp = f"{folder}/.{name}.{uuid.uuid4().hex}"
     with open(temp, "wb") as f:
-        f.write(np.ascontiguousarray(x).data)
+        for x in arrays:
+            f.write(np.ascontiguousarray(x).data)
     os.replace(temp, f"{folder}/{name}")
 
 
@@ -165,7 +170,7 @@ def _by_shard(batches, names: tuple[str, ...]):
     """Groups of rows of a sorted partition, by their first column."""
     at, held = None, []
     for b in batches:
-        for r in zip(*[b.column(b.schema.get_field_index(n)).to_pylist() for n in names], strict=True):
+        for r in zip(*[each(b.column(b.schema.get_field_index(n))) for n in names], strict=True):
             if r[0] != at:
                 if held:
                     yield at, held
@@ -175,27 +180,67 @@ def _by_shard(batches, names: tuple[str, ...]):
         yield at, held
 
 
-def _merge_pairs(folder: str, bits: int):
+def _sent(kind: str, words: np.ndarray, sums: list[np.ndarray], shards: np.ndarray):
+    """(kind, shard, block) rows of words with their sums, by the shards that they go to."""
+    order = np.lexsort((words, shards))
+    words, sums, shards = words[order], [x[order] for x in sums], shards[order]
+    cuts = _runs(shards)
+    for a, b in zip(cuts, np.r_[cuts[1:], len(shards)], strict=True):
+        yield kind, int(shards[a]), _block([words[a:b], *[x[a:b] for x in sums]])
+
+
+def _merge_pairs(folder: str, bits: int, groups: int):
+    """groups: bits of the shards, or of the groups of shards, that words' messages go to."""
+
     def run(batches):
         os.makedirs(folder, exist_ok=True)
         for shard, rows in _by_shard(batches, ("shard", "block")):
             parts = [_unblock(block, PAIRS) for (block,) in rows]
             keys, first, second, counts = _count_pairs(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-            _write_array(folder, f"pair-{shard:06d}.key", keys)
-            _write_array(folder, f"pair-{shard:06d}.count", counts.astype(np.uint32))
-            out = [("counts", shard, None, *np.bincount(np.minimum(counts, 5), minlength=5)[1:5].tolist(), len(keys))]
+            most = int(counts.max()) if len(counts) else 0
+            wide = most >= 1 << 32
+            _write_arrays(folder, f"pair-{shard:06d}", [keys, counts.astype(np.uint64 if wide else np.uint32)])
+            out = [("counts", shard, None, *np.bincount(np.minimum(counts, 5), minlength=5)[1:5].tolist(), len(keys), wide)]
             for kind, own, columns in (("first", first, (counts, counts == 1, counts == 2, counts > 2)), ("second", second, (counts, np.ones_like(counts)))):
-                order = np.lexsort((own, shard_of(word_key(own), bits)))
+                order = np.argsort(own, kind="stable")
                 own = own[order]
                 starts = _runs(own)
                 words, sums = own[starts], [_add(c[order].astype(np.int64), starts) for c in columns]
-                to = shard_of(word_key(words), bits)
-                cuts = _runs(to)
-                for a, b in zip(cuts, np.r_[cuts[1:], len(to)], strict=True):
-                    widths = FIRSTS if kind == "first" else SECONDS
-                    out.append((kind, int(to[a]), _block([(x[a:b], w, up) for x, (w, up) in zip((words, *sums), widths, strict=True)]), None, None, None, None, None))
-            kinds = (pa.string(), pa.int32(), pa.binary(), *[pa.int64()] * 5)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["kind", "shard", "block", "n1", "n2", "n3", "n4", "n"])
+                out += [(*r, None, None, None, None, None, None) for r in _sent(kind, words, sums, shard_of(word_key(words), groups))]
+            kinds = (pa.string(), pa.int32(), pa.binary(), *[pa.int64()] * 5, pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["kind", "shard", "block", "n1", "n2", "n3", "n4", "n", "wide"])
+
+    return run
+
+
+def _added(blocks: list[list[np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Blocks of words with sums, added up by word."""
+    words, *sums = (np.concatenate(x) for x in zip(*blocks, strict=True))
+    order = np.argsort(words, kind="stable")
+    starts = _runs(words[order])
+    return words[order][starts], [_add(x[order], starts) for x in sums]
+
+
+def _deal(bits: int, held: int):
+    """Messages to a group of shards, added up and dealt on to its shards."""
+
+    def run(batches):
+        waiting: dict[str, list] = {k: [] for k in SIDES}
+
+        def flush(kind):
+            words, sums = _added(waiting[kind])
+            waiting[kind] = []
+            rows = list(_sent(kind, words, sums, shard_of(word_key(words), bits)))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.binary()), strict=True)], ["kind", "shard", "block"])
+
+        for _, rows in _by_shard(batches, ("shard", "kind", "block")):
+            for kind, block in rows:
+                waiting[kind].append(_unblock(block, SIDES[kind]))
+                if sum(len(x[0]) for x in waiting[kind]) > held:
+                    yield flush(kind)
+        for kind in SIDES:
+            if waiting[kind]:
+                yield flush(kind)
 
     return run
 
@@ -205,16 +250,13 @@ def _merge_words(folder: str):
         for shard, rows in _by_shard(batches, ("shard", "kind", "block")):
             table = []
             for kind, block in rows:
-                cols = _unblock(block, FIRSTS if kind == "first" else SECONDS)
+                cols = _unblock(block, SIDES[kind])
                 zero = np.zeros_like(cols[0])
                 table.append([cols[0], zero, zero, *cols[1:]] if kind == "first" else [*cols, zero, zero, zero, zero])
-            cols = [np.concatenate(x) for x in zip(*table, strict=True)]
-            keys = word_key(cols[0])
+            words, sums = _added(table)
+            keys = word_key(words)
             order = np.argsort(keys, kind="stable")
-            starts = _runs(keys[order])
-            sums = [_add(c[order], starts) for c in cols[1:]]
-            for name, x in zip(WORD_FIELDS, (keys[order][starts], *sums), strict=True):
-                _write_array(folder, f"word-{shard:06d}.{name}", x.astype(np.int64))
+            _write_arrays(folder, f"word-{shard:06d}", [keys[order], *[x[order].astype(np.int64) for x in sums]])
             seen = sums[1] > 0  # START is no word
             n = np.bincount(np.minimum(sums[1], 5), minlength=5)
             yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in (shard, *n[1:5].tolist(), int((sums[1] > 2).sum()), int(seen.sum()), int(sums[0].sum()), int(sums[1].sum()))] + [pa.array([len(seen)], pa.int64())], ["shard", "n1", "n2", "n3", "n4", "many", "types", "tokens", "preds", "rows"])
@@ -230,7 +272,7 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
 
 
 class Model:
-    """Where the arrays are and the few numbers that hold for all of them."""
+    """Where the arrays are and the few numbers that hold for all of them. pairs, words: by shard, rows and the count's type."""
 
     def __init__(self, folder: str, bits: int, pairs: dict, words: dict, stats: dict):
         self.folder, self.bits, self.pairs, self.words = folder, bits, pairs, words
@@ -240,51 +282,64 @@ class Model:
         self.unseen = (self.word_d[1] * n1 + self.word_d[2] * n2 + self.word_d[3] * n3) / self.preds if self.preds else 1.0
 
 
-def train(texts: DataFrame, shard_bytes: int = SHARD_BYTES, folder: str | None = None) -> Model:
-    """A model of texts(text); null texts count as empty ones (their end is a token). No texts: every word is unknown."""
+def train(texts: DataFrame, shard_bytes: int = SHARD_BYTES, folder: str | None = None, hop: int = HOP, held: int = HELD) -> Model:
+    """A model of texts(text); null texts count as empty ones (their end is a token). No texts: every word is unknown. Repeated rows count each; extra columns are not looked at.
+
+    folder: a path that driver and executors have mounted (file:// or plain); by default one in spark.checkpoint.dir.
+    """
     spark = texts.sparkSession
     folder = mounted(folder or new_dir(spark, "kneser-ney"))
     raw = texts.select(text_or_empty("text").cast("binary").alias("raw"))
     size = texts.agg(F.sum(F.octet_length(text_or_empty("text")))).first()[0] or 0
     bits = min(20, max(3, (size // shard_bytes).bit_length()))
+    groups = bits if bits <= hop else (bits + 1) // 2
     n = min(1 << bits, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << bits >> 2))
-    blocks = raw.mapInArrow(_pair_batches(bits), "shard int, block binary").repartition(n, "shard").sortWithinPartitions("shard")
-    merged = written(blocks.mapInArrow(_merge_pairs(folder, bits), "kind string, shard int, block binary, n1 long, n2 long, n3 long, n4 long, n long"), "word-counts")
+    blocks = arrow_map(raw, _pair_batches(bits), "shard int, block binary").repartition(n, "shard").sortWithinPartitions("shard")
+    merged = written(arrow_map(blocks, _merge_pairs(folder, bits, groups), "kind string, shard int, block binary, n1 long, n2 long, n3 long, n4 long, n long, wide boolean"), "word-counts")
     pairs = {r["shard"]: r for r in merged.where("kind = 'counts'").drop("block").collect()}
-    words = {r["shard"]: r for r in merged.where("kind <> 'counts'").select("shard", "kind", "block").repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(_merge_words(folder), ", ".join(f"{c} long" for c in ("shard", "n1", "n2", "n3", "n4", "many", "types", "tokens", "preds", "rows"))).collect()}
+    sent = merged.where("kind <> 'counts'").select("shard", "kind", "block")
+    if groups < bits:  # a group's messages may be added up in several tasks
+        sent = arrow_map(sent.repartition(n, "shard", F.pmod(F.xxhash64("block"), F.lit(8))).sortWithinPartitions("shard"), _deal(bits, held), "kind string, shard int, block binary").select("shard", "kind", "block")
+    words = {r["shard"]: r for r in arrow_map(sent.repartition(n, "shard").sortWithinPartitions("shard"), _merge_words(folder), ", ".join(f"{c} long" for c in ("shard", "n1", "n2", "n3", "n4", "many", "types", "tokens", "preds", "rows"))).collect()}
     total = lambda rows, c: sum(r[c] for r in rows.values())
     stats = {"pair_d": discounts(*(total(pairs, f"n{k}") for k in range(1, 5))), "word_d": discounts(*(total(words, f"n{k}") for k in range(1, 5)))}
     stats |= {c: total(words, c) for c in ("tokens", "types", "preds")} | {"word_types": (total(words, "n1"), total(words, "n2"), total(words, "many"))}
-    return Model(folder, bits, {k: r["n"] for k, r in pairs.items()}, {k: r["rows"] for k, r in words.items()}, stats)
+    return Model(folder, bits, {k: (r["n"], "u8" if r["wide"] else "u4") for k, r in pairs.items()}, {k: (r["rows"], "i8") for k, r in words.items()}, stats)
 
 
 class _Arrays:
-    """Memory-mapped arrays of one kind; looked up by sorted hashes, shard by shard."""
+    """Arrays of one kind; looked up by sorted hashes, shard by shard, each mapped for that long only, so that open files do not grow with the corpus."""
 
-    def __init__(self, model: Model, kind: str, sizes: dict, fields: dict[str, type]):
-        self.bits, self.fields = model.bits, tuple(fields)
-        self.maps = {s: [np.memmap(f"{model.folder}/{kind}-{s:06d}.{f}", t, "r", shape=(n,)) for f, t in {"key": np.int64, **fields}.items()] for s, n in sizes.items() if n}
+    def __init__(self, model: Model, kind: str, sizes: dict, fields: int):
+        self.path, self.bits, self.sizes, self.fields = f"{model.folder}/{kind}-", model.bits, sizes, fields
 
     def find(self, keys: np.ndarray) -> list[np.ndarray]:
         """The fields of each key, 0 where it is not held."""
-        own, back = np.unique(keys, return_inverse=True)
-        out = [np.zeros(len(own), np.int64) for _ in self.fields]
+        own, back = np.unique(keys.view(np.uint64), return_inverse=True)  # in this order shards follow each other
+        own = own.view(np.int64)
+        out = [np.zeros(len(own), np.int64) for _ in range(self.fields)]
         shards = shard_of(own, self.bits)
-        for s in np.unique(shards).tolist():
-            if s in self.maps:
-                rows = np.flatnonzero(shards == s)
-                held, *values = self.maps[s]
-                at = np.minimum(np.searchsorted(held, own[rows]), len(held) - 1)
-                hit = held[at] == own[rows]
-                for o, v in zip(out, values, strict=True):
-                    o[rows[hit]] = v[at[hit]]
+        starts = _runs(shards)
+        for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(own)], strict=True):
+            s = int(shards[a])
+            n, kind = self.sizes.get(s, (0, ""))
+            if not n:
+                continue
+            rows = np.arange(a, z)
+            held = np.memmap(f"{self.path}{s:06d}", np.int64, "r", shape=(n,))
+            at = np.minimum(np.searchsorted(held, own[rows]), n - 1)
+            hit = held[at] == own[rows]
+            at, rows = at[hit], rows[hit]
+            wide = int(kind[1])
+            for k, o in enumerate(out):
+                o[rows] = np.memmap(f"{self.path}{s:06d}", kind, "r", offset=8 * n + k * wide * n, shape=(n,))[at]
         return [o[back] for o in out]
 
 
 def _score_batches(model: Model):
     def run(batches):
-        words = _Arrays(model, "word", model.words, dict.fromkeys(WORD_FIELDS[1:], np.int64))
-        pairs = _Arrays(model, "pair", model.pairs, {"count": np.uint32})
+        words = _Arrays(model, "word", model.words, len(WORD_FIELDS))
+        pairs = _Arrays(model, "pair", model.pairs, 1)
         known, pair_d, word_d = _Hashes(), np.array(model.pair_d), np.array(model.word_d)
 
         def scored(head, held):
@@ -320,9 +375,9 @@ def _score_batches(model: Model):
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs(doc_id, held_out, text): token counts and log10 probabilities of whole texts; perplexity is 10 ** (-score / n_tokens)."""
+    """docs(doc_id, held_out, text): token counts and log10 probabilities of whole texts; perplexity is 10 ** (-score / n_tokens). A row each: repeated rows too; a null or empty text is its end alone."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("held_out").cast("boolean"), text_or_empty("text").cast("binary").alias("raw"))
-    return rows.mapInArrow(_score_batches(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return arrow_map(rows, _score_batches(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def split(docs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .chat import op6_role_repair
 from .common import load
-from .decontaminate import op2_benchmark_decontamination
+from .decontaminate import OP2_SQL, op2_benchmark_decontamination
 from .kneser_ney import op5_kneser_ney
 from .packing import op8_best_fit_packing
 from .quality import op7_ordinal_quality
@@ -25,4 +25,4 @@ def op1_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_benchmark_decontamination, op3_histogram_shards, op4_dictionary_warc, op5_kneser_ney, op6_role_repair, op7_ordinal_quality, op8_best_fit_packing, op9_link_graph_filter, op10_lossless_webp)}
-SQL = {"op4_dictionary_warc": OP4_SQL}
+SQL = {"op2_benchmark_decontamination": OP2_SQL, "op4_dictionary_warc": OP4_SQL}

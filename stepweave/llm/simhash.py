@@ -8,8 +8,9 @@ every anchor within covering radius + threshold = 2 of its block (1 or 16 anchor
 to one end of a linked pair is then within 2 of the other end, so both meet there; nothing is lost.
 
 Per anchor the fingerprints are compared by breadth-first search over what is not yet reached, which
-yields a spanning forest instead of all pairs. An anchor with more than ``CHUNK`` fingerprints is
-split into chunks that meet in cells of two chunks each, so a task holds at most 2 * CHUNK of a group.
+yields a spanning forest instead of all pairs. An anchor with more than ``CHUNK`` fingerprints is dealt out once more by
+the four parts of the other block; what is still larger is split into chunks that meet in cells of two chunks each, so a
+task holds at most 2 * CHUNK of a group.
 """
 
 from __future__ import annotations
@@ -146,14 +147,19 @@ def links(prints: DataFrame, distance: int = DISTANCE, chunk: int = CHUNK) -> Da
     """Spanning links (a, b) among distinct fingerprints at up to ``distance`` (at most 3) differing bits."""
     if not 0 <= distance <= DISTANCE:
         raise ValueError("the covering is made for distances up to 3")
-    near = anchors(prints)
-    hot = near.groupBy("key").count().where(F.col("count") > chunk).select("key", F.ceil(F.col("count") / chunk).alias("g"))
-    hot = written(hot, "hot")
-    if hot.isEmpty():
-        rows = near.select("key", "fp")
-    else:
-        cells = near.join(hot, "key").withColumn("c", F.pmod(F.xxhash64("fp"), F.col("g"))).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
-        rows = near.join(hot, "key", "left_anti").select("key", "fp").unionByName(cells.select(F.xxhash64("key", F.least("c", "k"), F.greatest("c", "k")).alias("key"), "fp"))
+    near = written(anchors(prints).select("key", "fp"), "anchors")
+    hot = written(near.groupBy("key").count().where(F.col("count") > chunk).select("key"), "hot")
+    rows = near
+    if not hot.isEmpty():
+        # of a hot anchor's links, the other block differs in at most three bits too, so one of its four parts is alike:
+        # each print goes to its four parts' groups, and only a group that is still hot is split into cells of two chunks
+        other = F.expr(f"if(key >= {1 << 32}L, fp, shiftrightunsigned(fp, {BITS})) & {(1 << BITS) - 1}L")
+        parts = near.join(hot, "key").withColumn("x", other).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(3))))
+        parts = written(parts.select(F.xxhash64("key", "p", F.expr("shiftrightunsigned(x, 8 * p) & 255L")).alias("key"), "fp"), "parts")
+        still = parts.groupBy("key").count().where(F.col("count") > chunk).select("key", F.ceil(F.col("count") / chunk).alias("g"))
+        cells = parts.join(still, "key").withColumn("c", F.pmod(F.xxhash64("fp"), F.col("g"))).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
+        cells = cells.select(F.xxhash64("key", F.least("c", "k"), F.greatest("c", "k")).alias("key"), "fp")
+        rows = near.join(hot, "key", "left_anti").unionByName(parts.join(still, "key", "left_anti").select("key", "fp")).unionByName(cells)
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_link_batches(distance), "a long, b long").distinct()
 

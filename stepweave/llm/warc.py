@@ -10,22 +10,26 @@ them into files. A record whose payload equals an earlier one's becomes a revisi
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import struct
 import urllib.parse
+import uuid
 
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load, text_or_empty, written
+from .common import arrow_map, each, load, text_or_empty, written
 
 #: Records of the sample that the dictionary is built from, the largest record in it, the dictionary's size, and the bytes of an archive.
 SAMPLE, SAMPLE_BYTES, DICTIONARY, ARCHIVE = 1000, 32 << 10, 64 << 10, 8 << 20
 #: Payloads from this size on are compared.
 REVISIT_BYTES = 100
+#: Repeated rows of one page that a task makes at a time.
+COPIES = 4096
 SKIPPABLE = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -75,7 +79,7 @@ def _write_batches(dictionary: bytes, archive_bytes: int, date: str):
             return pa.RecordBatch.from_arrays([pa.array([f"pages-{part:06d}-{nth:05d}.warc.zst"]), pa.array([bytes(content)], pa.binary())], ["archive", "content"])
 
         for b in batches:
-            for r in zip(*[b.column(k).to_pylist() for k in range(7)], strict=True):
+            for r in zip(*[each(b.column(k)) for k in range(7)], strict=True):
                 page, url, kind, refers, size, digest, payload = r
                 content += packer.compress(record_bytes(page, url, kind, refers, digest, size, payload or b"", date))
                 if len(content) >= archive_bytes:
@@ -124,7 +128,7 @@ def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
 
 def _read_batches(batches):
     for b in batches:
-        for content in b.column(b.schema.get_field_index("content")).to_pylist():
+        for content in each(b.column(b.schema.get_field_index("content"))):
             out, held = [], 0
             records = frames(content)
             next(records)
@@ -158,14 +162,22 @@ def mark_revisits(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataF
     text = text_or_empty("html")
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text.cast("binary").alias("payload"), F.octet_length(text).cast("long").alias("payload_bytes"), F.sha2(text.cast("binary"), 256).alias("payload_digest"))
     own = own.withColumn("key", F.coalesce("page_id", F.lit(-(1 << 63)).cast("long")))
-    keys = own.where(F.col("payload_bytes") >= revisit_bytes).groupBy("payload_digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1 and first is not null")
-    firsts = own.select("key", "payload_digest").distinct().join(keys.drop("n"), "payload_digest")
+    light = own.select("key", "page_id", "url", "payload_digest", "payload_bytes").where(F.col("payload_bytes") >= revisit_bytes)
+    keys = light.groupBy("payload_digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1 and first is not null")
+    firsts = written(light.groupBy("key", "payload_digest").agg(F.count("*").alias("rows")).join(keys.drop("n"), "payload_digest"), "firsts")
     # payloads move once, by page, so that a payload of many pages is not gathered anywhere
-    joined = own.join(firsts, ["key", "payload_digest"], "left").withColumn("again", F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
-    # rows that repeat the first page_id of a group: all but one of them are revisits
-    rank = F.when(F.col("first").isNotNull() & ~F.col("again"), F.row_number().over(Window.partitionBy("key", "payload_digest").orderBy("url"))).otherwise(1)
-    revisit = F.col("again") | (F.col("nth") > 1)
-    return joined.withColumn("nth", rank).select("page_id", "url", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"), "payload_bytes", "payload_digest", F.when(~revisit, F.col("payload")).alias("payload"))
+    joined = own.join(firsts, ["key", "payload_digest"], "left")
+    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    alone = joined.where(again | F.col("first").isNull() | (F.col("rows") == 1))
+    columns = lambda df, revisit: df.select("page_id", "url", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"), "payload_bytes", "payload_digest", F.when(~revisit, F.col("payload")).alias("payload"))
+    # rows that repeat the first page of a group: summed up before they move, then one is the response and as many as there were more are revisits
+    twice = firsts.where("first = key and rows > 1").select("key", "payload_digest", "first")
+    whole = own.join(twice, ["key", "payload_digest"]).groupBy("page_id", "payload_digest", "payload_bytes", "first").agg(F.min(F.coalesce("url", F.lit(""))).alias("url"), F.min("payload").alias("payload"))
+    copies = light.join(twice, ["key", "payload_digest"]).groupBy("page_id", "payload_digest", "payload_bytes", "first", F.coalesce("url", F.lit("")).alias("url")).agg(F.count("*").alias("n"))
+    rest = copies.join(whole.select("page_id", "payload_digest", F.col("url").alias("chosen")), ["page_id", "payload_digest"]).withColumn("n", F.col("n") - (F.col("url") == F.col("chosen")).cast("long")).where("n > 0")
+    rest = rest.withColumn("at", F.explode(F.expr(f"sequence(0L, n - 1, {COPIES}L)"))).repartition("payload_digest", "url", "at").withColumn("i", F.explode(F.expr(f"sequence(at, least(at + {COPIES}, n) - 1)")))
+    rest = columns(rest.withColumn("payload", F.lit(None).cast("binary")), F.lit(True))
+    return columns(alone, again).unionByName(columns(whole, F.lit(False))).unionByName(rest)
 
 
 def write_warc(pages: DataFrame, dictionary_bytes: int = DICTIONARY, archive_bytes: int = ARCHIVE, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
@@ -174,26 +186,32 @@ def write_warc(pages: DataFrame, dictionary_bytes: int = DICTIONARY, archive_byt
     share = min(1.0, 2 * SAMPLE / max(1, pages.count()))
     key = F.xxhash64("page_id", "url")
     small = pages.where(key <= int(share * ((1 << 64) - 1)) - (1 << 63)) if share < 1 else pages
-    small = small.select(key.alias("key"), text_or_empty("html").alias("html")).where(F.octet_length("html") <= SAMPLE_BYTES)
+    small = small.select(key.alias("key"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_or_empty("html").alias("html")).where(F.octet_length("html") <= SAMPLE_BYTES)
     picked = small.orderBy("key", "html").limit(SAMPLE)
-    samples = [r[0].encode() for r in picked.select("html").collect() if r[0]]
+    sampled = [(r["page_id"], r["url"], r["html"].encode()) for r in picked.collect()]
+    samples = [record_bytes(page, url, "response", None, hashlib.sha256(html).hexdigest(), len(html), html, date) for page, url, html in sampled if html]
     dictionary = build_dictionary(samples, dictionary_bytes)
-    return written(mark_revisits(pages).mapInArrow(_write_batches(dictionary, archive_bytes, date), "archive string, content binary"), "warc")
+    return written(arrow_map(mark_revisits(pages), _write_batches(dictionary, archive_bytes, date), "archive string, content binary"), "warc")
 
 
 def read_warc(archives: DataFrame) -> DataFrame:
     """RECORD rows of archives(content); payload_bytes and payload are null for revisits, which have none."""
-    return archives.mapInArrow(_read_batches, RECORD)
+    return arrow_map(archives, _read_batches, RECORD)
 
 
 def export(archives: DataFrame, folder: str) -> int:
-    """Archives as .warc.zst files of a folder that is mounted here, one archive in memory at a time."""
-    n = 0
-    for r in archives.toLocalIterator():
-        with open(f"{folder}/{r['archive']}", "wb") as f:
-            f.write(r["content"])
-        n += 1
-    return n
+    """Archives as .warc.zst files of a folder that is mounted on all nodes, written by the tasks that hold them, each whole or absent; how many."""
+
+    def run(batches):
+        for b in batches:
+            for name, content in zip(each(b.column(0)), each(b.column(1)), strict=True):
+                temp = f"{folder}/.{name}.{uuid.uuid4().hex}"
+                with open(temp, "wb") as f:
+                    f.write(content)
+                os.replace(temp, f"{folder}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    return arrow_map(archives.select("archive", "content"), run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def op4_dictionary_warc(spark, sf_dir: str) -> DataFrame:
