@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders made by this process, oldest first, by the shared folder they lie in.
+_made: dict[str, list[str]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a temporary folder only where none is set (local runs)."""
@@ -21,7 +24,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_dir(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    at = shared_dir(spark)
+    path = f"{at}/{what}-{uuid.uuid4().hex}"
+    _made.setdefault(at, []).append(path)
+    return path
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -29,3 +35,23 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = new_dir(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def mark(spark: SparkSession) -> int:
+    """How many folders were made so far, for ``release``."""
+    return len(_made.get(shared_dir(spark), ()))
+
+
+def release(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> int:
+    """Deletes the folders made after a mark but for those that keep reads; how many. DataFrames that were built on them end with that."""
+    at = shared_dir(spark)
+    kept = [f.split("://", 1)[-1] for f in keep.inputFiles()] if keep is not None else []
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(at).getFileSystem(spark._jsc.hadoopConfiguration())
+    old = _made.get(at, [])[since:]
+    stays = {x for x in old if any(f"/{x.rsplit('/', 1)[-1]}/" in f for f in kept)}
+    for x in old:
+        if x not in stays:
+            fs.delete(path(x), True)
+    _made[at] = [*_made.get(at, [])[:since], *[x for x in old if x in stays]]
+    return len(old) - len(stays)
