@@ -33,6 +33,8 @@ EFFECT, CHI_SQUARE = 0.02, 20.0
 #: A document is kept if its probability of the best grade is at least this.
 KEEP = 0.5
 GRADES = 3
+#: Texts that a worker scores at a time.
+ROWS = 256
 CACHE = 150_000
 #: Bytes of a word's beginnings that are features too: inflected words share their stem.
 STARTS = (4, 5)
@@ -145,24 +147,27 @@ def fit_ordinal(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int, dim
     thresholds, dims = np.log(np.arange(1, grades) / np.arange(grades - 1, 0, -1)), dims or DIMS
     if not rows:
         return Model(np.empty(0, np.int64), np.empty(0), thresholds)
-    slots = np.concatenate([r[1] for r in rows])
-    seen = np.bincount(slots, minlength=dims)
+    # a document's slots differ from each other, so each adds one to its slots' counts
+    by_grade, sizes = np.zeros((grades, dims), np.int32), np.bincount([r[0] for r in rows], minlength=grades)
+    for grade, s, _ in rows:
+        by_grade[grade, s] += 1
+    seen = by_grade.sum(axis=0)
     # chi-square of a slot's presence against the grades; under independence, of two degrees of freedom
-    sizes = np.bincount([r[0] for r in rows], minlength=grades)
     chi = np.zeros(dims)
     for k in range(grades):
         if sizes[k]:
-            own = np.bincount(np.concatenate([r[1] for r in rows if r[0] == k]), minlength=dims)
             expected = seen * (sizes[k] / len(rows))
-            chi += (own - expected) ** 2 / np.maximum(expected, 1e-9)
+            chi += (by_grade[k] - expected) ** 2 / np.maximum(expected, 1e-9)
     chi *= len(rows) / np.maximum(len(rows) - seen, 0.5)
     kept = np.flatnonzero((seen >= min(least, max(1, len(rows) // 4))) & (chi >= max(CHI_SQUARE, EFFECT * len(rows))))
     place = np.full(dims, -1, np.int64)
     place[kept] = np.arange(len(kept))
     data = []
     for grade, s, v in rows:
-        ok = place[s] >= 0
-        data.append((grade, place[s[ok]], v[ok].astype(np.float64)))
+        own = place[s]
+        ok = np.flatnonzero(own >= 0)
+        first = len(s) - len(v)  # values are given of the last slots, the shapes'; those of words are all alike
+        data.append((grade, own[ok], np.where(ok >= first, np.r_[v, 0.0][np.maximum(ok - first, -1)], 0.5).astype(np.float64)))
     share = np.cumsum(np.bincount([d[0] for d in data], minlength=grades) + 0.5) / (len(data) + 0.5 * grades)
     first = np.log(share[:-1] / (1 - share[:-1]))
     theta = np.r_[first[0], np.log(np.maximum(np.diff(first), 1e-3))]  # ordered: the first threshold, then logs of the steps
@@ -211,8 +216,7 @@ def _fit_batches(limit: int):
             for grade, slots, vals in zip(*(each(b.column(k)) for k in (1, 2, 3)), strict=True):
                 size += len(slots) + len(vals)
                 if size <= limit or not rows:
-                    own, shapes = np.frombuffer(slots, np.int32), np.frombuffer(vals, np.float32)
-                    rows.append((grade, own, np.r_[np.full(len(own) - len(shapes), 0.5, np.float32), shapes]))
+                    rows.append((grade, np.frombuffer(slots, np.int32), np.frombuffer(vals, np.float32)))
         model = fit_ordinal(rows, GRADES)
         yield pa.RecordBatch.from_arrays([pa.array([x.astype(k).tobytes()], pa.binary()) for x, k in ((model.slots, np.int64), (model.values, np.float64), (model.thresholds, np.float64))], ["slots", "vals", "thresholds"])
 
@@ -251,8 +255,11 @@ def score_rows(df: DataFrame, model: Model, text_col: str = "text") -> tuple[Dat
         known, weights = _Words(), model.weights()
         wanted = weights != 0
         for b in batches:
-            row, slot, value = features((x or b"" for x in each(b.column(at).cast(pa.binary()))), known, wanted)
-            scores = np.bincount(row, weights=weights[slot] * value, minlength=b.num_rows)
+            scores = np.empty(b.num_rows)
+            for start in range(0, b.num_rows, ROWS):
+                texts = b.column(at).slice(start, ROWS)
+                row, slot, value = features((x or b"" for x in each(texts.cast(pa.binary()))), known, wanted)
+                scores[start : start + len(texts)] = np.bincount(row, weights=weights[slot] * value, minlength=len(texts))
             tails = model.tails(scores)
             new = [pa.array(tails.sum(axis=1)), *[pa.array(np.ascontiguousarray(tails[:, k])) for k in range(grades - 1)]]
             yield pa.RecordBatch.from_arrays([*b.columns, *new], [*kept, *names])

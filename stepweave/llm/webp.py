@@ -684,7 +684,7 @@ def encode(payload: bytes) -> bytes:
     if rows > 3 and min(foretold, packed, less) < 0.9 * plain:
         if foretold <= min(packed, less):
             return _predicted_image(x, rows)
-        return _packed_image(four, rows, payload, less < packed)
+        return _packed_image(four, rows)
     w = _header(GREY, rows)
     w.put(1, 1)
     w.put(2, 2)  # grey less green: one channel is left
@@ -717,13 +717,12 @@ def _palette_image(x: np.ndarray, shades: np.ndarray, rows: int, payload: bytes)
 
 def _predicted_image(x: np.ndarray, rows: int) -> bytes:
     w, block = _header(GREY, rows), 4
-    rest, modes = _predicted_rest(_grey(x), GREY, block)
     w.put(1, 1)
     w.put(2, 2)
     w.put(1, 1)
     w.put(0, 2)
     w.put(block - 2, 3)
-    # green goes first, then the neighbours: both hold for each channel alone, so a grey's rest is its green's
+    # of a grey less its green, green alone is left to foretell
     rest, modes = _predicted_rest(x.astype(np.uint32) << np.uint32(8) | np.uint32(0xFF000000), GREY, block)
     _image(w, modes.astype(np.uint32) << np.uint32(8) | np.uint32(0xFF000000), -(-GREY >> block), False)
     w.put(0, 1)
@@ -731,27 +730,24 @@ def _predicted_image(x: np.ndarray, rows: int) -> bytes:
     return riff(w.bytes())
 
 
-def _packed_image(four: np.ndarray, rows: int, payload: bytes, less: bool) -> bytes:
-    """Green, red, blue, alpha of four bytes each."""
+def _packed_image(four: np.ndarray, rows: int) -> bytes:
+    """Green, red, blue, alpha of four bytes each; red and blue less green, or less what others foretell of them, where that takes fewer bits."""
     w = _header(PACKED, rows)
     pixels = _join(four[:, 3], four[:, 1], four[:, 0], four[:, 2])
-    if less:
-        a, r, g, b = _split(pixels)
-        green_red, green_blue = _factor(g, r), _factor(g, b)
-        red_blue = _factor(r, b - (_signed(np.full_like(g, green_blue)) * _signed(g) >> 5))
-        factors = np.full(-(-PACKED >> 4) * -(-rows >> 4), 0xFF000000 | red_blue << 16 | green_blue << 8 | green_red, np.uint32)
-        crossed = cross_colour(pixels, PACKED, rows, factors, 4, -1)
-        plain = _join(a, r - g, g, b - g)
-        cost = lambda p: sum(_bits((p >> np.uint32(s) & np.uint32(255)).astype(np.uint8)) for s in (16, 0))
+    a, r, g, b = _split(pixels)
+    green_red, green_blue = _factor(g, r), _factor(g, b)
+    red_blue = _factor(r, b - (_signed(np.full_like(g, green_blue)) * _signed(g) >> 5))
+    factors = np.full(-(-PACKED >> 4) * -(-rows >> 4), 0xFF000000 | red_blue << 16 | green_blue << 8 | green_red, np.uint32)
+    forms = [pixels, _join(a, r - g, g, b - g), cross_colour(pixels, PACKED, rows, factors, 4, -1)]
+    costs = [sum(_bits((p >> np.uint32(s) & np.uint32(255)).astype(np.uint8)) for s in (16, 0)) for p in forms]
+    best = int(np.argmin(costs))
+    pixels = forms[best]
+    if best:
         w.put(1, 1)
-        if cost(crossed) < cost(plain):
-            w.put(1, 2)
-            w.put(2, 3)
-            _image(w, factors, -(-PACKED >> 4), False)
-            pixels = crossed
-        else:
-            w.put(2, 2)
-            pixels = plain
+        w.put(2 if best == 1 else 1, 2)
+    if best == 2:
+        w.put(2, 3)
+        _image(w, factors, -(-PACKED >> 4), False)
     w.put(0, 1)
     distinct = len(np.unique(pixels))
     cache_bits = min(10, max(1, (distinct - 1).bit_length())) if 2 * distinct < len(pixels) else 0

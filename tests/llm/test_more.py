@@ -245,7 +245,7 @@ def test_warc_files(spark, tmp_path):
 
 
 FORMS = {
-    "grey": b"the quick brown fox jumps over the lazy dog, 123 times; " * 40,
+    "grey": " ".join("".join(random.Random(k).choices("etaoinshrdlucmfwypvbgkjqxz,.ETA012", k=k % 9 + 1)) for k in range(600)).encode(),
     "runs": b"a line that comes again and again\n" * 90,
     "palette": b"0123456789" * 64,
     "two": b"01" * 960,
