@@ -1,7 +1,8 @@
 """Connected components by alternating large and small stars, all in DataFrame operations.
 
-Each round is two aggregations of minima and two joins; no neighbour list is ever gathered,
-so a star with any number of leaves stays spread over tasks (its join is dealt anew by AQE).
+Each round is two aggregations of minima and two joins; no neighbour list is ever gathered. Minima are summed up before they
+move and written before they are joined, so that both sides of a join are plain exchanges: AQE then splits the edges of a
+star with very many leaves over tasks.
 """
 
 from __future__ import annotations
@@ -14,13 +15,14 @@ from .common import written
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+    least = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """edges: a > b."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    edges = written(edges, "large")
+    least = written(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 

@@ -46,26 +46,19 @@ def splitters(keys: DataFrame, targets: list[tuple[float, float]]) -> list[_Spli
         live = sorted({s.prefix for s in todo})
         width = min(12, 64 - bits % 64, max(1, (PROBES // len(live)).bit_length() - 1))
         hi, lo = F.col("hi"), F.col("lo")
-        if bits == 0:
-            inside = keys.withColumn("at", F.lit(0))
-        elif bits <= 64:
-            own = F.shiftrightunsigned(hi, 64 - bits) if bits < 64 else hi
-            signed = [p - (1 << 64) if p >= 1 << 63 else p for p in live]
-            inside = keys.withColumn("p", own).where(F.col("p").isin(signed)).withColumn("at", F.col("p"))
+        # the live prefixes, at most one a splitter, meet the keys as a small table
+        signed = lambda p: p - (1 << 64) if p >= 1 << 63 else p
+        if bits <= 64:
+            prefix = (F.shiftrightunsigned(hi, 64 - bits) if bits < 64 else hi) if bits else F.lit(0).cast("long"), F.lit(0).cast("long")
+            rows_of = [(k, signed(p), 0) for k, p in enumerate(live)]
         else:
-            low = F.shiftrightunsigned(lo, 128 - bits) if bits < 128 else lo
-            at = None
-            for k, p in enumerate(live):
-                h, rest = p >> (bits - 64), p & ((1 << (bits - 64)) - 1)
-                h = h - (1 << 64) if h >= 1 << 63 else h
-                rest = rest - (1 << 64) if rest >= 1 << 63 else rest
-                hit = (hi == F.lit(h)) & (low == F.lit(rest))
-                at = F.when(hit, k) if at is None else at.when(hit, k)
-            inside = keys.withColumn("at", at).where("at is not null")
+            prefix = hi, F.shiftrightunsigned(lo, 128 - bits) if bits < 128 else lo
+            rows_of = [(k, signed(p >> (bits - 64)), signed(p & ((1 << (bits - 64)) - 1))) for k, p in enumerate(live)]
+        table = keys.sparkSession.createDataFrame(rows_of, "at int, p_hi long, p_lo long")
+        inside = keys.withColumn("p_hi", prefix[0]).withColumn("p_lo", prefix[1]).join(F.broadcast(table), ["p_hi", "p_lo"])
         counts: dict[int, list] = {}
         for r in inside.groupBy("at", _digit(hi, lo, bits, width).alias("d")).agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect():
-            at = 0 if bits == 0 else live[r["at"]] if bits > 64 else r["at"] % (1 << 64)
-            counts.setdefault(at, []).append((r["d"], r["b"], r["n"]))
+            counts.setdefault(live[r["at"]], []).append((r["d"], r["b"], r["n"]))
         for s in todo:
             below, rows = s.below, s.rows
             near = (abs(below - s.target), s.prefix << width, below, rows)
@@ -145,8 +138,8 @@ def shard_rows(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str
 
 
 def op3_histogram_shards(spark, sf_dir: str) -> DataFrame:
-    """All documents in 24 shards of near-equal bytes."""
-    docs = load(spark, sf_dir, "documents").select(F.col("doc_id"), text_or_empty().alias("text"))
-    docs = docs.select("doc_id", "text", F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
-    out, (size, shard, slot) = shard_rows(docs, 24)
-    return out.select("doc_id", F.col(size).alias("size"), "text_crc32", F.lit("bytes").alias("law"), F.col(shard).alias("shard"), F.col(slot).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    """All documents in 24 shards of near-equal bytes; the texts move with their rows, and size and checksum are those of the texts found there."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    out, (_, shard, slot) = shard_rows(docs, 24)
+    text = text_or_empty()
+    return out.select("doc_id", (F.octet_length(text) + F.lit(8)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), F.col(shard).alias("shard"), F.col(slot).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

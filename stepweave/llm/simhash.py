@@ -37,7 +37,7 @@ _BIT = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="
 _LANE = np.arange(8, dtype=np.int64) * 256
 
 
-def _bit_counts(hashes: list[int]) -> np.ndarray:
+def _bit_counts(hashes: list[int] | np.ndarray) -> np.ndarray:
     lanes = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8) + _LANE
     return (np.bincount(lanes.ravel(), minlength=2048).reshape(8, 256) @ _BIT).ravel()
 

@@ -1,14 +1,20 @@
 """Near-duplicates by the exact Jaccard similarity of the sets of word shingles; no similar pair is missed.
 
-Shingles are ordered alike in all documents: by hash, those of very many documents (counted in a part of the corpus) last.
-Two sets of similarity t or more share a shingle among the first n - ceil(t n) + 1 of each, n being its size, so documents
-meet at these shingles. Where they meet, a pair stays if the sizes allow t and the parity fingerprints differ in no more bits
-than the sets may differ in shingles: a shingle turns one bit, so the bits that differ never outnumber the shingles in which
-the sets do. A Hamming radius on SimHash would be no such bound.
-
-What stays passes the same bound on longer fingerprints, and is then held against the sets themselves, recomputed from the texts. First a spanning forest of each meeting; then,
-the components of what holds being known, each pair left whose ends are still in different components. Large meetings are
-split into chunks that meet two by two.
+Three searches for pairs follow each other, each leaving out what the ones before it have joined; every pair that one proposes
+is held against the sets themselves, recomputed from the texts, before it counts.
+
+1. SimHash of the sets, linked through anchor points of a covering code (``simhash.links``): nearly all copies with small
+   changes, whatever the size of their group.
+2. No Hamming radius guarantees a Jaccard similarity, so what is left meets at shingles. They are ordered alike in all
+   documents: by hash, those of very many documents (counted in a part of the corpus) last. Two sets of similarity t or more
+   share a shingle among the first n - ceil(t n) + 1 of each, n being its size, so documents meet at these. Where they meet,
+   a pair is proposed if the sizes allow t and the parity fingerprints differ in no more bits than the sets may differ in
+   shingles: a shingle turns one bit, so the bits that differ never outnumber the shingles in which the sets do. Of each
+   meeting a spanning forest is taken.
+3. The components of all that held being known, each pair of a meeting whose ends are still in different components.
+
+What 2 and 3 propose passes the same bound on longer fingerprints first. Large meetings are split into chunks that meet two
+by two.
 """
 
 from __future__ import annotations
@@ -23,7 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, arrow_map, each, fresh, written
 from .components import components
-from .simhash import _SPACE, SLICE
+from .simhash import _SPACE, SLICE, _bit_counts
+from .simhash import links as hamming_links
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: 64-bit words of a parity fingerprint; rows of one shingle that are compared in one piece.
@@ -58,6 +65,11 @@ def _node(own: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), 7)).view(np.int64))
 
 
+def _print(own: np.ndarray) -> int:
+    """SimHash of a set: a bit is set if it is in over half the shingles."""
+    return int(((_bit_counts(own) * 2 > len(own)).astype(np.uint64) @ (np.uint64(1) << np.arange(64, dtype=np.uint64))).view(np.int64)) if len(own) else 0
+
+
 def _sketch(own: np.ndarray) -> np.ndarray:
     """A parity fingerprint of about four bits a shingle, a power of two and at least LANES words; its halves' xor is the one of half the bits."""
     bits = max(64 * LANES, 1 << min(20, (4 * len(own)).bit_length()))
@@ -70,12 +82,12 @@ def _fold(sketch: np.ndarray, lanes: int) -> np.ndarray:
 
 
 def _prefixes(common, similarity: float, width: int):
-    """(doc_id, text_hash, raw) -> (doc_id, text_hash, node, size, parity, sketch, keys)."""
+    """(doc_id, text_hash, raw) -> (doc_id, text_hash, node, size, fp, parity, sketch, keys)."""
 
     def run(batches):
         late = np.frombuffer(common.value, np.uint64)
         for b in batches:
-            cols = [[], [], [], [], []]
+            cols = [[], [], [], [], [], []]
             for raw in each(b.column(2)):
                 own = shingles(raw, width)
                 n = len(own)
@@ -84,9 +96,9 @@ def _prefixes(common, similarity: float, width: int):
                 if len(late) and n:
                     is_late = late[np.minimum(np.searchsorted(late, own), len(late) - 1)] == own
                     order = np.concatenate([own[~is_late], own[is_late]])
-                for c, v in zip(cols, (_node(own), n, _fold(sketch, LANES).tobytes(), sketch.tobytes(), order[:first].view(np.int64)), strict=True):
+                for c, v in zip(cols, (_node(own), n, _print(own), _fold(sketch, LANES).tobytes(), sketch.tobytes(), order[:first].view(np.int64)), strict=True):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())), strict=True))], ["doc_id", "text_hash", "node", "size", "parity", "sketch", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())), strict=True))], ["doc_id", "text_hash", "node", "size", "fp", "parity", "sketch", "keys"])
 
     return run
 
@@ -120,10 +132,12 @@ def _near(x: int, rest: np.ndarray, size: np.ndarray, parity: np.ndarray, t: flo
 
 
 def _meet(similarity: float, forest: bool):
-    """(key, node, size, parity, root), sorted by key and node, so that meetings take alike trees -> candidates (a, b): a spanning forest of each meeting, or all pairs of different roots."""
+    """(key, node, size, parity, root), sorted by key and node, so that meetings take alike trees -> candidates (a, b) of different roots: of a spanning forest of each meeting, or all."""
 
     def pairs(node, size, parity, root):
         rest = np.arange(len(node))
+        if (root == root[0]).all():
+            return
         if forest:
             while len(rest) > 1:
                 queue, rest = [rest[0]], rest[1:]
@@ -131,12 +145,11 @@ def _meet(similarity: float, forest: bool):
                     x = queue.pop()
                     near = _near(x, rest, size, parity, similarity)
                     if near.any():
-                        yield x, rest[near]
-                        queue.extend(rest[near])
+                        hit = rest[near]
+                        yield x, hit[root[hit] != root[x]]
+                        queue.extend(hit)
                         rest = rest[~near]
             return
-        if (root == root[0]).all():
-            return
         for x in rest[:-1]:
             other = rest[x + 1 :][root[x + 1 :] != root[x]]
             if len(other) and (near := _near(x, other, size, parity, similarity)).any():
@@ -203,7 +216,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     counted = arrow_map(raw.where(F.pmod(F.xxhash64("text_hash"), F.lit(PART)) == 0).select("raw"), _counted(width), "key long")
     late = [r["key"] for r in counted.groupBy("key").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "key").limit(MOST).select("key").collect()]
     common = spark.sparkContext.broadcast(np.sort(np.array(late, np.int64).view(np.uint64)).tobytes())
-    rows = written(arrow_map(raw, _prefixes(common, similarity, width), f"{_SETS}, size long, parity binary, sketch binary, keys array<long>"), "prefixes")
+    rows = written(arrow_map(raw, _prefixes(common, similarity, width), f"{_SETS}, size long, fp long, parity binary, sketch binary, keys array<long>"), "prefixes")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     nodes = rows.groupBy("node").agg(F.first("size").alias("size"), F.first("parity").alias("parity"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
     at = nodes.select("node", F.explode("keys").alias("key"))
@@ -212,14 +225,13 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     marks = nodes.select("node", "size", "parity", "sketch").join(meet.select("node").distinct(), "node", "left_semi")
     marks = written(marks, "marks")
 
-    def candidates(roots: DataFrame | None) -> DataFrame:
-        own = marks.drop("sketch")
-        own = own.withColumn("root", F.col("node")) if roots is None else own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    def candidates(roots: DataFrame, forest: bool) -> DataFrame:
+        own = marks.drop("sketch").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         met = meet.join(own, "node").withColumn("g", F.ceil(F.col("count") / chunk))
         cell = met.withColumn("c", F.pmod(F.xxhash64("node"), F.col("g"))).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
         cell = cell.select(F.when(F.col("g") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("c", "k"), F.greatest("c", "k"))).alias("key"), "node", "size", "parity", "root")
         cell = cell.repartition(n, "key").sortWithinPartitions("key", "node")
-        pairs = written(cell.mapInArrow(_meet(similarity, roots is None), "a long, b long").distinct(), "candidates")
+        pairs = written(arrow_map(cell, _meet(similarity, forest), "a long, b long").distinct(), "candidates")
         ends = [marks.select(F.col("node").alias(k), F.col("size").alias(f"{k}_size"), F.col("sketch").alias(f"{k}_sketch")) for k in "ab"]
         both = pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", "a_sketch", "b_sketch", "a_size", "b_size")
         return arrow_map(both, _close(similarity), "a long, b long")
@@ -232,8 +244,14 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
         return written(arrow_map(both.select("a", "b", "x", "y"), _holds(similarity), "a long, b long"), "links")
 
-    first = held(written(candidates(None), "pairs"))
-    links = first.unionByName(held(written(candidates(components(first)), "pairs")))
+    prints = written(rows.select("node", "fp").distinct(), "prints")
+    heads = written(prints.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+    alike = prints.join(heads, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    of = lambda k: heads.select(F.col("fp").alias(k), F.col("head").alias(f"{k}_head"))
+    bits = hamming_links(heads.select("fp")).join(of("a"), "a").join(of("b"), "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
+    links = held(written(alike.unionByName(bits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs"))
+    for forest in (True, False):
+        links = links.unionByName(held(written(candidates(components(links), forest), "pairs")))
     comp = written(components(links).select("node", "root"), "roots")
     return rows.select("doc_id", "text_hash", "node").join(comp, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
 

@@ -14,7 +14,6 @@ import heapq
 import struct
 import zlib
 from functools import lru_cache
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +43,9 @@ ALPHABETS = (280, 256, 256, 256, 40)
 #: Pixels in a row where a pixel holds one byte, and where it holds four; rows (64 bytes) in one image: a longer payload takes several.
 GREY, PACKED, ROWS = 64, 16, 16384
 #: Longest prefix code that is written; shortest and longest run that becomes a back-reference, in bytes and pixels.
-LONGEST, LEAST_RUN, MOST_RUN = 12, 8, 512
+LONGEST, LEAST_RUN, MOST_RUN = 10, 8, 512
+#: Marks an entry of two literals.
+PAIR = 1 << 20
 _REVERSED = np.array([int(f"{k:015b}"[::-1], 2) for k in range(1 << 15)], np.int64)
 
 
@@ -94,6 +95,15 @@ class Code:
         table = np.repeat(used << 4 | own, 1 << (high - own))
         self.mask, self.table = (1 << high) - 1, table[_REVERSED[: 1 << high] >> (15 - high)].tolist()
 
+    def pairs(self) -> list[int]:
+        """The table with two literals in one entry, PAIR and a byte each, wherever the bits hold both."""
+        one = np.array(self.table, np.int64)
+        size = one & 15
+        two = one[(np.arange(len(one)) >> size) & self.mask]
+        both = size + (two & 15)
+        fits = (one < 4096) & (two < 4096) & (both <= self.mask.bit_length()) & (both < 16) & (size > 0)
+        return np.where(fits, PAIR | (two >> 4) << 12 | one & 4080 | both, one).tolist()
+
     def read(self, bits: Bits) -> int:
         e = self.table[bits.peek() & self.mask]
         bits.skip(e & 15)
@@ -118,18 +128,37 @@ def _read_code(bits: Bits, size: int) -> Code:
         own[k] = bits.read(3)
     most = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
     code, at, last = _length_code(own.tobytes()), 0, 8
+    table, mask, out = code.table, code.mask, []
+    data, p = bits.data, bits.at >> 3
+    word, have = int.from_bytes(data[p : p + 8], "little") >> (bits.at & 7), 64 - (bits.at & 7)
+    p += 8
     while at < size and most:
         most -= 1
-        k = code.read(bits)
-        if k < 16:
-            lengths[at] = k
-            last, at = k or last, at + 1
-        else:
-            value, n = (last, 3 + bits.read(2)) if k == 16 else (0, 3 + bits.read(3)) if k == 17 else (0, 11 + bits.read(7))
-            if at + n > size:
-                raise ValueError("code lengths run over")
-            lengths[at : at + n] = value
-            at += n
+        if have < 32:
+            word |= int.from_bytes(data[p : p + 4], "little") << have
+            have += 32
+            p += 4
+        e = table[word & mask]
+        k = e & 15
+        word >>= k
+        have -= k
+        e >>= 4
+        if e < 16:
+            out.append(e)
+            last, at = e or last, at + 1
+            continue
+        extra, base, value = ((2, 3, last), (3, 3, 0), (7, 11, 0))[e - 16]
+        n = base + (word & ((1 << extra) - 1))
+        word >>= extra
+        have -= extra
+        at += n
+        if at > size:
+            raise ValueError("code lengths run over")
+        out += [value] * n
+    bits.at = p * 8 - have
+    if bits.at > len(data) * 8:
+        raise ValueError("the image ends early")
+    lengths[: len(out)] = out
     return Code(lengths)
 
 
@@ -140,6 +169,11 @@ def _span(code: int, bits: Bits) -> int:
     return ((2 + (code & 1)) << extra) + bits.read(extra) + 1
 
 
+@lru_cache(64)
+def _by_distance(width: int) -> dict[int, int]:
+    return {d: k + 1 for k, d in reversed(list(enumerate(_near(width))))}
+
+
 @lru_cache(64)
 def _near(width: int) -> list[int]:
     return [max(1, y * width + x) for x, y in NEAR]
@@ -147,57 +181,64 @@ def _near(width: int) -> list[int]:
 
 def _greens(bits: Bits, codes: list[Code], n: int, width: int) -> np.ndarray:
     """The green samples of an image whose other channels are each of one value, without a cache."""
-    data, table, mask, near = bits.data, codes[0].table, codes[0].mask, _near(width)
+    data, mask, near = bits.data, codes[0].mask, _near(width)
     far, far_mask = codes[4].table, codes[4].mask
     at = bits.at >> 3
     word, have = int.from_bytes(data[at : at + 8], "little") >> (bits.at & 7), 64 - (bits.at & 7)
     at += 8
     out = bytearray()
     append, left = out.append, n
-    while left > 0:
-        if have < 48:
-            word |= int.from_bytes(data[at : at + 6], "little") << have
-            have += 48
-            at += 6
-        e = table[word & mask]
-        k = e & 15
-        word >>= k
-        have -= k
-        e >>= 4
-        if e < 256:
-            append(e)
-            left -= 1
-            continue
-        length = e - 255
-        if e > 259:
-            extra = (e - 258) >> 1
-            length = ((2 + (e & 1)) << extra) + (word & ((1 << extra) - 1)) + 1
-            word >>= extra
-            have -= extra
-        e = far[word & far_mask]
-        k = e & 15
-        word >>= k
-        have -= k
-        e >>= 4
-        back = e + 1
-        if e > 3:
-            extra = (e - 2) >> 1
-            while have < extra:
+    # two literals at a time as long as two pixels are left
+    for table, least in ((codes[0].pairs() if n > 256 else codes[0].table, 1), (codes[0].table, 0)):
+        while left > least:
+            if have < 48:
                 word |= int.from_bytes(data[at : at + 6], "little") << have
                 have += 48
                 at += 6
-            back = ((2 + (e & 1)) << extra) + (word & ((1 << extra) - 1)) + 1
-            word >>= extra
-            have -= extra
-        back = back - 120 if back > 120 else near[back - 1]
-        left -= length
-        if back > len(out) or left < 0:
-            raise ValueError("a back-reference out of the image")
-        if back >= length:
-            out += out[len(out) - back : len(out) - back + length]
-        else:
-            run = bytes(out[-back:])
-            out += (run * (length // back + 1))[:length]
+            e = table[word & mask]
+            k = e & 15
+            word >>= k
+            have -= k
+            if e >= PAIR:
+                append(e >> 4 & 255)
+                append(e >> 12 & 255)
+                left -= 2
+                continue
+            e >>= 4
+            if e < 256:
+                append(e)
+                left -= 1
+                continue
+            length = e - 255
+            if e > 259:
+                extra = (e - 258) >> 1
+                length = ((2 + (e & 1)) << extra) + (word & ((1 << extra) - 1)) + 1
+                word >>= extra
+                have -= extra
+            e = far[word & far_mask]
+            k = e & 15
+            word >>= k
+            have -= k
+            e >>= 4
+            back = e + 1
+            if e > 3:
+                extra = (e - 2) >> 1
+                while have < extra:
+                    word |= int.from_bytes(data[at : at + 6], "little") << have
+                    have += 48
+                    at += 6
+                back = ((2 + (e & 1)) << extra) + (word & ((1 << extra) - 1)) + 1
+                word >>= extra
+                have -= extra
+            back = back - 120 if back > 120 else near[back - 1]
+            left -= length
+            if back > len(out) or left < 0:
+                raise ValueError("a back-reference out of the image")
+            if back >= length:
+                out += out[len(out) - back : len(out) - back + length]
+            else:
+                run = bytes(out[-back:])
+                out += (run * (length // back + 1))[:length]
     bits.at = at * 8 - have
     if bits.at > len(data) * 8:
         raise ValueError("the image ends early")
@@ -480,9 +521,12 @@ def _put_code(w: BitWriter, lengths: np.ndarray) -> None:
             w.put(used[1], 8)
         return
     w.put(0, 1)
+    ends = [*(np.flatnonzero(np.diff(lengths)) + 1).tolist(), len(lengths)]
     rows: list[tuple[int, int, int]] = []  # code of code lengths, extra, its bits
-    for length, run in groupby(lengths.tolist()):
-        n = sum(1 for _ in run)
+    at = 0
+    for end in ends:
+        length, n = int(lengths[at]), end - at
+        at = end
         if length == 0:
             while n >= 3:
                 m = min(n, 138)
@@ -503,12 +547,11 @@ def _put_code(w: BitWriter, lengths: np.ndarray) -> None:
     for k in CODE_LENGTH_ORDER[: max(last, 4)]:
         w.put(int(own[k]), 3)
     w.put(0, 1)
-    lone = int((own > 0).sum()) == 1
-    for k, extra, n in rows:
-        if not lone:
-            w.put(int(codes[k]), int(own[k]))
-        if n:
-            w.put(extra, n)
+    widths = (own if (own > 0).sum() > 1 else np.zeros_like(own)).tolist()
+    code_of = codes.tolist()
+    # a row's code and extra bits follow each other: one number
+    w.values += [code_of[k] | extra << widths[k] for k, extra, _ in rows]
+    w.widths += [widths[k] + n for k, _, n in rows]
 
 
 def _prefixed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -525,15 +568,14 @@ def _runs(pixels: np.ndarray, raw: bytes, unit: int) -> list[tuple[int, int, int
     n = len(raw)
     if n < 2 * LEAST_RUN:
         return []
-    padded = raw + b"\0" * 16
-    eights = np.stack([np.frombuffer(padded, "<u8", n // 8 + 1, k) for k in range(8)])  # the eight bytes from i on: eights[i & 7, i >> 3]
+    eights = np.ndarray((n + 1,), "<u8", raw + b"\0" * 8, 0, (1,))  # the eight bytes from each place on
     if unit == 1:
         starts = np.flatnonzero(np.frombuffer(raw, np.uint8, n - LEAST_RUN) <= 32) + 1
         if len(starts) < n >> 5:
             starts = np.arange(0, n - LEAST_RUN, 4)
     else:
         starts = np.arange(0, n - LEAST_RUN, unit)
-    own = eights[starts & 7, starts >> 3]
+    own = eights[starts]
     order = np.argsort(own, kind="stable")
     again = np.flatnonzero(own[order[1:]] == own[order[:-1]])
     if not len(again):
@@ -544,7 +586,7 @@ def _runs(pixels: np.ndarray, raw: bytes, unit: int) -> list[tuple[int, int, int
         a, b = here[open_] + length[open_], there[open_] + length[open_]
         inside = a + 8 <= n
         open_, a, b = open_[inside], a[inside], b[inside]
-        same = (eights[a & 7, a >> 3] == eights[b & 7, b >> 3]) & (length[open_] + 8 <= MOST_RUN * unit)
+        same = (eights[a] == eights[b]) & (length[open_] + 8 <= MOST_RUN * unit)
         open_ = open_[same]
         length[open_] += 8
     out, done = [], 0
@@ -572,7 +614,12 @@ def _image(w: BitWriter, pixels: np.ndarray, width: int, top: bool, raw: bytes |
     start[at_runs] = True
     tokens = np.flatnonzero(start)
     own = pixels[tokens]
-    green, red, blue, alpha = ((own >> np.uint32(s) & np.uint32(255)).astype(np.int64) for s in (8, 16, 0, 24))
+    green = (own >> np.uint32(8) & np.uint32(255)).astype(np.int64)
+    # channels of one value everywhere take a code of one symbol and no bits
+    same = int(pixels[0]) & 0xFFFF00FF
+    flat = bool((pixels & np.uint32(0xFFFF00FF) == np.uint32(same)).all())
+    others = [None] * 3 if flat else [(own >> np.uint32(s) & np.uint32(255)).astype(np.int64) for s in (16, 0, 24)]
+    lone = [same >> s & 255 if flat else int(x[0]) if (x == x[0]).all() else None for s, x in zip((16, 0, 24), others, strict=True)]
     is_run = ~literal[tokens]
     plain = ~is_run
     if cache_bits:
@@ -584,14 +631,21 @@ def _image(w: BitWriter, pixels: np.ndarray, width: int, top: bool, raw: bytes |
         by_cache = plain & hit[tokens]
         plain &= ~by_cache
         green[by_cache] = 280 + slot[tokens][by_cache]
-    by_distance = {d: k + 1 for k, d in reversed(list(enumerate(_near(width))))}
-    l_sym, l_extra, l_bits = _prefixed(lengths)
-    d_sym, d_extra, d_bits = _prefixed(np.array([by_distance.get(d, d + 120) for d in backs.tolist()], np.int64))
-    green[is_run] = 256 + l_sym
     size = ALPHABETS[0] + (1 << cache_bits if cache_bits else 0)
-    counts = [np.bincount(green, minlength=size), *(np.bincount(x[plain], minlength=256) for x in (red, blue, alpha)), np.bincount(d_sym, minlength=40)]
+    none = np.empty(0, np.int64)
+    if runs:
+        by_distance = _by_distance(width)
+        l_sym, l_extra, l_bits = _prefixed(lengths)
+        d_sym, d_extra, d_bits = _prefixed(np.array([by_distance.get(d, d + 120) for d in backs.tolist()], np.int64))
+        green[is_run] = 256 + l_sym
+    counts = [np.bincount(green, minlength=size), *(None if k is not None else np.bincount(x[plain], minlength=256) for k, x in zip(lone, others, strict=True)), np.bincount(d_sym, minlength=40) if runs else None]
     codes = []
-    for c in counts:
+    for c, k in zip(counts, (None, *lone, 0), strict=True):
+        if c is None:
+            w.values += [1, 0, int(k > 1), k]
+            w.widths += [1, 1, 1, 8 if k > 1 else 1]
+            codes.append((none, none))
+            continue
         own_lengths = code_lengths(c)
         _put_code(w, own_lengths)
         codes.append((canonical(own_lengths), own_lengths if (own_lengths > 0).sum() > 1 else np.zeros_like(own_lengths)))
@@ -601,7 +655,7 @@ def _image(w: BitWriter, pixels: np.ndarray, width: int, top: bool, raw: bytes |
     values, widths = np.zeros(int(fields.sum()), np.int64), np.zeros(int(fields.sum()), np.int64)
     values[at], widths[at] = codes[0][0][green], codes[0][1][green]
     for place, k in enumerate(wide, 1):
-        x = (red, blue, alpha)[k - 1][plain]
+        x = others[k - 1][plain]
         values[at[plain] + place], widths[at[plain] + place] = codes[k][0][x], codes[k][1][x]
     if runs:
         r = at[is_run]
@@ -618,6 +672,12 @@ def _bits(x: np.ndarray) -> float:
     return float((n * np.log2(len(x.ravel()) / n)).sum())
 
 
+def _bits_of(counts: np.ndarray) -> np.ndarray:
+    """The same of rows of counts."""
+    total = counts.sum(axis=1, keepdims=True)
+    return (counts * np.log2(np.maximum(total, 1) / np.maximum(counts, 1))).sum(axis=1)
+
+
 def predictions(p: np.ndarray, width: int) -> np.ndarray:
     """modes x pixels x channels: what each of the 14 modes foretells of all pixels but those of the first row and column."""
     own = np.stack(_split(p), axis=1).reshape(-1, width, 4)
@@ -659,6 +719,9 @@ def _factor(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.clip(np.round(32 * (a * b).sum() / max((a * a).sum(), 1.0)), -128, 127)) & 255
 
 
+_CHANNEL = np.tile(np.arange(4, dtype=np.uint16) * 256, GREY * ROWS // 4)
+
+
 def _header(width: int, rows: int) -> BitWriter:
     w = BitWriter()
     for value, n in ((0x2F, 8), (width - 1, 14), (rows - 1, 14), (1, 1), (0, 3)):
@@ -672,19 +735,17 @@ def encode(payload: bytes) -> bytes:
     if odd or not 0 < rows <= ROWS:
         raise ValueError("whole rows are needed")
     x = np.frombuffer(payload, np.uint8)
-    plain = _bits(x)
-    shades = np.flatnonzero(np.bincount(x, minlength=256))
+    of_four = np.bincount(x + _CHANNEL[: len(x)], minlength=1024).reshape(4, 256)
+    shades = np.flatnonzero(of_four.sum(axis=0))
     if 1 < len(shades) <= 16 and rows > 1:
         return _palette_image(x, shades, rows, payload)
-    table = x.reshape(rows, GREY)
-    four = x.reshape(-1, 4)
-    foretold = min(_bits(np.diff(table, axis=1)), _bits(table[1:] - table[:-1])) if rows > 3 else plain
-    packed = sum(_bits(four[:, c]) for c in range(4))
-    less = sum(_bits(c) for c in (four[:, 0], four[:, 1] - four[:, 0], four[:, 2] - four[:, 0], four[:, 3])) if rows > 3 else packed
-    if rows > 3 and min(foretold, packed, less) < 0.9 * plain:
-        if foretold <= min(packed, less):
-            return _predicted_image(x, rows)
-        return _packed_image(four, rows)
+    if rows > 3:
+        table, four = x.reshape(rows, GREY), x.reshape(-1, 4)
+        steps = np.bincount(np.r_[np.diff(table, axis=1).ravel(), (table[1:] - table[:-1]).ravel() + np.uint16(256), four[:, 1] - four[:, 0] + np.uint16(512), four[:, 2] - four[:, 0] + np.uint16(768)], minlength=1024).reshape(4, 256)
+        plain, *packed, left, up, red, blue = _bits_of(np.concatenate([of_four.sum(axis=0)[None], of_four, steps])).tolist()
+        less, packed = packed[0] + red + blue + packed[3], sum(packed)
+        if min(left, up, packed, less) < 0.9 * plain:
+            return _predicted_image(x, rows) if min(left, up) <= min(packed, less) else _packed_image(four, rows)
     w = _header(GREY, rows)
     w.put(1, 1)
     w.put(2, 2)  # grey less green: one channel is left
