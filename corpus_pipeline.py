@@ -21,7 +21,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component of near-duplicates: five-word shingles, Jaccard similarity 0.8 or more, each pair of it found."""
+    """Keeps one document of each component of near-duplicates: five-word shingles, Jaccard similarity 0.8 or more. SimHash links by anchors come first, each held against the texts; then an exact search finds every pair that they leave."""
     return similar.deduplicate(docs)
 
 

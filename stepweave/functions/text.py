@@ -7,9 +7,12 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The words that matching leaves out of queries.
+# The words that matching leaves out of queries, and what names of files begin and end with.
 KEYWORDS = ("given", "when", "then", "and", "but")
 STOP_WORDS = ("a", "an", "the", "i", "is", "am", "are", "to", "in", "on", "at", "of", "as", "by", "my", "me")
+ROUTER_HEAD, ROUTER_TAILS = "^(?:src/|backend/|server/|app/)?(?:routes/|routers/|api/)?", (r"\.(?:routes|router)\.(?:ts|js|mjs|cjs)$", r"\.(?:ts|js|mjs|cjs)$", "/index$")
+CONTRACT_HEAD, CONTRACT_TAILS = "^(?:src/|backend/|contracts/|routes/)+", (r"\.(?:ts|js)$", r"\.(?:contract|routes|router)$")
+# End of fixed values.
 
 
 def _accented() -> tuple[str, str]:
@@ -61,18 +64,21 @@ def search_tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.regexp_replace(F.translate(F.lower(c), ACCENTED, PLAIN), r"\p{Mn}", ""), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def _named(path: Column, head: str, tails: tuple[str, ...]) -> Column:
+    name = F.regexp_replace(path, head, "")
+    for tail in tails:
+        name = F.regexp_replace(name, tail, "")
+    return name
+
+
 def router_name(path: Column) -> Column:
     """A router's name from its file: usual folders, extensions and a last /index are taken off; of nothing left, the path."""
-    name = F.regexp_replace(path, "^(?:src/|backend/|server/|app/)?(?:routes/|routers/|api/)?", "")
-    for end in (r"\.(?:routes|router)\.(?:ts|js|mjs|cjs)$", r"\.(?:ts|js|mjs|cjs)$", "/index$"):
-        name = F.regexp_replace(name, end, "")
-    return F.coalesce(F.nullif(name, F.lit("")), path)
+    return F.coalesce(F.nullif(_named(path, ROUTER_HEAD, ROUTER_TAILS), F.lit("")), path)
 
 
 def contract_name(path: Column) -> Column:
     """A contract's name from its file: usual folders, however many, then the extension, then a usual ending are taken off."""
-    name = F.regexp_replace(path, "^(?:src/|backend/|contracts/|routes/)+", "")
-    return F.regexp_replace(F.regexp_replace(name, r"\.(?:ts|js)$", ""), r"\.(?:contract|routes|router)$", "")
+    return _named(path, CONTRACT_HEAD, CONTRACT_TAILS)
 
 
 def compose_path(parent: Column, local: Column, index: Column) -> Column:

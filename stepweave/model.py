@@ -7,19 +7,37 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+# Kinds, sources, the schema's version, and the names of columns.
 NODE_KINDS = ("route", "entity", "page", "action", "permission")
 EDGE_KINDS = ("uses_route", "touches_entity", "on_page", "requires_permission", "relates_to", "field_relation")
 NODE_SOURCES = ("scan", "agent", "manual")
 SCHEMA_VERSION = 3
-
-
-def _schema(spec: str, nullable: tuple[str, ...]) -> T.StructType:
-    kinds = {"long": T.LongType(), "string": T.StringType()}
-    return T.StructType([T.StructField(n, kinds[k], n in nullable) for n, k in (x.split() for x in spec.split(", "))])
-
-
-NODE_SCHEMA = _schema("id string, kind string, name string, label string, properties string, source string, source_file string, created_at long, updated_at long, scan_hash string", ("source_file", "scan_hash"))
-EDGE_SCHEMA = _schema("id string, src_id string, dst_id string, kind string, properties string, source_scanner string, created_at long", ("source_scanner",))
+NODE_SCHEMA = T.StructType(
+    [
+        T.StructField("id", T.StringType(), False),
+        T.StructField("kind", T.StringType(), False),
+        T.StructField("name", T.StringType(), False),
+        T.StructField("label", T.StringType(), False),
+        T.StructField("properties", T.StringType(), False),
+        T.StructField("source", T.StringType(), False),
+        T.StructField("source_file", T.StringType(), True),
+        T.StructField("created_at", T.LongType(), False),
+        T.StructField("updated_at", T.LongType(), False),
+        T.StructField("scan_hash", T.StringType(), True),
+    ]
+)
+EDGE_SCHEMA = T.StructType(
+    [
+        T.StructField("id", T.StringType(), False),
+        T.StructField("src_id", T.StringType(), False),
+        T.StructField("dst_id", T.StringType(), False),
+        T.StructField("kind", T.StringType(), False),
+        T.StructField("properties", T.StringType(), False),
+        T.StructField("source_scanner", T.StringType(), True),
+        T.StructField("created_at", T.LongType(), False),
+    ]
+)
+# End of fixed values.
 
 
 @dataclass(frozen=True)

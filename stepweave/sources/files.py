@@ -46,7 +46,7 @@ def _relative(root: str) -> Column:
 
 def project_files(spark: SparkSession, root: str, globs: list[str] | None = None, ignore: list[str] | None = None) -> DataFrame:
     """files(path, text) below a root, paths relative to it: those that any glob fits, without the ignored ones, each once."""
-    found = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(root)
+    found = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True)
     out = found.select(_relative(root).alias("path"), F.col("value").alias("text"))
     if globs:
         out = out.where(F.col("path").rlike("|".join(map(glob_regex, globs))))
@@ -55,21 +55,25 @@ def project_files(spark: SparkSession, root: str, globs: list[str] | None = None
     return out
 
 
+def file_list(files: DataFrame) -> DataFrame:
+    """(path): each once, in order."""
+    return files.select("path").distinct().orderBy("path")
+
+
 def feature_files(spark: SparkSession, pattern: str = "**/*.feature") -> DataFrame:
     """files(path, text) of step files. With ** the pattern is a root and a rest that file names, not paths, are held against."""
     root, wide, rest = pattern.partition("**")
     if wide:
-        found = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(root.rstrip("/") or ".")
+        found = spark.read.option("recursiveFileLookup", "true").text(root.rstrip("/") or ".", wholetext=True)
         name = F.substring_index(F.col("_metadata.file_path"), "/", -1)
         found = found.where(name.rlike(glob_regex(rest.removeprefix("/") or "*")))
     else:
-        found = spark.read.option("wholetext", "true").text(pattern)
+        found = spark.read.text(pattern, wholetext=True)
     return found.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def feature_steps(files: DataFrame) -> DataFrame:
     """(file, step_no, keyword, text) of files(path, text): lines of Given, When, Then, And, But; numbers count within a file from 0."""
-    lines = files.select(F.col("path").alias("file"), F.posexplode(F.split("text", r"\r?\n")).alias("line", "value"))
     kept = F.filter(F.transform(F.split("text", r"\r?\n"), lambda v, k: F.struct(k.alias("line"), v.alias("value"))), lambda x: x["value"].rlike(r"^\s*(Given|When|Then|And|But)\s+(.+)$"))
     lines = files.select(F.col("path").alias("file"), F.posexplode(kept).alias("step_no", "own")).select("file", "step_no", F.col("own.value").alias("value"))
     return parse_steps(lines).select("file", "step_no", "keyword", "text")

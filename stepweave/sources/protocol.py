@@ -34,7 +34,7 @@ class Merged:
 
 def read_outputs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(scanner, raw): documents of ScanOutput, one a file, named by their file."""
-    found = spark.read.option("wholetext", "true").text(paths)
+    found = spark.read.text(paths, wholetext=True)
     return found.select(F.regexp_replace(F.substring_index(F.col("_metadata.file_path"), "/", -1), r"\.json$", "").alias("scanner"), F.col("value").alias("raw"))
 
 

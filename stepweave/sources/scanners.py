@@ -13,9 +13,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stepweave.functions.text import CONTRACT_HEAD, CONTRACT_TAILS, ROUTER_HEAD, ROUTER_TAILS
+
 from .script import Braces, Call, Element, Script, Token, literal
 
-# Methods of routers, and where page definitions usually are.
+# Methods of routers, where page and schema files usually are, what tells tests and pages, and the patterns of
+# names, schema blocks, fields and their attributes.
 METHODS = ("get", "post", "put", "delete", "patch", "options", "head", "all")
 PAGE_FILES = (
     "src/routes.tsx", "src/routes.ts", "app/routes.tsx", "app/routes.ts", "src/app/routes.tsx", "src/app/routes.ts", "src/App.tsx", "src/App.jsx",
@@ -24,6 +27,11 @@ PAGE_FILES = (
 SCHEMA_FILES = ("prisma/schema.prisma", "backend/prisma/schema.prisma", "server/prisma/schema.prisma", "api/prisma/schema.prisma", "schema.prisma")
 TEST_FILE = r"(\.spec\.|\.test\.|__tests__|/tests?/)"
 PAGE_MARKS = ("<Route", "createBrowserRouter", "createRoutesFromElements")
+NO_PAGES = r"node_modules|dist/|build/|\.next/"
+BLOCK, FIELD = r"^{}\s+(\w+)\s*\{{([\s\S]*?)^\}}", r"^(\w+)\s+(\w+)(\[\])?(\?)?(\[\])?\s*(.*)$"
+DEFAULT, RELATION, TABLE = r"@default\(([^)]*(?:\([^)]*\))?[^)]*)\)", r"@relation\(([^)]*)\)", r'@@map\("([^"]+)"\)'
+FIELDS, REFERENCES = r"fields:\s*\[([^\]]*)\]", r"references:\s*\[([^\]]*)\]"
+# End of fixed values.
 ROWS = "path string, pos int, what string, id string, kind string, name string, label string, properties string, src_id string, dst_id string, severity string, message string"
 _COLUMNS = [x.split()[0] for x in ROWS.split(", ")]
 
@@ -39,9 +47,9 @@ def _row(path: str, pos: int, what: str, **fields) -> dict:
 
 def router_name(path: str) -> str:
     """A router's name from its file: usual folders, extensions and a last /index are taken off; of nothing left, the path."""
-    name = re.sub(r"^(?:src/|backend/|server/|app/)?(?:routes/|routers/|api/)?", "", path)
-    for end in (r"\.(?:routes|router)\.(?:ts|js|mjs|cjs)$", r"\.(?:ts|js|mjs|cjs)$", r"/index$"):
-        name = re.sub(end, "", name)
+    name = re.sub(ROUTER_HEAD, "", path)
+    for tail in ROUTER_TAILS:
+        name = re.sub(tail, "", name)
     return name or path
 
 
@@ -101,8 +109,10 @@ def express_routes(path: str, text: str) -> Iterator[dict]:
 
 
 def contract_name(path: str) -> str:
-    name = re.sub(r"^(?:src/|backend/|contracts/|routes/)+", "", path)
-    return re.sub(r"\.(?:contract|routes|router)$", "", re.sub(r"\.(?:ts|js)$", "", name))
+    name = re.sub(CONTRACT_HEAD, "", path)
+    for tail in CONTRACT_TAILS:
+        name = re.sub(tail, "", name)
+    return name
 
 
 def _members(tokens: list[Token]) -> dict[str, list[Token]]:
@@ -228,11 +238,6 @@ def react_pages(path: str, text: str) -> Iterator[dict]:
 
 # --- entities
 
-_BLOCK = r"^{}\s+(\w+)\s*\{{([\s\S]*?)^\}}"
-_FIELD = re.compile(r"^(\w+)\s+(\w+)(\[\])?(\?)?(\[\])?\s*(.*)$", re.ASCII)
-_DEFAULT = re.compile(r"@default\(([^)]*(?:\([^)]*\))?[^)]*)\)")
-
-
 def _names_in(pattern: str, text: str) -> list[str] | None:
     m = re.search(pattern, text)
     return [x.strip() for x in m[1].split(",")] if m else None
@@ -241,24 +246,24 @@ def _names_in(pattern: str, text: str) -> list[str] | None:
 def entity_field(line: str) -> dict | None:
     """A line of a model: its name, type and attributes; None for anything else."""
     line = line.strip()
-    m = _FIELD.match(line) if line and not line.startswith(("//", "@@")) else None
+    m = re.match(FIELD, line, re.ASCII) if line and not line.startswith(("//", "@@")) else None
     if not m:
         return None
     name, kind, rest, many = m[1], m[2], m[6], bool(m[3] or m[5])
     optional = bool(re.match(r"^\w+\?", line.split()[1]))
-    default, relation = _DEFAULT.search(rest), re.search(r"@relation\(([^)]*)\)", rest)
+    default, relation = re.search(DEFAULT, rest), re.search(RELATION, rest)
     out = {"name": name, "type": kind, "isRequired": not optional and not many, "isList": many, "isId": "@id" in rest, "isUnique": "@unique" in rest, "hasDefault": "@default" in rest}
     if default:
         out["defaultValue"] = default[1]
     if "@updatedAt" in rest:
         out["isUpdatedAt"] = True
     held = relation[1] if relation else ""
-    return {"meta": out, "fields": _names_in(r"fields:\s*\[([^\]]*)\]", held), "references": _names_in(r"references:\s*\[([^\]]*)\]", held)}
+    return {"meta": out, "fields": _names_in(FIELDS, held), "references": _names_in(REFERENCES, held)}
 
 
 def prisma_entities(path: str, text: str) -> Iterator[dict]:
     """Models with their fields and relations, enums with their values, and an edge for each field that holds a relation's key."""
-    blocks = lambda kind: [(m[1], m[2]) for m in re.finditer(_BLOCK.format(kind), text, re.M)]
+    blocks = lambda kind: [(m[1], m[2]) for m in re.finditer(BLOCK.format(kind), text, re.M)]
     models = [(name, body, [f for f in map(entity_field, body.split("\n")) if f]) for name, body in blocks("model")]
     known, pos = {name for name, _, _ in models}, 0
     for name, body, fields in models:
@@ -273,7 +278,7 @@ def prisma_entities(path: str, text: str) -> Iterator[dict]:
                 relation = "one-to-many" if meta["isList"] else "one-to-one" if key and key["isUnique"] else "many-to-one"
                 yield _row(path, pos, "edge", id=f"edge:entity:{name}-field_relation:{meta['name']}-entity:{meta['type']}", src_id=f"entity:{name}", dst_id=f"entity:{meta['type']}", kind="field_relation", properties={"fieldName": meta["name"], "relationType": relation})
                 pos += 1
-        table = re.search(r'@@map\("([^"]+)"\)', body)
+        table = re.search(TABLE, body)
         properties = {"isEnum": False, "fields": [f["meta"] for f in fields], "relations": relations} | ({"tableName": table[1]} if table else {})
         yield _row(path, pos, "node", id=f"entity:{name}", kind="entity", name=name, label=name, properties=properties)
         pos += 1
@@ -361,7 +366,7 @@ def page_files(files: DataFrame, configured: list[str] | None = None, ignore: li
     marked = F.lit(False)
     for m in PAGE_MARKS:
         marked = marked | F.col("text").contains(m)
-    return kept.where(F.col("path").rlike(r"\.(tsx|jsx)$") & ~F.col("path").rlike(r"node_modules|dist/|build/|\.next/") & marked)
+    return kept.where(F.col("path").rlike(r"\.(tsx|jsx)$") & ~F.col("path").rlike(NO_PAGES) & marked)
 
 
 def schema_file(files: DataFrame, path: str | None = None, ignore: list[str] | None = None) -> tuple[DataFrame, list[dict]]:
@@ -383,7 +388,7 @@ def scan_project(files: DataFrame, scanner: str, ignore: list[str] | None = None
     options = options or {}
     if scanner in _FILES:
         own = files.where(F.col("path").rlike(_FILES[scanner]) & ~ignored(F.col("path"), ignore or []))
-        own = own.where(~F.col("path").rlike(TEST_FILE)) if scanner == "express" else own
+        own = own.where(~F.concat(F.lit("/"), "path").rlike(TEST_FILE)) if scanner == "express" else own
         if globs := options.get("routeGlobs" if scanner == "express" else "contractGlobs"):
             from .files import glob_regex
 

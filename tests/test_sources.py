@@ -230,6 +230,7 @@ def test_files(spark, tmp_path):
     found = lambda *a: {r["path"] for r in files.project_files(spark, str(tmp_path), *a).collect()}
     assert found(["**/*.ts"]) == {"a.ts", "src/b.ts", "src/dist/c.ts"} and found(["src/*.{ts,js}"]) == {"src/b.ts", "src/d e.js"}
     assert found(["**/*.ts", "a.*"], ["src/dist"]) == {"a.ts", "src/b.ts"}
+    assert [r["path"] for r in files.file_list(files.project_files(spark, str(tmp_path), ["**/*.ts"])).collect()] == ["a.ts", "src/b.ts", "src/dist/c.ts"]
     own = files.feature_files(spark, f"{tmp_path}/**/*.feature")
     steps = sorted((r["file"].split("/")[-1], r["step_no"], r["keyword"], r["text"]) for r in files.feature_steps(own).collect())
     assert steps == [("x.feature", 0, "Given", "I go"), ("x.feature", 1, "When", '"y"'), ("y.feature", 0, "Then", "z")]
@@ -258,6 +259,7 @@ def test_link(spark):
     assert got == {
         ("route:1", "entity:U"): {"tracePath": ["src/r.ts", "src/a.ts"], "depth": 1}, ("route:1", "entity:P"): {"tracePath": ["src/r.ts", "src/a.ts", "src/b.ts"], "depth": 2},
         ("route:2", "entity:P"): {"tracePath": ["src/impl.ts", "src/b.ts"], "depth": 1, "resolvedVia": "reverse-import"},
+        ("route:2", "entity:U"): {"tracePath": ["src/impl.ts", "src/b.ts", "src/r.ts", "src/a.ts"], "depth": 3, "resolvedVia": "reverse-import"},
         ("route:3", "entity:U"): {"tracePath": ["src/break.handlers.ts", "src/a.ts"], "depth": 1, "resolvedVia": "reverse-import"},
         ("route:3", "entity:P"): {"tracePath": ["src/break.handlers.ts", "src/a.ts", "src/b.ts"], "depth": 2, "resolvedVia": "reverse-import"},
     }
@@ -273,7 +275,7 @@ def test_depth_first_order():
     # near is met first behind deep and mid; it is not entered anew on its short way, and the leaf lies out of reach
     assert list(link.search_depth_first([("1", "r")], imports, used, 3)) == [("1", "N", 3, ["r", "deep", "mid", "near"])]
     first, second = (list(link.search_depth_first([("1", "near"), ("2", "r")], imports, used, d)) for d in (8, 1))
-    assert [x[1] for x in first] == ["N", "L", "N", "L"] and [x[:3] for x in second] == [("1", "N", 0), ("1", "L", 1), ("2", "N", 1)]
+    assert [x[1] for x in first] == ["N", "L", "N", "L"] and [x[:3] for x in second] == [("1", "N", 0), ("1", "L", 1), ("2", "N", 1), ("2", "L", 1)]  # the memo serves beyond the depth left
 
 
 def test_sinks(spark):
@@ -327,6 +329,40 @@ def test_engine(spark, tmp_path):
     assert Engine(spark, f"file://{tmp_path}/graph").graph.nodes.count() == e.graph.nodes.count()
 
 
+def test_stream(spark, tmp_path):
+    from stepweave.streaming.ingest import follow
+
+    e = Engine(spark, f"file://{tmp_path}/graph")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/one.json").write_text(json.dumps(output()))
+    (tmp_path / "in/bad.json").write_text(json.dumps(output(version=9)))
+    told = []
+    for _ in range(2):
+        follow(e, f"{tmp_path}/in", f"{tmp_path}/checkpoint", once=True, told=lambda n, r: told.append((n, r.nodes_ingested, r.errors))).awaitTermination()
+        (tmp_path / "in/two.json").write_text(json.dumps(output(nodes=[output()["nodes"][0] | {"label": "new"}, output()["nodes"][0] | {"id": "route:s"}])))
+    assert [t[:2] for t in told] == [(0, 1), (1, 2)] and told[0][2][0][0] == "bad"
+    assert {r["id"]: r["label"] for r in e.graph.nodes.collect()} == {"route:r": "new", "route:s": "r"}
+
+
+def test_rejected_source(spark, tmp_path):
+    """A node's source is checked when it is taken in, and then nothing is."""
+    e = Engine(spark, f"file://{tmp_path}/graph")
+    raw = spark.createDataFrame([("s", json.dumps(output(nodes=[output()["nodes"][0] | {"source": "robot"}])))], "scanner string, raw string")
+    with pytest.raises(ValueError):
+        e.ingest(protocol.merge_outputs(raw))
+    assert e.graph.nodes.count() == 0
+
+
+def test_properties(spark):
+    from stepweave.functions import properties
+
+    df = spark.createDataFrame([('{"a": [1, 2.5, "x"], "b": ["p", 3, "q"]}',), (None,), ("",), ("broken{",)], "p string")
+    got = df.select(properties.encode(properties.decode(F.col("p"))).alias("e"), properties.strings(F.col("p"), "b").alias("b")).collect()
+    assert json.loads(got[0]["e"]) == {"a": [1, 2.5, "x"], "b": ["p", 3, "q"]} and got[0]["b"] == ["p", "q"]
+    assert [r["e"] for r in got[1:]] == ["{}"] * 3 and got[1]["b"] is None
+    assert df.select(properties.encode(F.lit(None).cast("map<string,string>")).alias("e")).first()["e"] == "{}"
+
+
 def test_empty_graph(spark):
     g = Graph(spark.createDataFrame([], NODE_SCHEMA), spark.createDataFrame([], EDGE_SCHEMA))
     from stepweave.operators import search
