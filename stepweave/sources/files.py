@@ -47,12 +47,16 @@ def _relative(root: str) -> Column:
 def project_files(spark: SparkSession, root: str, globs: list[str] | None = None, ignore: list[str] | None = None) -> DataFrame:
     """files(path, text) below a root, paths relative to it: those that any glob fits, without the ignored ones, each once."""
     found = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True)
-    out = found.select(_relative(root).alias("path"), F.col("value").alias("text"))
+    return kept(found.select(_relative(root).alias("path"), F.col("value").alias("text")), globs, ignore)
+
+
+def kept(files: DataFrame, globs: list[str] | None = None, ignore: list[str] | None = None) -> DataFrame:
+    """files(path) that any glob fits, without the ignored ones and what lies below them."""
     if globs:
-        out = out.where(F.col("path").rlike("|".join(map(glob_regex, globs))))
+        files = files.where(F.col("path").rlike("|".join(map(glob_regex, globs))))
     for p in ignore or []:
-        out = out.where((F.col("path") != p) & ~F.col("path").startswith(p + "/"))
-    return out
+        files = files.where((F.col("path") != p) & ~F.col("path").startswith(p + "/"))
+    return files
 
 
 def file_list(files: DataFrame) -> DataFrame:
