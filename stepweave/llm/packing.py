@@ -106,18 +106,16 @@ class _WordIds:
         """The ids of each word."""
         if len(self.new) > WORDS:
             self.old, self.new = self.new, {}
-        found = list(map(self.new.get, words))
-        if None in found:
-            missing = []
-            for w in {w for w, ids in zip(words, found, strict=True) if ids is None}:
-                ids = self.old.get(w)
-                if ids is None:
-                    missing.append(w)
-                else:
-                    self.new[w] = ids
-            self._learn(missing)
-            found = list(map(self.new.__getitem__, words))
-        return found
+        new, old = self.new, self.old
+        missing = []
+        for w in set(words).difference(new):
+            ids = old.get(w)
+            if ids is None:
+                missing.append(w)
+            else:
+                new[w] = ids
+        self._learn(missing)
+        return list(map(new.__getitem__, words))
 
 
 def _tokenizer(path: str) -> _WordIds:
