@@ -50,11 +50,11 @@ def splitters(keys: DataFrame, targets: list[tuple[float, float]]) -> list[_Spli
         signed = lambda p: p - (1 << 64) if p >= 1 << 63 else p
         if bits <= 64:
             prefix = (F.shiftrightunsigned(hi, 64 - bits) if bits < 64 else hi) if bits else F.lit(0).cast("long"), F.lit(0).cast("long")
-            rows_of = [(k, signed(p), 0) for k, p in enumerate(live)]
+            halves = [signed(p) for p in live], [0] * len(live)
         else:
             prefix = hi, F.shiftrightunsigned(lo, 128 - bits) if bits < 128 else lo
-            rows_of = [(k, signed(p >> (bits - 64)), signed(p & ((1 << (bits - 64)) - 1))) for k, p in enumerate(live)]
-        table = keys.sparkSession.createDataFrame(rows_of, "at int, p_hi long, p_lo long")
+            halves = [signed(p >> (bits - 64)) for p in live], [signed(p & ((1 << (bits - 64)) - 1)) for p in live]
+        table = keys.sparkSession.range(1).select(F.posexplode(F.arrays_zip(_longs(halves[0]).alias("p_hi"), _longs(halves[1]).alias("p_lo"))).alias("at", "own")).select("at", "own.*").toDF("at", "p_hi", "p_lo")
         inside = keys.withColumn("p_hi", prefix[0]).withColumn("p_lo", prefix[1]).join(F.broadcast(table), ["p_hi", "p_lo"])
         counts: dict[int, list] = {}
         for r in inside.groupBy("at", _digit(hi, lo, bits, width).alias("d")).agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect():

@@ -10,6 +10,8 @@ blocked. Edges are summed per pair of hosts before any join, so a page count nev
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,7 +53,9 @@ def with_rule(urls: DataFrame, rules=RULES) -> DataFrame:
             rule, verdict = F.when(fits, host + path).otherwise(rule), F.when(fits, what).otherwise(verdict)
         return urls.withColumn("rule", rule).withColumn("rule_verdict", verdict)
     spark = urls.sparkSession
-    table = spark.createDataFrame([(h, p, h + p, v, -len(h + p)) for h, p, v in ordered], "suffix string, rule_path string, rule string, rule_verdict string, rank int")
+    text = json.dumps([{"suffix": h, "rule_path": p, "rule": h + p, "rule_verdict": v, "rank": -len(h + p)} for h, p, v in ordered])
+    rows = F.from_json(F.lit(text), "array<struct<suffix:string,rule_path:string,rule:string,rule_verdict:string,rank:int>>")
+    table = spark.range(1).select(F.explode(rows).alias("r")).select("r.*")
     hosts = urls.select("host").distinct()
     fitting = hosts.withColumn("suffix", F.explode(_suffixes(F.col("host")))).join(table, "suffix").groupBy("host").agg(F.sort_array(F.collect_list(F.struct("rank", "rule", "rule_path", "rule_verdict"))).alias("fitting"))
     first = F.get(F.filter("fitting", lambda r: F.col("path").startswith(r["rule_path"])), F.lit(0))
