@@ -10,7 +10,6 @@ back-references, repeated pixels of four bytes colour cache entries; all is writ
 from __future__ import annotations
 
 import hashlib
-import heapq
 import struct
 import zlib
 from functools import lru_cache
@@ -41,7 +40,7 @@ NEAR = (
 )
 ALPHABETS = (280, 256, 256, 256, 40)
 #: Pixels in a row where a pixel holds one byte, and where it holds four; rows (64 bytes) in one image: a longer payload takes several.
-GREY, PACKED, ROWS = 64, 16, 16384
+GREY, PACKED, ROWS = 64, 16, 4096
 #: Longest prefix code that is written; shortest and longest run that becomes a back-reference, in bytes and pixels.
 LONGEST, LEAST_RUN, MOST_RUN = 10, 8, 512
 #: Marks an entry of two literals.
@@ -95,14 +94,14 @@ class Code:
         table = np.repeat(used << 4 | own, 1 << (high - own))
         self.mask, self.table = (1 << high) - 1, table[_REVERSED[: 1 << high] >> (15 - high)].tolist()
 
-    def pairs(self) -> list[int]:
+    def pairs(self) -> np.ndarray:
         """The table with two literals in one entry, PAIR and a byte each, wherever the bits hold both."""
         one = np.array(self.table, np.int64)
         size = one & 15
         two = one[(np.arange(len(one)) >> size) & self.mask]
         both = size + (two & 15)
         fits = (one < 4096) & (two < 4096) & (both <= self.mask.bit_length()) & (both < 16) & (size > 0)
-        return np.where(fits, PAIR | (two >> 4) << 12 | one & 4080 | both, one).tolist()
+        return np.where(fits, PAIR | (two >> 4) << 12 | one & 4080 | both, one).astype(np.int32)
 
     def read(self, bits: Bits) -> int:
         e = self.table[bits.peek() & self.mask]
@@ -115,14 +114,19 @@ def _length_code(lengths: bytes) -> Code:
     return Code(np.frombuffer(lengths, np.int64))
 
 
-def _read_code(bits: Bits, size: int) -> Code:
+@lru_cache(4096)
+def _simple_code(size: int, *symbols: int) -> Code:
     lengths = np.zeros(size, np.int64)
+    lengths[list(symbols)] = 1
+    return Code(lengths)
+
+
+def _read_code(bits: Bits, size: int) -> Code:
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
-        lengths[bits.read(8 if wide else 1)] = 1
-        if two:
-            lengths[bits.read(8)] = 1
-        return Code(lengths)
+        first = bits.read(8 if wide else 1)
+        return _simple_code(size, first, bits.read(8) if two else first)
+    lengths = np.zeros(size, np.int64)
     own = np.zeros(19, np.int64)
     for k in CODE_LENGTH_ORDER[: 4 + bits.read(4)]:
         own[k] = bits.read(3)
@@ -179,70 +183,79 @@ def _near(width: int) -> list[int]:
     return [max(1, y * width + x) for x, y in NEAR]
 
 
+def _run(data: bytes, at: int, codes: list[Code], near: list[int]) -> tuple[int, int, int]:
+    """A back-reference whose green code begins at a bit: (the bit behind it, length, how far back)."""
+    word = int.from_bytes(data[at >> 3 : (at >> 3) + 10], "little") >> (at & 7)
+    e = codes[0].table[word & codes[0].mask]
+    took, spans = e & 15, []
+    word >>= took
+    for code in ((e >> 4) - 256, None):
+        if code is None:
+            e = codes[4].table[word & codes[4].mask]
+            code = e >> 4
+            word >>= e & 15
+            took += e & 15
+        extra = 0 if code < 4 else (code - 2) >> 1
+        spans.append(code + 1 if code < 4 else ((2 + (code & 1)) << extra) + (word & ((1 << extra) - 1)) + 1)
+        word >>= extra
+        took += extra
+    return at + took, spans[0], spans[1] - 120 if spans[1] > 120 else near[spans[1] - 1]
+
+
 def _greens(bits: Bits, codes: list[Code], n: int, width: int) -> np.ndarray:
-    """The green samples of an image whose other channels are each of one value, without a cache."""
-    data, mask, near = bits.data, codes[0].mask, _near(width)
-    far, far_mask = codes[4].table, codes[4].mask
-    at = bits.at >> 3
-    word, have = int.from_bytes(data[at : at + 8], "little") >> (bits.at & 7), 64 - (bits.at & 7)
-    at += 8
-    out = bytearray()
-    append, left = out.append, n
-    # two literals at a time as long as two pixels are left
-    for table, least in ((codes[0].pairs() if n > 256 else codes[0].table, 1), (codes[0].table, 0)):
-        while left > least:
-            if have < 48:
-                word |= int.from_bytes(data[at : at + 6], "little") << have
-                have += 48
-                at += 6
-            e = table[word & mask]
-            k = e & 15
-            word >>= k
-            have -= k
-            if e >= PAIR:
-                append(e >> 4 & 255)
-                append(e >> 12 & 255)
-                left -= 2
-                continue
-            e >>= 4
-            if e < 256:
-                append(e)
-                left -= 1
-                continue
-            length = e - 255
-            if e > 259:
-                extra = (e - 258) >> 1
-                length = ((2 + (e & 1)) << extra) + (word & ((1 << extra) - 1)) + 1
-                word >>= extra
-                have -= extra
-            e = far[word & far_mask]
-            k = e & 15
-            word >>= k
-            have -= k
-            e >>= 4
-            back = e + 1
-            if e > 3:
-                extra = (e - 2) >> 1
-                while have < extra:
-                    word |= int.from_bytes(data[at : at + 6], "little") << have
-                    have += 48
-                    at += 6
-                back = ((2 + (e & 1)) << extra) + (word & ((1 << extra) - 1)) + 1
-                word >>= extra
-                have -= extra
-            back = back - 120 if back > 120 else near[back - 1]
+    """The green samples of an image whose other channels are each of one value, without a cache; the last of its file.
+
+    What each bit would begin, and where the next code would then be, is told for all bits at once; a walk over these picks the
+    bits at which codes do begin. One step may be two literals.
+    """
+    start, data = bits.at, bits.data
+    if codes[0].single is not None:
+        return np.full(n, codes[0].single, np.uint8)
+    raw = np.zeros(len(data) - (start >> 3) + 2, np.uint32)
+    raw[:-2] = np.frombuffer(data, np.uint8, offset=start >> 3)
+    three = raw[:-2] | raw[1:-1] << np.uint32(8) | raw[2:] << np.uint32(16)
+    window = (three[:, None] >> np.arange(8, dtype=np.uint32) & np.uint32(codes[0].mask)).ravel()[start & 7 :]
+    entry = codes[0].pairs()[window]
+    size = entry & 15
+    after = np.arange(len(entry), dtype=np.int32) + size
+    after[(entry >= 4096) & (entry < PAIR)] = -1
+    step, end, near, seen, runs = memoryview(after), len(entry), _near(width), [], []
+    at, left, add = 0, n, seen.append
+    while at < end:
+        add(at)
+        nxt = step[at]
+        if nxt < 0:
+            nxt, length, back = _run(data, start + at, codes, near)
+            nxt -= start
+            runs.append((len(seen) - 1, length, back))
             left -= length
-            if back > len(out) or left < 0:
-                raise ValueError("a back-reference out of the image")
-            if back >= length:
-                out += out[len(out) - back : len(out) - back + length]
-            else:
-                run = bytes(out[-back:])
-                out += (run * (length // back + 1))[:length]
-    bits.at = at * 8 - have
-    if bits.at > len(data) * 8:
+            if left <= 0:
+                break
+        at = nxt
+    found = entry[np.array(seen, np.int64)]
+    counts = np.where(found >= PAIR, 2, 1)
+    for k, length, _ in runs:
+        counts[k] = length
+    ends = np.cumsum(counts)
+    if not len(ends) or ends[-1] < n:
         raise ValueError("the image ends early")
-    return np.frombuffer(out, np.uint8)
+    places = ends - counts
+    out = np.zeros(int(ends[-1]), np.uint8)
+    out[places] = found >> 4 & 255
+    two = np.flatnonzero(found >= PAIR)
+    out[places[two] + 1] = found[two] >> 12 & 255
+    for k, length, back in runs:
+        p = int(places[k])
+        if p >= n:
+            break
+        if back > p or p + length > n:
+            raise ValueError("a back-reference out of the image")
+        if back >= length:
+            out[p : p + length] = out[p - back : p - back + length]
+        else:
+            out[p : p + length] = np.resize(out[p - back : p], length)
+    bits.at = len(data) * 8
+    return out[:n]
 
 
 def _read_image(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
@@ -259,7 +272,7 @@ def _read_image(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
     codes = [[_read_code(bits, s) for s in sizes] for _ in range(groups)]
     n = width * height
     red, blue, alpha = (c.single for c in codes[0][1:4])
-    if groups == 1 and not cache_bits and None not in (red, blue, alpha):
+    if top and groups == 1 and not cache_bits and None not in (red, blue, alpha):
         return _greens(bits, codes[0], n, width).astype(np.uint32) << np.uint32(8) | np.uint32(alpha << 24 | red << 16 | blue)
     out, cache, near = [0] * n, [0] * (1 << cache_bits), _near(width)
     across = -(-width >> block) if meta is not None else 0
@@ -478,21 +491,35 @@ def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
         out[used] = 1
         return out
     own = counts[used].astype(np.int64)
+    order = np.argsort(own, kind="stable")
     while True:
-        heap = [(n, k) for k, n in enumerate(own.tolist())]
-        heapq.heapify(heap)
-        up, k = [0] * (2 * len(used) - 1), len(used)
-        while len(heap) > 1:
-            a, i = heapq.heappop(heap)
-            b, j = heap[0]
-            up[i] = up[j] = k
-            heapq.heapreplace(heap, (a + b, k))
-            k += 1
-        depth = [0] * k
-        for i in range(k - 2, -1, -1):
-            depth[i] = depth[up[i]] + 1
-        if max(depth) <= longest:
-            out[used] = depth[: len(used)]
+        leaves = [*own[order].tolist(), 1 << 62, 1 << 62]
+        n = len(order)
+        # the two least of leaves and of sums so far, both in ascending order, become a sum
+        sums, up, i, j = [1 << 62] * (n + 1), [0] * (2 * n - 1), 0, 0
+        for k in range(n - 1):
+            if leaves[i] <= sums[j]:
+                x = leaves[i]
+                up[i] = k
+                i += 1
+            else:
+                x = sums[j]
+                up[n + j] = k
+                j += 1
+            if leaves[i] <= sums[j]:
+                sums[k] = x + leaves[i]
+                up[i] = k
+                i += 1
+            else:
+                sums[k] = x + sums[j]
+                up[n + j] = k
+                j += 1
+        depth = [0] * (n - 1)
+        for k in range(n - 3, -1, -1):
+            depth[k] = depth[up[n + k]] + 1
+        lengths = [depth[k] + 1 for k in up[:n]]
+        if max(lengths) <= longest:
+            out[used[order]] = lengths
             return out
         own = (own >> 1) + 1  # rarer symbols come nearer to the others
 
@@ -730,7 +757,7 @@ def _header(width: int, rows: int) -> BitWriter:
 
 
 def encode(payload: bytes) -> bytes:
-    """Bytes (a positive multiple of 64, up to 16384 rows of them) as one image, in the form that takes the fewest bits by its samples' entropy."""
+    """Bytes (a positive multiple of 64, up to 4096 rows of them) as one image, in the form that takes the fewest bits by its samples' entropy."""
     rows, odd = divmod(len(payload), GREY)
     if odd or not 0 < rows <= ROWS:
         raise ValueError("whole rows are needed")
