@@ -238,12 +238,14 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
 
     def held(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        one = rows.join(ends, "node").groupBy("node").agg(F.min(F.struct("text_hash", "doc_id")).alias("k")).select(F.col("k.text_hash").alias("text_hash"), F.coalesce("k.doc_id", F.lit(-(1 << 63)).cast("long")).alias("doc_id"))
+        one = firsts.join(ends, "node").select(F.col("k.text_hash").alias("text_hash"), F.coalesce("k.doc_id", F.lit(-(1 << 63)).cast("long")).alias("doc_id"))
         found = raw.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long"))).join(one, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
         sets = written(arrow_map(found.select("raw"), _whole(width), "node long, own binary"), "sets")
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
         return written(arrow_map(both.select("a", "b", "x", "y"), _holds(similarity), "a long, b long"), "links")
 
+    # copies are summed up before they move: of each set one document
+    firsts = written(rows.groupBy("node").agg(F.min(F.struct("text_hash", "doc_id")).alias("k")), "firsts")
     prints = written(rows.select("node", "fp").distinct(), "prints")
     heads = written(prints.groupBy("fp").agg(F.min("node").alias("head")), "heads")
     alike = prints.join(heads, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))

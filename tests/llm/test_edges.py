@@ -107,3 +107,24 @@ def test_release(spark):
     with pytest.raises(Exception):  # noqa: B017
         a.count()
     assert lineage.release(spark, since) == 1
+
+
+def test_radius():
+    """At the least similarity that counts, fingerprints stay within the radius that the blocks guarantee."""
+    r = np.random.default_rng(1)
+    for n in (10, 15, 20, 30, 60):
+        same = next(s for s in range(n + 1) if s / (2 * n - s) >= decontaminate.SIMILARITY)
+        a = r.integers(0, 2, (3000, n, 64), dtype=np.int8)
+        b = a.copy()
+        b[:, same:] = r.integers(0, 2, (3000, n - same, 64), dtype=np.int8)
+        apart = ((2 * a.sum(1) > n) != (2 * b.sum(1) > n)).sum(1)
+        assert apart.max() <= decontaminate.RADIUS < decontaminate.BLOCKS * (decontaminate.BLOCK_RADIUS + 1)
+
+
+def test_native():
+    """Operators that must be native use nothing of Python's workers."""
+    import inspect
+
+    for module in (decontaminate, sharding, url_filters):
+        source = inspect.getsource(module)
+        assert not [x for x in ("mapIn", "applyIn", "pandas", "udf", ".rdd", "createDataFrame", "arrow") if x in source.replace("DataFrame operations", "")], module
