@@ -104,7 +104,7 @@ def scan_output_errors(s, d):
     return protocol.merge_outputs(_raw(s, d)).errors
 
 
-@query(f"WITH m AS (SELECT * FROM {_AT} WHERE r_name NOT IN ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE')) SELECT CAST(count(DISTINCT r_name) AS BIGINT) AS files_scanned, count(*) AS nodes_found, count(*) AS edges_found, 4 AS errors, CAST(count(DISTINCT r_name) AS BIGINT) AS scanners FROM m")
+@query(f"WITH m AS (SELECT * FROM {_AT} WHERE r_name NOT IN ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE')) SELECT CAST(count(DISTINCT r_name) AS BIGINT) AS files_scanned, count(*) AS nodes_found, count(*) AS edges_found, CAST(4 AS BIGINT) AS errors, CAST(count(DISTINCT r_name) AS BIGINT) AS scanners FROM m")
 def scan_output_stats(s, d):
     return protocol.merge_outputs(_raw(s, d)).stats
 
