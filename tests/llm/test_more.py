@@ -226,9 +226,15 @@ def test_components_and_ids(spark):
     many = sorted({centre ^ sum(1 << b for b in r.sample(range(31, 64), r.randint(0, 6))) for _ in range(600)})
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     df = spark.createDataFrame([(signed(x),) for x in many], "fp long")
+    from stepweave.llm import components
+
     parts = []
-    for chunk in (8192, 20):
-        found = simhash.components(simhash.links(df, chunk=chunk)).groupBy("root").agg(F.count("*").alias("n"))
+    for chunk, split in ((8192, components.SPLIT), (20, 0)):
+        components.SPLIT, old = split, components.SPLIT
+        try:
+            found = simhash.components(simhash.links(df, chunk=chunk)).groupBy("root").agg(F.count("*").alias("n"))
+        finally:
+            components.SPLIT = old
         parts.append(Counter(x["n"] for x in found.collect()))
     assert parts[0] == parts[1]
 
