@@ -1,17 +1,17 @@
 """Near-duplicates by the exact Jaccard similarity of the sets of word shingles; no similar pair is missed.
 
-Three searches for pairs follow each other, each leaving out what the ones before it have joined; every pair that one proposes
-is held against the sets themselves, recomputed from the texts, before it counts.
+Three searches propose pairs, and every pair proposed is held against the sets themselves, recomputed from the texts, before
+it counts.
 
 1. SimHash of the sets, linked through anchor points of a covering code (``simhash.links``): nearly all copies with small
    changes, whatever the size of their group.
-2. No Hamming radius guarantees a Jaccard similarity, so what is left meets at shingles. They are ordered alike in all
+2. No Hamming radius guarantees a Jaccard similarity, so sets also meet at shingles. They are ordered alike in all
    documents: by hash, those of very many documents (counted in a part of the corpus) last. Two sets of similarity t or more
    share a shingle among the first n - ceil(t n) + 1 of each, n being its size, so documents meet at these. Where they meet,
    a pair is proposed if the sizes allow t and the parity fingerprints differ in no more bits than the sets may differ in
    shingles: a shingle turns one bit, so the bits that differ never outnumber the shingles in which the sets do. Of each
    meeting a spanning forest is taken.
-3. The components of all that held being known, each pair of a meeting whose ends are still in different components.
+3. The components of all that held of 1 and 2 being known, each pair of a meeting whose ends are still in different components.
 
 What 2 and 3 propose passes the same bound on longer fingerprints first. Large meetings are split into chunks that meet two
 by two.
@@ -132,12 +132,10 @@ def _near(x: int, rest: np.ndarray, size: np.ndarray, parity: np.ndarray, t: flo
 
 
 def _meet(similarity: float, forest: bool):
-    """(key, node, size, parity, root), sorted by key and node, so that meetings take alike trees -> candidates (a, b) of different roots: of a spanning forest of each meeting, or all."""
+    """(key, node, size, parity, root), sorted by key and node, so that meetings take alike trees -> candidates (a, b): a spanning forest of each meeting, or all pairs of different roots."""
 
     def pairs(node, size, parity, root):
         rest = np.arange(len(node))
-        if (root == root[0]).all():
-            return
         if forest:
             while len(rest) > 1:
                 queue, rest = [rest[0]], rest[1:]
@@ -145,11 +143,12 @@ def _meet(similarity: float, forest: bool):
                     x = queue.pop()
                     near = _near(x, rest, size, parity, similarity)
                     if near.any():
-                        hit = rest[near]
-                        yield x, hit[root[hit] != root[x]]
-                        queue.extend(hit)
+                        yield x, rest[near]
+                        queue.extend(rest[near])
                         rest = rest[~near]
             return
+        if (root == root[0]).all():
+            return
         for x in rest[:-1]:
             other = rest[x + 1 :][root[x + 1 :] != root[x]]
             if len(other) and (near := _near(x, other, size, parity, similarity)).any():
@@ -225,13 +224,14 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     marks = nodes.select("node", "size", "parity", "sketch").join(meet.select("node").distinct(), "node", "left_semi")
     marks = written(marks, "marks")
 
-    def candidates(roots: DataFrame, forest: bool) -> DataFrame:
-        own = marks.drop("sketch").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    def candidates(roots: DataFrame | None) -> DataFrame:
+        own = marks.drop("sketch")
+        own = own.withColumn("root", F.col("node")) if roots is None else own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         met = meet.join(own, "node").withColumn("g", F.ceil(F.col("count") / chunk))
         cell = met.withColumn("c", F.pmod(F.xxhash64("node"), F.col("g"))).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
         cell = cell.select(F.when(F.col("g") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("c", "k"), F.greatest("c", "k"))).alias("key"), "node", "size", "parity", "root")
         cell = cell.repartition(n, "key").sortWithinPartitions("key", "node")
-        pairs = written(arrow_map(cell, _meet(similarity, forest), "a long, b long").distinct(), "candidates")
+        pairs = written(arrow_map(cell, _meet(similarity, roots is None), "a long, b long").distinct(), "candidates")
         ends = [marks.select(F.col("node").alias(k), F.col("size").alias(f"{k}_size"), F.col("sketch").alias(f"{k}_sketch")) for k in "ab"]
         both = pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", "a_sketch", "b_sketch", "a_size", "b_size")
         return arrow_map(both, _close(similarity), "a long, b long")
@@ -251,9 +251,9 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     alike = prints.join(heads, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     of = lambda k: heads.select(F.col("fp").alias(k), F.col("head").alias(f"{k}_head"))
     bits = hamming_links(heads.select("fp")).join(of("a"), "a").join(of("b"), "b").select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))
-    links = held(written(alike.unionByName(bits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs"))
-    for forest in (True, False):
-        links = links.unionByName(held(written(candidates(components(links), forest), "pairs")))
+    by_bits = alike.unionByName(bits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    first = held(written(by_bits.unionByName(candidates(None)).distinct(), "pairs"))
+    links = first.unionByName(held(written(candidates(components(first)), "pairs")))
     comp = written(components(links).select("node", "root"), "roots")
     return rows.select("doc_id", "text_hash", "node").join(comp, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
 
