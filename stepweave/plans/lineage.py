@@ -37,6 +37,16 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Deletes the folder that a written table lies in, once nothing that is still to run reads it."""
+    spark = df.sparkSession
+    at, files = shared_dir(spark), df.inputFiles()
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for x in [x for x in _made.get(at, ()) if any(f"/{x.rsplit('/', 1)[-1]}/" in f for f in files)]:
+        path(x).getFileSystem(spark._jsc.hadoopConfiguration()).delete(path(x), True)
+        _made[at].remove(x)
+
+
 def mark(spark: SparkSession) -> int:
     """How many folders were made so far, for ``release``."""
     return len(_made.get(shared_dir(spark), ()))
