@@ -27,6 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stepweave.plans.lineage import drop
+
 from .common import LOWER, arrow_map, each, fresh, written
 from .components import components
 from .simhash import _SPACE, SLICE, _bit_counts
@@ -215,14 +217,16 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     counted = arrow_map(raw.where(F.pmod(F.xxhash64("text_hash"), F.lit(PART)) == 0).select("raw"), _counted(width), "key long")
     late = [r["key"] for r in counted.groupBy("key").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "key").limit(MOST).select("key").collect()]
     common = spark.sparkContext.broadcast(np.sort(np.array(late, np.int64).view(np.uint64)).tobytes())
-    rows = written(arrow_map(raw, _prefixes(common, similarity, width), f"{_SETS}, size long, fp long, parity binary, sketch binary, keys array<long>"), "prefixes")
+    prefixes = written(arrow_map(raw, _prefixes(common, similarity, width), f"{_SETS}, size long, fp long, parity binary, sketch binary, keys array<long>"), "prefixes")
+    rows = written(prefixes.select("doc_id", "text_hash", "node", "fp"), "rows")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    nodes = rows.groupBy("node").agg(F.first("size").alias("size"), F.first("parity").alias("parity"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
+    nodes = prefixes.groupBy("node").agg(F.first("size").alias("size"), F.first("parity").alias("parity"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
     at = nodes.select("node", F.explode("keys").alias("key"))
     shared = at.groupBy("key").count().where("count > 1")
     meet = written(at.join(shared, "key").select("key", "node", "count"), "meetings")
     marks = nodes.select("node", "size", "parity", "sketch").join(meet.select("node").distinct(), "node", "left_semi")
     marks = written(marks, "marks")
+    drop(prefixes)
 
     def candidates(roots: DataFrame | None) -> DataFrame:
         own = marks.drop("sketch")
@@ -242,7 +246,9 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
         found = raw.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long"))).join(one, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
         sets = written(arrow_map(found.select("raw"), _whole(width), "node long, own binary"), "sets")
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
-        return written(arrow_map(both.select("a", "b", "x", "y"), _holds(similarity), "a long, b long"), "links")
+        out = written(arrow_map(both.select("a", "b", "x", "y"), _holds(similarity), "a long, b long"), "links")
+        drop(sets)
+        return out
 
     # copies are summed up before they move: of each set one document
     firsts = written(rows.groupBy("node").agg(F.min(F.struct("text_hash", "doc_id")).alias("k")), "firsts")
