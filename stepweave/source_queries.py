@@ -109,12 +109,12 @@ def scan_output_stats(s, d):
     return protocol.merge_outputs(_raw(s, d)).stats
 
 
-@query(f"WITH {NODES_SQL}, {EDGES_SQL}, known AS (SELECT id FROM nodes WHERE kind IN ('route', 'entity')), bad AS (SELECT DISTINCT source_scanner FROM edges WHERE src_id NOT IN (SELECT id FROM known) OR dst_id NOT IN (SELECT id FROM known)) SELECT source_scanner AS scanner, count(*) AS edges FROM edges WHERE source_scanner NOT IN (SELECT source_scanner FROM bad) GROUP BY source_scanner")
+@query(f"WITH {NODES_SQL}, {EDGES_SQL}, known AS (SELECT id FROM nodes WHERE kind IN ('route', 'entity')), own AS (SELECT source_scanner || right(id, 2) AS scanner, src_id, dst_id FROM edges), bad AS (SELECT DISTINCT scanner FROM own WHERE src_id NOT IN (SELECT id FROM known) OR dst_id NOT IN (SELECT id FROM known)) SELECT scanner, count(*) AS edges FROM own WHERE scanner NOT IN (SELECT scanner FROM bad) GROUP BY scanner")
 def scan_output_known(s, d):
-    """Link outputs may end at routes and entities that are known; any other end rejects an output whole."""
+    """Link outputs, many of each scanner, may end at routes and entities that are known; any other end rejects an output whole."""
     n, e = tables.nodes(s, d), tables.edges(s, d)
-    out = e.groupBy("source_scanner").agg(F.collect_list(F.struct("id", F.col("src_id").alias("srcId"), F.col("dst_id").alias("dstId"), "kind")).alias("edges"))
-    raw = out.select(F.col("source_scanner").alias("scanner"), F.to_json(F.struct(F.lit(1).alias("version"), F.struct(F.col("source_scanner").alias("id")).alias("scanner"), "edges")).alias("raw"))
+    out = e.groupBy(F.concat("source_scanner", F.right("id", F.lit(2))).alias("scanner")).agg(F.collect_list(F.struct("id", F.col("src_id").alias("srcId"), F.col("dst_id").alias("dstId"), "kind")).alias("edges"))
+    raw = out.select("scanner", F.to_json(F.struct(F.lit(1).alias("version"), F.struct(F.col("scanner").alias("id")).alias("scanner"), "edges")).alias("raw"))
     return protocol.merge_outputs(raw, n.where("kind in ('route', 'entity')").select("id")).edges.groupBy("scanner").agg(F.count("*").alias("edges"))
 
 
