@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepweave.model import EDGE_KINDS, NODE_KINDS
+from stepweave.plans.lineage import written
 
 VERSION, SCAN_SECONDS, LINK_SECONDS, EXCERPT = 1, 60, 300, 200
 SEVERITIES = ("info", "warning", "error")
@@ -57,8 +58,8 @@ def output_edges(parsed: DataFrame) -> DataFrame:
     return own.select("scanner", "pos", *[F.coalesce(F.col(f"e.{a}"), F.lit("")).alias(b) for a, b in (("id", "id"), ("srcId", "src_id"), ("dstId", "dst_id"), ("kind", "kind"))], F.coalesce(F.to_json("e.properties"), F.lit("{}")).alias("properties"))
 
 
-def output_errors(parsed: DataFrame, known: DataFrame | None = None, strict: bool = False) -> DataFrame:
-    """(scanner, error) of every fault; any of them rejects its whole output.
+def output_errors(parsed: DataFrame, known: DataFrame | None = None, strict: bool = False, nodes: DataFrame | None = None, edges: DataFrame | None = None) -> DataFrame:
+    """(scanner, error) of every fault; any of them rejects its whole output. nodes, edges: the outputs' own, where they are at hand.
 
     known(id): nodes besides the output's own that edges may end at. strict also asks for what the written schema does: ids of
     edges, a source, known severities, counts of 0 or more.
@@ -69,14 +70,14 @@ def output_errors(parsed: DataFrame, known: DataFrame | None = None, strict: boo
     if strict:
         head += [(F.least(*[F.coalesce(f"out.stats.{c}", F.lit(-1)) for c in ("filesScanned", "nodesFound", "edgesFound", "errors", "durationMs")]) < 0, F.lit("stats must be counts of 0 or more")), (F.exists("out.warnings", lambda w: ~F.coalesce(w["severity"].isin(*SEVERITIES), F.lit(False))), F.lit("a warning's severity is unknown"))]
     errors = lambda checks: F.explode(F.array_compact(F.array(*[F.when(bad, what) for bad, what in checks]))).alias("error")
-    nodes = output_nodes(parsed)
+    nodes = output_nodes(parsed) if nodes is None else nodes
     first = nodes.where("id <> ''").groupBy("scanner", "id").agg(F.min("pos").alias("first"))
     numbered = nodes.join(first, ["scanner", "id"], "left")
     empty = lambda c: (F.col(c) == "", _named("node", "pos", f"{c} must be non-empty"))
     checks = [empty("id"), (F.col("pos") > F.col("first"), _named("node", "pos", 'duplicate node id "%s"', F.col("id"))), empty("kind"), ((F.col("kind") != "") & ~F.col("kind").isin(*NODE_KINDS), _named("node", "pos", 'invalid kind "%s"', F.col("kind"))), empty("name"), empty("label")]
     if strict:
         checks.append(empty("source"))
-    edges = output_edges(parsed)
+    edges = output_edges(parsed) if edges is None else edges
     own = nodes.select("scanner", "id").distinct()
     for end in ("src", "dst"):
         edges = edges.join(own.select("scanner", F.col("id").alias(f"{end}_id"), F.lit(True).alias(f"{end}_own")), ["scanner", f"{end}_id"], "left")
@@ -94,7 +95,9 @@ def output_errors(parsed: DataFrame, known: DataFrame | None = None, strict: boo
 def merge_outputs(raw: DataFrame, known: DataFrame | None = None, strict: bool = False, failed: DataFrame | None = None) -> Merged:
     """Outputs without a fault together; one with any gives an error row and nothing else. failed(scanner, error): those that gave no output."""
     parsed = parse_outputs(raw)
-    faults = output_errors(parsed, known, strict)
+    # the documents are parsed for these tables once; checks and results read the tables
+    nodes, edges = written(output_nodes(parsed), "output-nodes"), written(output_edges(parsed), "output-edges")
+    faults = written(output_errors(parsed, known, strict, nodes, edges), "output-errors")
     broken = parsed.where("out is null").select("scanner")
     per = faults.groupBy("scanner").agg(F.array_join(F.sort_array(F.collect_list("error")), "; ").alias("error"))
     per = per.join(broken.withColumn("broken", F.lit(True)).distinct(), "scanner", "left").select("scanner", F.when(F.col("broken"), F.col("error")).otherwise(F.concat(F.lit("scanner output validation failed: "), F.col("error"))).alias("error"))
@@ -104,7 +107,8 @@ def merge_outputs(raw: DataFrame, known: DataFrame | None = None, strict: bool =
     total = lambda c: F.coalesce(F.sum(F.coalesce(f"out.stats.{c}", F.lit(0))), F.lit(0)).cast("long")
     of_good = good.agg(total("filesScanned").alias("files_scanned"), total("nodesFound").alias("nodes_found"), total("edgesFound").alias("edges_found"), total("errors").alias("own"), F.count("*").alias("scanners"))
     stats = of_good.crossJoin(errors.agg(F.count("*").alias("failed"))).select("files_scanned", "nodes_found", "edges_found", (F.col("own") + F.col("failed")).alias("errors"), "scanners")  # one row beside one row
-    return Merged(output_nodes(good), output_edges(good), warnings, stats, errors)
+    kept = lambda df: df.join(per.select("scanner"), "scanner", "left_anti").select(*df.columns)
+    return Merged(kept(nodes), kept(edges), warnings, stats, errors)
 
 
 @dataclass
