@@ -23,7 +23,7 @@ RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 LITERAL_RULES = 64
 DAMPING, THRESHOLD = 0.85, 1.0
 #: Ranks have settled when a round changes none by more than this share of it; rounds between two tables of ranks.
-TOLERANCE, SPAN = 1e-5, 6
+TOLERANCE, SPAN = 1e-5, 3
 #: Labels under which a country's registry gives out names.
 REGISTRY = ("ac", "co", "com", "edu", "gov", "ne", "net", "or", "org")
 _LINK = r"""(?i)(?:href|src)\s*=\s*["']?\s*((?:https?:)?//[^\s"'<>]+)"""
